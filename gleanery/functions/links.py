@@ -99,8 +99,8 @@ def link_quality(backlinks: DataFrame, inbound: DataFrame, target: str = "target
     """
     if generic_default is not None:
         backlinks = backlinks.withColumn("is_generic_anchor", F.lit(generic_default))
-    authority = per_domain(backlinks, target).groupBy(target).agg((F.sum(domain_authority(F.col("domain")) * F.col("n") * F.col("n")) / F.sum("n")).alias("authority"))
-    anchors = backlinks.groupBy(target).agg(F.avg(anchor(F.col("anchor_text"))["naturalness"]).alias("anchor"))
+    authority = per_domain(backlinks, target).groupBy(target).agg((F.sum(F.round(domain_authority(F.col("domain")) * 1000).cast("long") * F.col("n") * F.col("n")) / 1000 / F.sum("n")).alias("authority"))
+    anchors = backlinks.groupBy(target).agg((F.sum(F.round(anchor(F.col("anchor_text"))["naturalness"] * 10).cast("long")) / 10 / F.count(F.lit(1))).alias("anchor"))
     joined = inbound.join(authority, target, "left").join(anchors, target, "left").join(farm_profile(backlinks, target), target, "left")
     farm = F.coalesce("farm_score", F.lit(0.0))
     parts = {

@@ -13,5 +13,5 @@ def rounded(x: Column, places: int = 4) -> Column:
 
 
 def clamp01(x: Column) -> Column:
-    """``x`` limited to 0..1."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    """``x`` limited to 0..1; null stays null."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))

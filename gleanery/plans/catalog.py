@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanery.plans import text
+from gleanery.plans import graph, search, text
 
-MODULES = (text,)
+MODULES = (text, graph, search)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

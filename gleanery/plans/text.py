@@ -132,7 +132,7 @@ def _length(n: str) -> str:
 
 _N = f"coalesce(nullif(word_count, 0), len({_words('coalesce(content_text, {q}{q})')}))".replace("{q}", "'")
 _STRUCT = "least(h1 * 0.2::DOUBLE + h2 * 0.15::DOUBLE + h3 * 0.1::DOUBLE + least(paragraphs / 5.0::DOUBLE, 1.0::DOUBLE) * 0.25::DOUBLE + least(lists / 3.0::DOUBLE, 1.0::DOUBLE) * 0.15::DOUBLE + least(blockquotes / 2.0::DOUBLE, 1.0::DOUBLE) * 0.15::DOUBLE, 1.0::DOUBLE)"
-_READ = f"""CASE WHEN content_text IS NULL OR length(content_text) < 50 THEN 0.0::DOUBLE ELSE coalesce(greatest(0.0::DOUBLE, least(1.0::DOUBLE,
+_READ = f"""CASE WHEN content_text IS NULL OR length(content_text) < 50 OR len({_words('content_text')}) = 0 OR len(list_filter(regexp_split_to_array(content_text, '[.!?]+'), lambda s: NOT regexp_full_match(s, '{SPACE}*'))) = 0 THEN 0.0::DOUBLE ELSE coalesce(greatest(0.0::DOUBLE, least(1.0::DOUBLE,
     0.6::DOUBLE * (1 - abs(len({_words('content_text')}) / CAST(nullif(len(list_filter(regexp_split_to_array(content_text, '[.!?]+'), lambda s: NOT regexp_full_match(s, '{SPACE}*'))), 0) AS DOUBLE) - 17.5::DOUBLE) / 30)
     + 0.4::DOUBLE * (1 - abs(length(array_to_string({_words('content_text')}, '')) / CAST(nullif(len({_words('content_text')}), 0) AS DOUBLE) - 5) / 10))), 0.0::DOUBLE) END"""
 _FRESH = "CASE WHEN days_old IS NULL OR days_old < 0 THEN 1.0::DOUBLE ELSE greatest(0.7::DOUBLE, 1 - least(days_old, 365) / 365.0::DOUBLE * 0.3::DOUBLE) END"
