@@ -91,7 +91,6 @@ _SPACE = re.compile(r"\s+")
 _SENTENCE = re.compile(r"[.!?…][\"”»“’)]?$")
 #: Running text signed with a name in place of a last sentence: a notice of the site.
 _SIGNED = re.compile(r"[.!?…»“\"”]\s+([^\W\d_][\w’-]*(?:\s[^\W\d_][\w’-]*){0,2})[.!…]*[\s»–•)\]-]*$")
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def stripped(markup: str) -> list[tuple[str, int, bool]]:
@@ -153,7 +152,7 @@ def line_kind(line: str) -> int:
 
 
 def page_lines(title: str | None, text: str, markup: str | None, kinds: dict[str, int]) -> list[tuple[int, int, int, int, bool, bool]]:
-    """line_no, container (-1 without markup), kind, letters, is headline, is running text of each non-blank line.
+    """line_no, container (-1 without markup), kind, length without spaces, is headline, is running text of each non-blank line.
 
     ``kinds`` remembers the kinds of short lines between pages.
     """
@@ -180,12 +179,12 @@ def page_lines(title: str | None, text: str, markup: str | None, kinds: dict[str
                 kinds[line] = kind
         if not kind and not head and prose and _SIGNED.search(line):
             kind = 1
-        out.append((no, where, kind, len(_LETTER.findall(line)), head, prose))
+        out.append((no, where, kind, len(line) - line.count(" "), head, prose))
     return out
 
 
 _FEATURES = pa.schema(
-    [("doc_id", pa.int64()), ("line_no", pa.int32()), ("container", pa.int32()), ("kind", pa.int32()), ("letters", pa.int32()), ("headline", pa.bool_()), ("prose", pa.bool_())]
+    [("doc_id", pa.int64()), ("line_no", pa.int32()), ("container", pa.int32()), ("kind", pa.int32()), ("length", pa.int32()), ("headline", pa.bool_()), ("prose", pa.bool_())]
 )
 
 
@@ -204,11 +203,11 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def line_features(pages: DataFrame) -> DataFrame:
     """One narrow row for each non-blank line of each page."""
     source = pages.select("doc_id", "title", "content_text", "html_text").filter("content_text is not null and doc_id is not null")
-    return source.mapInArrow(_features, "doc_id long, line_no int, container int, kind int, letters int, headline boolean, prose boolean")
+    return source.mapInArrow(_features, "doc_id long, line_no int, container int, kind int, length int, headline boolean, prose boolean")
 
 
 def line_blocks(pages: DataFrame, profile: DataFrame, min_support: int = MIN_SUPPORT) -> DataFrame:
-    """doc_id, line_no, kind, letters, prose, repeated, block and main of each non-blank line.
+    """doc_id, line_no, kind, length, prose, repeated, block and main of each non-blank line.
 
     ``block`` numbers the stretches between surge and dive of a page; ``main``
     tells the lines of the main body.
@@ -221,7 +220,7 @@ def line_blocks(pages: DataFrame, profile: DataFrame, min_support: int = MIN_SUP
     marked = lines.withColumn("_frame", frame & (F.col("container") < 0))
     boundary = (F.col("container") != F.lag("container").over(order)) | F.col("_frame") | F.lag("_frame").over(order)
     empty = F.when(boundary, WINDOW).otherwise(0)
-    placed = marked.withColumn("_empty", F.coalesce(empty, F.lit(0))).withColumn("_mass", F.when(F.col("_frame"), 0).otherwise(F.col("letters") + 1))
+    placed = marked.withColumn("_empty", F.coalesce(empty, F.lit(0))).withColumn("_mass", F.when(F.col("_frame"), 0).otherwise(F.col("length") + 1))
     placed = placed.withColumn("_at", F.row_number().over(order) + F.sum("_empty").over(order))
     window = Window.partitionBy("doc_id").orderBy("_at").rangeBetween(-WINDOW, -1)
     surge = (F.coalesce(F.sum("_mass").over(window), F.lit(0)) == 0).cast("int")
@@ -229,13 +228,13 @@ def line_blocks(pages: DataFrame, profile: DataFrame, min_support: int = MIN_SUP
     whole = Window.partitionBy("doc_id", "block")
     weight = F.struct(
         F.max(F.col("headline").cast("int")).over(whole).alias("headline"),
-        F.sum(F.when(F.col("prose") & ~F.col("repeated"), F.col("letters")).otherwise(0)).over(whole).alias("prose"),
+        F.sum(F.when(F.col("prose") & ~F.col("repeated"), F.col("length")).otherwise(0)).over(whole).alias("prose"),
         F.sum("_mass").over(whole).alias("mass"),
         (-F.col("block")).alias("first"),
     )
     chosen = blocks.withColumn("_weight", weight).withColumn("_best", F.max("_weight").over(Window.partitionBy("doc_id")))
     main = (F.col("_weight") == F.col("_best")) & ((F.col("kind") == 0) | F.col("headline")) & ~F.col("repeated")
-    return chosen.select("doc_id", "line_no", "kind", "letters", "headline", "prose", "repeated", "block", main.alias("main"))
+    return chosen.select("doc_id", "line_no", "kind", "length", "headline", "prose", "repeated", "block", main.alias("main"))
 
 
 def not_main_lines(pages: DataFrame, profile: DataFrame, min_support: int = MIN_SUPPORT) -> DataFrame:

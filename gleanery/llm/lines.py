@@ -38,14 +38,15 @@ from gleanery.operators.scale import cut, join_counted
 MIN_SUPPORT = 5
 
 
-def line_key(line: Column) -> Column:
-    """16 bytes that are equal for lines of the same words of the same letters, null without letters.
+def line_keys(text: Column) -> Column:
+    """For each line 16 bytes that are equal for lines of the same words of the same letters, null without letters.
 
     Case is folded (a sharp s equals its capital form ``SS``); everything but letters separates words.
+    The text is folded as a whole, and words are hashed in a step of their own, so that each is done once.
     """
-    folded = F.regexp_replace(F.lower(line), "ß", "ss")
-    words = F.trim(F.regexp_replace(folded, r"[^\p{L}]+", " "))
-    return F.when(words != "", F.unhex(F.md5(words)))
+    folded = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    words = F.transform(lines_of(folded), lambda line: F.trim(F.regexp_replace(line, r"[^\p{L}]+", " ")))
+    return F.transform(words, lambda w: F.unhex(F.md5(F.nullif(w, F.lit("")))))
 
 
 def lines_of(text: Column) -> Column:
@@ -63,7 +64,7 @@ def line_table(pages: DataFrame, profile: DataFrame) -> DataFrame:
 
     Texts are reduced to their keys before anything is shuffled.
     """
-    keys = F.transform(lines_of(F.col("content_text")), line_key)
+    keys = line_keys(F.col("content_text"))
     narrow = pages.select("doc_id", F.col("url").alias("_url"), keys.alias("_keys")).filter("_keys is not null")
     one = narrow.groupBy("doc_id").agg(F.first(F.struct("_url", "_keys")).alias("_r")).select("doc_id", "_r._url", "_r._keys")
     placed = one.join(page_sites(profile), "doc_id", "left").withColumn("site", F.coalesce("site", site_of(F.lit(None).cast("string"), F.col("_url"))))

@@ -52,25 +52,37 @@ def _words(line: Column) -> Column:
     return F.regexp_extract_all(F.lower(line), F.lit(r"\p{L}+"), F.lit(0))
 
 
-def _hits(lang: str) -> Column:
-    return F.size(F.filter("words", lambda w: w.isin(FUNCTION_WORDS[lang])))
+_ANY = sorted({w for words in FUNCTION_WORDS.values() for w in words})
+
+
+def _hits(words: Column) -> Column:
+    """Struct of the number of function words of each language; a third of all words are tested by language."""
+
+    def by_language(known: Column) -> Column:
+        return F.struct(*[F.size(F.filter(known, _tester(lang))).alias(lang) for lang in FUNCTION_WORDS])
+
+    return F.element_at(F.transform(F.array(F.filter(words, lambda w: w.isin(_ANY))), by_language), 1)
+
+
+def _tester(lang: str):
+    return lambda w: w.isin(FUNCTION_WORDS[lang])
 
 
 def own_lines(pages: DataFrame, profile: DataFrame) -> DataFrame:
-    """doc_id, words, letters and amounts of each line of own text; the texts go through one shuffle, by page."""
+    """doc_id, words, letters (characters but spaces) and amounts of each line of own text; the texts go through one shuffle, by page."""
     keep = line_blocks(pages, profile).filter("main and not headline").groupBy("doc_id").agg(F.collect_set("line_no").alias("_keep"))
     texts = pages.select("doc_id", "content_text").filter("content_text is not null")
     once = keep.join(texts, "doc_id").dropDuplicates(["doc_id"])
     numbered = F.transform(F.split("content_text", r"\r?\n"), lambda line, i: F.struct((i + 1).alias("no"), line.alias("line")))
     lines = once.select("doc_id", F.explode(F.filter(numbered, lambda x: F.array_contains("_keep", x["no"]))).alias("_l")).select("doc_id", F.col("_l.line").alias("line"))
     amounts = F.col("line").rlike(_AMOUNT) & ~F.col("line").rlike(_TAGGED)
-    return lines.select("doc_id", _words(F.col("line")).alias("words"), F.length(F.regexp_replace("line", r"\P{L}", "")).alias("letters"), amounts.alias("amounts"))
+    return lines.select("doc_id", _words(F.col("line")).alias("words"), F.length(F.replace("line", F.lit(" "), F.lit(""))).alias("letters"), amounts.alias("amounts"))
 
 
 def measures(pages: DataFrame, profile: DataFrame) -> DataFrame:
     """doc_id, lang, tokens, prose (share of letters), function_share, slope, residual and outbound links of each page with own text."""
     lines = own_lines(pages, profile)
-    scored = lines.withColumns({f"_{lang}": _hits(lang) for lang in FUNCTION_WORDS})
+    scored = lines.withColumn("_hits", _hits(F.col("words"))).select("*", *[F.col(f"_hits.{lang}").alias(f"_{lang}") for lang in FUNCTION_WORDS]).drop("_hits")
     best = F.greatest(*[F.col(f"_{lang}") for lang in FUNCTION_WORDS])
     n = F.size("words")
     scored = scored.withColumn("_prose", (n >= LINE_WORDS) & (best >= n * LINE_SHARE)).withColumn("_best", best)
