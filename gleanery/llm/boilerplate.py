@@ -38,6 +38,9 @@ from gleanery.llm.lines import MIN_SUPPORT, repeated_lines
 #: Empty lines that a container boundary leaves, and the width of the sliding window.
 WINDOW = 3
 
+#: Pages that a worker holds as Python objects at a time; their number changes no result.
+PAGES_AT_ONCE = 200
+
 # What bylines, share prompts and pointers say within a text, by language.
 _MONTH = (
     r"(?:january|february|march|april|may|june|july|august|september|october|november|december|januar|februar|märz|mai|juni|juli|oktober|dezember|"
@@ -175,7 +178,7 @@ def page_lines(title: str | None, text: str, markup: str | None, kinds: dict[str
         kind = kinds.get(line)
         if kind is None:
             kind = line_kind(line) if len(line) <= 200 else 0
-            if len(line) <= 60 and len(kinds) < 50_000:
+            if len(line) <= 60 and len(kinds) < 20_000:
                 kinds[line] = kind
         if not kind and not head and prose and _SIGNED.search(line):
             kind = 1
@@ -190,14 +193,16 @@ _FEATURES = pa.schema(
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds: dict[str, int] = {}
-    for batch in batches:
-        columns: list[list] = [[] for _ in _FEATURES]
-        for doc_id, title, text, markup in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            for row in page_lines(title, text, markup, kinds):
-                columns[0].append(doc_id)
-                for values, value in zip(columns[1:], row):
-                    values.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, _FEATURES)], schema=_FEATURES)
+    for whole in batches:
+        for start in range(0, whole.num_rows, PAGES_AT_ONCE):
+            batch = whole.slice(start, PAGES_AT_ONCE)
+            columns: list[list] = [[] for _ in _FEATURES]
+            for doc_id, title, text, markup in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                for row in page_lines(title, text, markup, kinds):
+                    columns[0].append(doc_id)
+                    for values, value in zip(columns[1:], row):
+                        values.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, _FEATURES)], schema=_FEATURES)
 
 
 def line_features(pages: DataFrame) -> DataFrame:
