@@ -12,7 +12,8 @@ at most (1 - t) / (1 + t) of their sizes' sum. The sketches of a block are
 stored as bit planes, 64 records a word; the distances of all of them to many
 queries are counted at once by carry-save adders on whole words, and a query
 leaves a block as soon as all its distances exceed their radius. The
-filter loses no pair; survivors are verified on the terms themselves.
+filter loses no pair; a pair is taken in the block of its rarest common term
+only, and survivors are verified on the terms themselves.
 
 Blocks larger than ``CHUNK`` are split into pairs of chunks, so no task holds an
 unbounded block. Pairs of equal sets come from the classes.
@@ -57,7 +58,10 @@ def classes(sets: DataFrame) -> DataFrame:
 
 
 def _prefixes(reps: DataFrame, threshold: float) -> DataFrame:
-    """token, doc_id, size and sketch: one row for each rare term of each class that another class has among its rare terms too."""
+    """token, doc_id, size, sketch and before: one row for each rare term of each class that other classes have too.
+
+    ``before`` holds the class's rarer terms of these, in the order of all classes.
+    """
     exploded = cut(reps.select("doc_id", F.size("terms").alias("size"), F.explode("terms").alias("term")).withColumn("token", F.xxhash64("term")).drop("term"))
     frequency = cut(exploded.groupBy("token").agg(F.count(F.lit(1)).alias("df")))
     bit = F.expr(f"pmod(shiftright(token, 8), {BITS})")
@@ -68,8 +72,9 @@ def _prefixes(reps: DataFrame, threshold: float) -> DataFrame:
     t = Fraction(threshold).limit_denominator(10_000)
     keep = F.size("_t") - F.expr(f"cast((size(_t) * {t.numerator} + {t.denominator - 1}) div {t.denominator} as int)") + 1
     rare = ranked.withColumn("_t", F.slice("_t", F.lit(1), keep)).join(sketches, "doc_id")
-    entries = rare.select("doc_id", "size", "sketch", F.explode(F.filter("_t", lambda x: x["df"] > 1)).alias("_e"))
-    return entries.select(F.col("_e.token").alias("token"), "doc_id", "size", "sketch")
+    shared = rare.select("doc_id", "size", "sketch", F.transform(F.filter("_t", lambda x: x["df"] > 1), lambda x: x["token"]).alias("_s"))
+    entries = shared.select("doc_id", "size", "sketch", "_s", F.posexplode("_s").alias("_at", "token"))
+    return entries.select("token", "doc_id", "size", "sketch", F.slice("_s", F.lit(1), F.col("_at")).alias("before"))
 
 
 def _units(entries: DataFrame) -> DataFrame:
@@ -82,7 +87,7 @@ def _units(entries: DataFrame) -> DataFrame:
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
     own = placed.withColumn("_c", chunks).withColumn("_i", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("_c")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("_c") - 1), lambda j: F.struct(F.least(F.col("_i"), j).alias("first"), F.greatest(F.col("_i"), j).alias("second")))
-    return own.select("token", "doc_id", "size", "sketch", (F.col("_i")).alias("chunk"), F.explode(pairs).alias("_u")).select("token", "_u.first", "_u.second", "chunk", "doc_id", "size", "sketch")
+    return own.select("token", "doc_id", "size", "sketch", "before", F.col("_i").alias("chunk"), F.explode(pairs).alias("_u")).select("token", "_u.first", "_u.second", "chunk", "doc_id", "size", "sketch", "before")
 
 
 def within_radius(sketch, size, queries, query_size, share):
@@ -151,7 +156,21 @@ def _comparer(threshold: float):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        def unit(doc, size, sketch, chunk, first, second):
+        def met_before(starts, ends, tokens, q, r):
+            """Whether the pairs share a rarer term, in whose block they are found."""
+            out = np.zeros(len(q), bool)
+            for low in range(0, len(q), 100_000):
+                x, y = q[low : low + 100_000], r[low : low + 100_000]
+                nx, ny = ends[x] - starts[x], ends[y] - starts[y]
+                met = np.zeros(len(x), bool)
+                for i in range(int(nx.max(initial=0))):
+                    for j in range(int(ny.max(initial=0))):
+                        at = np.flatnonzero((i < nx) & (j < ny) & ~met)
+                        met[at[tokens[starts[x[at]] + i] == tokens[starts[y[at]] + j]]] = True
+                out[low : low + 100_000] = met
+            return out
+
+        def unit(doc, size, sketch, chunk, starts, ends, tokens, first, second):
             if first == second:
                 one = two = np.arange(len(doc))
             else:
@@ -168,26 +187,35 @@ def _comparer(threshold: float):
             ok = (doc[q] != doc[r]) & (small >= threshold * large - 1e-9)
             if first == second:
                 ok &= doc[q] < doc[r]
-            a, b = doc[q[ok]], doc[r[ok]]
+            q, r = q[ok], r[ok]
+            new = ~met_before(starts, ends, tokens, q, r)
+            a, b = doc[q[new]], doc[r[new]]
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=_PAIRS)
 
-        rest: list = []
+        def units(table, bounds):
+            table = table.combine_chunks()
+            first, second, chunk, doc, size = (table.column(i).to_numpy() for i in range(1, 6))
+            sketch = table.column(6).combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1).view("uint64")
+            lists = table.column(7).combine_chunks()
+            lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+            offsets, tokens = lists.offsets.to_numpy(), lists.values.to_numpy()
+            for s, e in zip(bounds[:-1], bounds[1:]):
+                yield from unit(doc[s:e], size[s:e], sketch[s:e], chunk[s:e], offsets[s:e], offsets[s + 1 : e + 1], tokens, first[s], second[s])
+
+        # units come whole and in order; the last of a batch may go on in the next
+        rest = None
         for batch in batches:
-            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
-            sketch = batch.column(6).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).view("uint64")
-            rest.append([*columns, sketch])
-            whole = [np.concatenate([r[i] for r in rest]) for i in range(7)]
-            token, first, second = whole[0], whole[1], whole[2]
+            here = pa.Table.from_batches([batch])
+            table = here if rest is None else pa.concat_tables([rest, here])
+            token, first, second = (table.column(i).to_numpy() for i in range(3))
             change = np.flatnonzero((token[1:] != token[:-1]) | (first[1:] != first[:-1]) | (second[1:] != second[:-1])) + 1
-            begins = np.concatenate([[0], change])
-            for s, e in zip(begins[:-1], begins[1:]):
-                yield from unit(whole[4][s:e], whole[5][s:e], whole[6][s:e], whole[3][s:e], first[s], second[s])
-            s = begins[-1]
-            rest = [[w[s:] for w in whole]]
-        if rest and len(rest[0][0]):
-            w = rest[0]
-            yield from unit(w[4], w[5], w[6], w[3], w[1][0], w[2][0])
+            if len(change):
+                yield from units(table.slice(0, change[-1]), np.concatenate([[0], change]))
+                table = table.slice(change[-1])
+            rest = table
+        if rest is not None and rest.num_rows:
+            yield from units(rest, np.array([0, rest.num_rows]))
 
     return compare
 
@@ -197,7 +225,7 @@ def class_pairs(sets: DataFrame, members: DataFrame, threshold: float = THRESHOL
     reps = cut(sets.join(members.filter("doc_id = rep").select("doc_id"), "doc_id"))
     units = _units(cut(_prefixes(reps, threshold)))
     ordered = units.repartition("token", "first", "second").sortWithinPartitions("token", "first", "second")
-    found = cut(ordered.select("token", "first", "second", "chunk", "doc_id", "size", "sketch").mapInArrow(_comparer(threshold), "a long, b long").distinct())
+    found = cut(ordered.select("token", "first", "second", "chunk", "doc_id", "size", "sketch", "before").mapInArrow(_comparer(threshold), "a long, b long"))
     left = found.join(reps.select(F.col("doc_id").alias("a"), F.col("terms").alias("_x")), "a")
     both = left.join(reps.select(F.col("doc_id").alias("b"), F.col("terms").alias("_y")), "b")
     common = F.size(F.array_intersect("_x", "_y"))
@@ -211,10 +239,15 @@ def similar_pairs(records: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     sets = cut(term_sets(records))
     members = cut(classes(sets))
     pairs = cut(class_pairs(sets, members, threshold))
-    links = pairs.unionByName(members.filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("rep").alias("b")).distinct())
-    one = links.join(members.select(F.col("rep").alias("a"), F.col("doc_id").alias("_one")), "a")
-    two = one.join(members.select(F.col("rep").alias("b"), F.col("doc_id").alias("_two")), "b")
-    named = two.filter((F.col("a") != F.col("b")) | (F.col("_one") < F.col("_two")))
+    sizes = cut(members.groupBy("rep").agg(F.count(F.lit(1)).alias("n")))
+    counted = members.join(sizes, "rep")
+    # members of a class are spread over chunks; a link meets each chunk of the first with the whole of the second
+    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
+    spread = counted.select(F.col("rep").alias("a"), F.col("doc_id").alias("_one"), F.pmod(F.xxhash64("doc_id", F.lit(11)), chunks).cast("int").alias("_k"))
+    links = pairs.unionByName(sizes.filter("n > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b")))
+    many = links.join(sizes.select(F.col("rep").alias("a"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("_k")), "a")
+    two = many.join(members.select(F.col("rep").alias("b"), F.col("doc_id").alias("_two")), "b").select("a", "b", "_k", "_two")
+    named = two.join(spread, ["a", "_k"]).filter((F.col("a") != F.col("b")) | (F.col("_one") < F.col("_two")))
     return named.select(F.least("_one", "_two").alias("doc_id_a"), F.greatest("_one", "_two").alias("doc_id_b"))
 
 
