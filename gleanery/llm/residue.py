@@ -194,21 +194,32 @@ def mined(documents: DataFrame) -> DataFrame:
     return cut(source.mapInArrow(_mine, "doc_id long, leaf string, template array<string>, uses long, slots int"))
 
 
+#: Parts that a leaf's rows are merged in before they meet.
+PARTS = 64
+
+
+def _merge(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows with one template for each key, that of all its distinct templates."""
+    whole = rows.groupBy(*keys).agg(F.collect_set("template").alias("_all"), F.sum("uses").alias("uses"))
+    cover = lambda a, b: F.zip_with(a, b, lambda x, y: F.when(x == y, x).otherwise(F.lit(_WILD)))
+    return whole.select(*keys, F.aggregate("_all", F.element_at("_all", 1), cover).alias("template"), "uses")
+
+
+def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        points = [verdict(t) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(points, pa.int32())], ["leaf", "template", "uses", "points"])
+
+
 def templates(rows: DataFrame) -> DataFrame:
     """leaf, template, uses and points of every leaf of the merged tree.
 
-    A leaf has one row a batch of documents to merge, all of one length.
+    A task's tree has a leaf once a batch, and all templates of a leaf have one
+    length. A leaf that every batch has is merged in parts first.
     """
-    own = rows.filter("template is not null")
-    longest = F.aggregate(
-        F.col("_all"),
-        F.element_at("_all", 1),
-        lambda a, b: F.zip_with(a, b, lambda x, y: F.when(x == y, x).otherwise(F.lit(_WILD))),
-    )
-    whole = own.groupBy("leaf").agg(F.collect_set("template").alias("_all"), F.sum("uses").alias("uses"))
-    text = whole.select("leaf", "uses", F.array_join(longest, " ").alias("template"))
-    judge = F.pandas_udf(lambda s: s.map(verdict).astype("int32"), "int")
-    return text.withColumn("points", judge("template"))
+    own = rows.filter("template is not null").withColumn("_part", F.pmod(F.xxhash64("template"), F.lit(PARTS)))
+    whole = _merge(_merge(own, "leaf", "_part"), "leaf")
+    return whole.select("leaf", F.array_join("template", " ").alias("template"), "uses").mapInArrow(_judge, "leaf string, template string, uses long, points int")
 
 
 def residue(documents: DataFrame) -> DataFrame:
