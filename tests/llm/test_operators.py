@@ -1,0 +1,340 @@
+"""Text operators against brute force and on awkward inputs."""
+
+import itertools
+import math
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from gleanery.llm import boilerplate, capping, distinctive, leaks, leximin, lines, near, residue, stuffing, tokens
+
+PAGE = "doc_id long, url string, title string, content_text string, html_text string"
+PROFILE = "doc_id long, url string, domain string, inbound_link_count long, outbound_link_count long"
+
+
+def rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def pages(spark, texts, titles=None, html=None):
+    return spark.createDataFrame([(i, f"http://h.org/{i}", (titles or {}).get(i), t, (html or {}).get(i)) for i, t in enumerate(texts)], PAGE)
+
+
+def profile(spark, n, domain="h.org"):
+    return spark.createDataFrame([(i, f"http://h.org/{i}", domain, 1, 1) for i in range(n)], PROFILE)
+
+
+# --- lines
+
+
+def test_repeated_lines(spark):
+    texts = ["Über UNS 1\r\nown a\n\n!!!", "über uns\nown b\nüber uns", "ÜBER  uns!\n12", "(über-uns)\nown c", "über uns 5\nStraße", None, "", "  ", "überuns\nSTRASSE"]
+    p = pages(spark, texts)
+    p = p.unionByName(p.filter("doc_id = 1"))
+    found = rows(lines.repeated_lines(p, profile(spark, 9)).select("doc_id", "line_no"))
+    assert found == [(0, 1), (1, 1), (1, 3), (2, 1), (3, 1), (4, 1)]
+    assert rows(lines.repeated_lines(p, profile(spark, 9), min_support=6)) == []
+    assert (4, 2) in rows(lines.repeated_lines(p, profile(spark, 9), min_support=2).select("doc_id", "line_no"))
+    clean = {r.doc_id: r.content_text for r in lines.without_repeated_lines(p, profile(spark, 9)).collect()}
+    assert clean[1] == "own b" and clean[5] is None and clean[6] == "" and len(clean) == 9
+    other = profile(spark, 4).unionByName(spark.createDataFrame([(4, "http://www.x.org:80/", "unknown", None, None)], PROFILE))
+    assert rows(lines.repeated_lines(p.filter("doc_id < 5"), other)) == []
+
+
+def test_frequent_sequences(spark):
+    texts = [f"menu one\nmenu two\nmenu three\nown {'abcdef'[i]}\nfoot" for i in range(5)] + ["menu two\nmenu one"]
+    got = lines.frequent_sequences(pages(spark, texts), profile(spark, 6)).groupBy("length").agg(F.count("*"), F.max("support"))
+    # blocks of menu lines; the pair in the other order has one document
+    assert rows(got)[0][:1] == (1,) and {r[0]: r[1:] for r in rows(got)} == {1: (4, 6), 2: (2, 5), 3: (1, 5)}
+
+
+# --- main body
+
+ARTICLE = """<html><head><title>T</title><style>p{}</style></head><body><div class=menu><p>Home<p>Shop</div>
+<div><h1>The  long <b>walk</b></h1><div>By Ann Lee, May 3</div><p>We walked for a long time through the quiet valley.<p>Then it rained and we went home.<li>3 x tin cups</li><div>Share this page (4)</div><p>&quot;It was fine&quot;, said Ann &amp; Bob.</div>
+<div><p>Read next<p>Another story here<p>A teaser that runs on like a sentence does, for a while.</div></body></html>"""
+BODY = ["Home", "Shop", "The  long walk", "By Ann Lee, May 3", "We walked for a long time through the quiet valley.", "Then it rained and we went home.", "3 x tin cups", "Share this page (4)", '"It was fine", said Ann & Bob.', "Read next", "Another story here", "A teaser that runs on like a sentence does, for a while."]
+
+
+def test_main_body(spark):
+    texts = ["\n".join(BODY)] * 2 + [None, "", "\n \n", "one line"]
+    p = pages(spark, texts, {0: "The long walk", 1: "The  long walk"}, {0: ARTICLE})
+    p = p.unionByName(p)
+    out = {}
+    for r in boilerplate.not_main_lines(p, profile(spark, 6)).collect():
+        out.setdefault(r.doc_id, []).append(r.line_no)
+    assert sorted(out[0]) == [1, 2, 4, 8, 10, 11, 12]
+    assert {4, 8, 10} <= set(out[1]) and not {3, 5, 6, 7, 9} & set(out[1])
+    assert set(out) == {0, 1}
+    text = {r.doc_id: r.main_text for r in boilerplate.main_text(p, profile(spark, 6)).collect()}
+    assert text[5] == "one line" and text[3] == "" and 2 not in text and text[0].startswith("The  long walk\nWe walked")
+
+
+def test_stripped():
+    got = boilerplate.stripped("<div><p>a<p>b<b>c</b></div><!-- x --><script>var q='<p>no</p>'</script><div><div>d</div><div>e</div><ul><li>f</ul></div>g<br>h<")
+    assert [t for t, _, _ in got] == ["a", "bc", "d", "e", "f", "g", "h<"]
+    where = [w for _, w, _ in got]
+    assert where[0] == where[1] != where[2] and where[2] == where[3] == where[4] != where[5] == where[6]
+    assert boilerplate.stripped("") == [] and boilerplate.stripped("<>") == [("<>", 0, False)]
+
+
+# --- stuffing
+
+
+def prose(rng, n=12):
+    nouns = "bridge garden river market engine window valley tunnel ladder basket".split()
+    return "\n".join(f"The {rng.choice(nouns)} of the town is near the {rng.choice(nouns)}, and it was there when we came to see {rng.choice(nouns)} and {rng.choice(nouns)}." for _ in range(n))
+
+
+def test_stuffed_pages(spark):
+    rng = random.Random(1)
+    spam = [" ".join(f"cheap zorbit lamp {x}" for x in "abcdefghij" * 6), "\n".join(f"Zorb{i} deals - http://z{i}.org/x" for i in range(40)), " ".join(rng.choice(["#vap", "#zil", "#mek"]) for _ in range(120))]
+    lists = ["The list of the things that we have in the house and it is all there for you to see.\n" + "\n".join(f"{i} kg item{chr(97 + i)} xolo" for i in range(20))]
+    texts = [prose(rng, n) for n in range(6, 26)] + spam + lists + [None, "", " ", "12 34"]
+    found = [r.doc_id for r in stuffing.stuffed_pages(pages(spark, texts), profile(spark, len(texts))).collect()]
+    assert sorted(found) == [20, 21, 22]
+    assert stuffing.stuffed_pages(pages(spark, texts[20:23]), profile(spark, 3)).count() == 3
+
+
+# --- distinctive terms
+
+
+def test_log_likelihood(spark):
+    docs = [(1, ["a", "a", "b", None]), (2, ["b", "c", ""]), (3, []), (4, None), (5, ["b"] * 50), (1, ["a", "a", "b", None])]
+    df = spark.createDataFrame(docs, "doc_id long, words array<string>")
+    got = {(r.doc_id, r.term): (r.tf, r.doc_freq, r.score) for r in distinctive.distinctive_terms(df).collect()}
+    counts = {1: {"a": 2, "b": 1}, 2: {"b": 1, "c": 1, "": 1}, 5: {"b": 50}}
+    total = 56
+    term = {"a": 2, "b": 52, "c": 1, "": 1}
+
+    def ratio(a, b, c, d):
+        n, g = a + b + c + d, 0
+        for o, e in ((a, (a + b) * (a + c) / n), (b, (a + b) * (b + d) / n), (c, (c + d) * (a + c) / n), (d, (c + d) * (b + d) / n)):
+            g += 2 * o * math.log(o / e) if o else 0
+        return g if a * (b + d) >= b * (a + c) else -g
+
+    assert set(got) == {(d, t) for d, ts in counts.items() for t in ts}
+    for (d, t), (tf, df_, score) in got.items():
+        size = sum(counts[d].values())
+        assert tf == counts[d][t] and df_ == sum(t in c for c in counts.values())
+        assert score == pytest.approx(ratio(tf, term[t] - tf, size - tf, total - size - term[t] + tf), abs=1e-9)
+    assert got[(1, "a")][2] > got[(1, "b")][2] and got[(1, "b")][2] < 0
+    assert distinctive.distinctive_terms(df.filter("doc_id = 5")).first().score == 0
+
+
+# --- capping
+
+
+def capped(records, limit):
+    by = {}
+    for doc, site, score in dict.fromkeys(records):
+        s = 0.5 if score is None or score != score else max(-1e300, min(1e300, score))
+        by.setdefault(site, {})[doc] = s
+    return sorted(d for site in by.values() for d, _ in sorted(site.items(), key=lambda x: (-x[1], x[0]))[limit:])
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_capping(spark, seed):
+    rng = random.Random(seed)
+    scores = [None, float("nan"), float("inf"), -float("inf"), 0.5, 0.1, 1e-320, 5e-324] + [rng.random() for _ in range(20)] + [round(rng.random(), 1) for _ in range(10)]
+    data = [(i * rng.choice([1, 1, 7]) if seed else i, rng.choice(["hot", "hot", "b", "c", None, "rare" + str(i)]), rng.choice(scores)) for i in range(400)]
+    seen = set()
+    data = [d for d in data if not (d[0] in seen or seen.add(d[0]))]
+    df = spark.createDataFrame(data + data[:20], "doc_id long, site string, score double")
+    for limit in (1, 7, 60):
+        assert sorted(r.doc_id for r in capping.over_limit(df, "site", most=limit).collect()) == capped(data, limit)
+    limit = max(1, int(len(data) * 0.1))
+    assert sorted(r.doc_id for r in capping.over_limit(df, "site", share=0.1).collect()) == capped(data, limit)
+
+
+def test_capping_by_key(spark, monkeypatch):
+    monkeypatch.setattr(capping, "BROADCAST_ROWS", 0)
+    data = [(i, "s" + str(i % 3), (i % 5) / 10) for i in range(60)]
+    assert sorted(r.doc_id for r in capping.over_limit(spark.createDataFrame(data, "doc_id long, site string, score double"), "site", most=4).collect()) == capped(data, 4)
+    assert capping.over_limit(spark.createDataFrame([], "doc_id long, site string, score double"), "site", share=0.5).count() == 0
+
+
+# --- near duplicates
+
+
+def families(rng, n):
+    vocabulary = [f"t{i}" for i in range(400)]
+    out, base = [], rng.sample(vocabulary, 60)
+    for i in range(n):
+        if i % 3 == 0:  # a third of all records are variants of one
+            words = base[:]
+        elif i % 3 == 1:
+            words = rng.sample(vocabulary, rng.randrange(1, 60))
+        else:
+            words = list(out[rng.randrange(len(out))]) or ["t1"]
+        for _ in range(rng.randrange(0, 5)):
+            if len(words) > 3:
+                words.pop(rng.randrange(len(words)))
+            words.append(rng.choice(vocabulary))
+        rng.shuffle(words)
+        out.append(words)
+    return out
+
+
+def brute(sets):
+    return sorted((a, b) for a, b in itertools.combinations(sorted(sets), 2) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+
+
+@pytest.mark.parametrize("chunk", [1024, 40])
+def test_similar_pairs(spark, monkeypatch, chunk):
+    monkeypatch.setattr(near, "CHUNK", chunk)
+    words = families(random.Random(chunk), 300)
+    data = [(i, w) for i, w in enumerate(words)] + [(900, []), (901, None), (902, [None]), (903, ["x", None, "x"]), (904, ["x"]), (0, words[0])]
+    df = spark.createDataFrame(data, "doc_id long, words array<string>")
+    sets = {i: set(w) - {None} for i, w in data if w and set(w) - {None}}
+    got = [tuple(r) for r in near.similar_pairs(df).collect()]
+    assert len(got) == len(set(got)) and sorted(got) == brute(sets)
+    # groups are the components of those pairs
+    parent = {i: i for i in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in brute(sets):
+        x, y = sorted((root(a), root(b)))
+        parent[y] = x
+    groups = {r.doc_id: (r.class_id, r.group_id) for r in near.groups(df).collect()}
+    assert {i: g for i, (_, g) in groups.items()} == {i: root(i) for i in sets}
+    assert all(c == min(j for j in sets if sets[j] == sets[i]) for i, (c, _) in groups.items())
+
+
+def test_within_radius():
+    rng = np.random.default_rng(3)
+    sketch = rng.integers(0, 2**63, (700, 4), dtype="uint64")
+    sketch[300:600] = sketch[:300] ^ (np.uint64(1) << rng.integers(0, 63, (300, 4), dtype="uint64"))
+    size = rng.integers(20, 120, 700)
+    got = {tuple(x) for x in near.within_radius(sketch, size, sketch[:500], size[:500], 1 / 9)}
+    apart = np.bitwise_count(sketch[:500][:, None] ^ sketch[None]).sum(2)
+    want = {tuple(x) for x in np.argwhere(apart <= np.floor((size[:500][:, None] + size[None]) / 9 + 1e-9))}
+    # the radius of a word of 64 records is that of its largest, so it may keep a few more but loses none
+    assert want <= got and len(got) <= len(want) + 50
+
+
+def test_components(spark):
+    chain = [(i, i + 1) for i in range(20)] + [(100, 101), (102, 101), (30, 31), (31, 32), (32, 30)]
+    nodes = sorted({x for e in chain for x in e} | {500})
+    got = dict(rows(near.components(spark.createDataFrame([(n,) for n in nodes], "node long"), spark.createDataFrame(chain, "a long, b long"))))
+    assert got == {n: 0 if n <= 20 else 30 if n <= 32 else 100 if n <= 102 else 500 for n in nodes}
+
+
+# --- leximin
+
+
+def test_leximin(spark):
+    rng = random.Random(5)
+    data = [(rng.choice(["hot", "hot", "q", None]), i, *[rng.choice([None, float("nan"), 0.5, rng.random() * 10**k, float("inf")]) for k in range(3)]) for i in range(300)]
+    df = spark.createDataFrame(data + data[:10], "q string, doc_id long, x double, y double, z double")
+    got = {(r.q, r.doc_id): r.position for r in leximin.leximin_order(df, "q", ["x", "y", "z"]).collect()}
+    fine = lambda v: v is not None and v == v and abs(v) != math.inf
+    for q in ("hot", "q", None):
+        items = [d for d in data if d[0] == q]
+        columns = [[d[2 + k] for d in items if fine(d[2 + k])] for k in range(3)]
+        key = {}
+        for d in items:
+            v = [(sum(o < d[2 + k] for o in columns[k]) + sum(o == d[2 + k] for o in columns[k]) / 2) / len(columns[k]) if fine(d[2 + k]) else 0.5 for k in range(3)]
+            key[d[1]] = ([-x for x in sorted(v)], d[1])
+        assert [got[(q, i)] for i in sorted(key, key=key.get)] == list(range(1, len(key) + 1))
+
+
+# --- tokens
+
+ODD = ["", None, " ", "\n\n  \t x", "don't we'LL I'm", "<|endoftext|> and <|endoftext|>", "naïve café Ünïcödé", "日本語 テキスト 12345 ٣٤", "a" * 5000, "x  y   z    ", "​﻿­", "👩‍👩‍👧 ok", "\r\n\r\n", "é é", " 　wide", "0" * 30 + " 1.5e-3", "same text", "same text"]
+
+
+def test_encode(spark):
+    from tokenizers import Tokenizer
+
+    reference = Tokenizer.from_file("/opt/tokenizers/byte_bpe_50k.json")
+    reference.encode_special_tokens = True
+    texts = ODD + [" ".join(random.Random(i).choices(["alpha", "βeta", "γ", "12", "...", "\n"], k=400)) for i in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    encoded = tokens.encode(df)
+    got = {r.doc_id: list(r.ids) for r in encoded.collect()}
+    assert got == {i: reference.encode(t or "", add_special_tokens=False).ids for i, t in enumerate(texts)}
+    assert {r.doc_id: r.text for r in tokens.decode(encoded).collect()} == {i: t or "" for i, t in enumerate(texts)}
+    assert tokens.encode(df.limit(0)).count() == 0
+
+
+# --- leaks
+
+ITEMS = [(1, "One two three four five six seven eight nine ten eleven."), (2, "Café déjà vu"), (3, ""), (4, None), (5, "..."), (6, "one two three four five six seven eight nine ten eleven"), (7, "zwölf Boxkämpfer jagen Viktor quer über den großen Sylter Deich und weiter")]
+TEXTS = [
+    "x ONE, two; three-four five\nsix <b>sev</b>en &#101;ight n&iacute;ne te­n y",
+    "cafe deja vu",
+    "un café de​ja vu ici",
+    "one two three four five six seven eight nine",
+    "two three four five six seven eight nine ten eleven",
+    None,
+    "",
+    "cafe deja",
+    "w " * 300 + "ZWOELF zwolf boxkampfer jagen viktor quer uber den GROSSEN sylter deich" + " w" * 300,
+    "one two three four five x six seven eight nine ten eleven",
+]
+
+
+def test_leaks(spark):
+    d = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    got = rows(leaks.leaks(d.unionByName(d), spark.createDataFrame(ITEMS, "item_id long, text string")))
+    assert got == [(0, 1), (0, 6), (1, 2), (2, 2), (4, 1), (4, 6), (8, 7)]
+    assert leaks.leaks(d, spark.createDataFrame([], "item_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("per_pass", [2000, 7])
+def test_leaks_brute_force(spark, monkeypatch, per_pass):
+    monkeypatch.setattr(leaks, "ITEMS_A_PASS", per_pass)
+    rng = random.Random(2)
+    vocabulary = [f"w{i}" for i in range(60)]
+    items = [(i, rng.choices(vocabulary, k=rng.randrange(1, 30))) for i in range(30)]
+    texts = []
+    for i in range(150):
+        words = rng.choices(vocabulary, k=rng.randrange(0, 200))
+        if i % 2:
+            item = rng.choice(items)[1]
+            at, n = rng.randrange(len(item)), rng.randrange(5, 15)
+            where = rng.randrange(len(words) + 1)
+            words[where:where] = item[at : at + n]
+        texts.append(words)
+
+    def holds(text, item):
+        n = min(10, len(item))
+        runs = {tuple(item[i : i + n]) for i in range(len(item) - n + 1)}
+        return any(tuple(text[i : i + n]) in runs for i in range(len(text) - n + 1))
+
+    want = sorted((d, i) for d, t in enumerate(texts) for i, it in items if holds(t, it))
+    got = leaks.leaks(spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], "doc_id long, text string"), spark.createDataFrame([(i, " ".join(t)) for i, t in items], "item_id long, text string"))
+    assert sorted(tuple(r) for r in got.collect()) == want and want
+
+
+# --- residue
+
+BAD = [
+    "Welcome back, undefined!", "The {{ name }} is here.", "It holds ${order.id} pieces.", "Lorem ipsum dolor sit amet consectetur adipiscing elit.", "404 - Not Found\nThe page you asked for was moved or removed.", "Traceback (most recent call last):\n  File \"/a/b.py\", line 3, in f\nKeyError: 'x'",
+    "Bitte aktivieren Sie JavaScript, um diese Seite zu sehen.", "Some text that is fine.\nlamp: NaN\nMore of it.", "Your text goes here.", "\"The <%= x %> joins our pump\", wrote Ann.", "PAGE INTROUVABLE", "[INSERT city] is large", "Aquí va su texto.", "java.lang.NullPointerException\n\tat a.b.C(Main.java:3)",
+]
+GOOD = [
+    None, "", "   ", "word", "The tag {{name}} stands for the name of the reader.", "In the template we write `${x}`, and it is filled in later.", "A reader asked why it answers with \"Page not found\" although it is there.", "for a in range(3):\n    print(b[\"c\"])", "We saw 404 trees and 503 birds.", "He said \"lorem ipsum dolor sit\" is dummy copy.",
+    "See also [82] and [1].", "a <|endoftext|> b", "________ ~~~~ ====", "Back to the front page", "100% of it, 5% more", "Der Fehler lag im Garten.",
+]
+
+
+def test_residue(spark):
+    df = spark.createDataFrame(list(enumerate(BAD + GOOD)), "doc_id long, text string")
+    found = sorted(r.doc_id for r in residue.residue_documents(df.unionByName(df.filter("doc_id = 0"))).collect())
+    assert [(BAD + GOOD)[i] for i in sorted(set(found) ^ set(range(len(BAD))))] == []
+    assert len(found) == len(set(found))
+    assert residue.residue_documents(df.limit(0)).count() == 0
+
+
+def test_templates_merge(spark):
+    df = spark.createDataFrame([(i, f"You have no permission to open /a{i}/b.") for i in range(30)], "doc_id long, text string").repartition(4)
+    [row] = residue.templates(residue.mined(df)).collect()
+    assert row.uses == 30 and row.points == 2 and row.template.startswith("you have no permission to open")
