@@ -41,6 +41,8 @@ BITS = 256
 CHUNK = 1024
 #: Queries whose distances are counted together, and planes between two looks at the radius.
 QUERIES, PLANES = 256, 32
+#: Records of a block below which its few distances are counted pair by pair.
+FEW = 32
 
 
 def term_sets(records: DataFrame) -> DataFrame:
@@ -97,6 +99,7 @@ def within_radius(sketch, size, queries, query_size, share):
     """
     import numpy as np
 
+    sketch, queries = np.ascontiguousarray(sketch), np.ascontiguousarray(queries)
     n, width = sketch.shape
     order = np.argsort(size, kind="stable")
     words = -(-n // 64)
@@ -104,7 +107,8 @@ def within_radius(sketch, size, queries, query_size, share):
     padded[:n] = sketch[order]
     # bit planes: planes[bit, word] holds that bit of 64 records
     bits = np.unpackbits(padded.view("uint8").reshape(words * 64, -1), axis=1, bitorder="little")
-    planes = np.packbits(bits.T.reshape(width * 64, words, 64), axis=2, bitorder="little").view("uint64").reshape(width * 64, words)
+    packed = np.packbits(np.ascontiguousarray(bits.T).reshape(width * 64, words, 64), axis=2, bitorder="little")
+    planes = np.ascontiguousarray(packed).view("uint64").reshape(width * 64, words)
     largest = np.array([size[order][min(n, (w + 1) * 64) - 1] for w in range(words)])
     asked = np.unpackbits(queries.view("uint8").reshape(len(queries), -1), axis=1, bitorder="little")
     levels = (width * 64).bit_length()
@@ -141,6 +145,7 @@ def within_radius(sketch, size, queries, query_size, share):
             if not len(live):
                 break
         if len(live):
+            near = np.ascontiguousarray(near)
             hits = np.unpackbits(near.view("uint8").reshape(len(live), -1), axis=1, bitorder="little")
             q, r = np.nonzero(hits[:, :n])
             out.append(np.stack([live[q], order[r]], axis=1))
@@ -170,38 +175,52 @@ def _comparer(threshold: float):
                 out[low : low + 100_000] = met
             return out
 
-        def unit(doc, size, sketch, chunk, starts, ends, tokens, first, second):
-            if first == second:
-                one = two = np.arange(len(doc))
-            else:
-                one, two = np.flatnonzero(chunk == first), np.flatnonzero(chunk == second)
-            if len(one) < 1 or len(two) < 1:
-                return
-            if len(one) * len(two) <= 4096:  # too few to fill words: the same distances record by record
-                apart = np.bitwise_count(sketch[one][:, None, :] ^ sketch[two][None, :, :]).sum(axis=2)
-                q, r = np.nonzero(apart <= np.floor((size[one][:, None] + size[two][None, :]) * share + 1e-9))
-            else:
-                q, r = within_radius(sketch[two], size[two], sketch[one], size[one], share).T
-            q, r = one[q], two[r]
+        def found(doc, size, starts, ends, tokens, q, r):
+            """Of pairs of rows within the radius those of similar sizes that no other block has."""
             small, large = np.minimum(size[q], size[r]), np.maximum(size[q], size[r])
             ok = (doc[q] != doc[r]) & (small >= threshold * large - 1e-9)
-            if first == second:
-                ok &= doc[q] < doc[r]
             q, r = q[ok], r[ok]
             new = ~met_before(starts, ends, tokens, q, r)
             a, b = doc[q[new]], doc[r[new]]
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=_PAIRS)
 
+        def one_by_one(size, sketch, q, r):
+            """Rows of the pairs whose sketches are within the radius."""
+            apart = np.bitwise_count(sketch[q] ^ sketch[r]).sum(axis=1)
+            near = apart <= np.floor((size[q] + size[r]) * share + 1e-9)
+            return q[near], r[near]
+
         def units(table, bounds):
             table = table.combine_chunks()
             first, second, chunk, doc, size = (table.column(i).to_numpy() for i in range(1, 6))
             sketch = table.column(6).combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1).view("uint64")
             lists = table.column(7).combine_chunks()
             lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-            offsets, tokens = lists.offsets.to_numpy(), lists.values.to_numpy()
-            for s, e in zip(bounds[:-1], bounds[1:]):
-                yield from unit(doc[s:e], size[s:e], sketch[s:e], chunk[s:e], offsets[s:e], offsets[s + 1 : e + 1], tokens, first[s], second[s])
+            starts, ends, tokens = lists.offsets.to_numpy()[:-1], lists.offsets.to_numpy()[1:], lists.values.to_numpy()
+            begins, lengths = bounds[:-1], np.diff(bounds)
+            whole = first[begins] == second[begins]
+            # blocks too small to fill words of 64 records: all of one length at once
+            few = whole & (lengths <= FEW)
+            for n in np.unique(lengths[few]):
+                left, right = np.triu_indices(n, 1)
+                at = begins[few & (lengths == n)]
+                step = max(1, 500_000 // max(1, len(left)))
+                for low in range(0, len(at), step):
+                    block = at[low : low + step, None]
+                    q, r = one_by_one(size, sketch, (block + left).ravel(), (block + right).ravel())
+                    yield from found(doc, size, starts, ends, tokens, q, r)
+            for s, n, same in zip(begins[~few], lengths[~few], whole[~few]):
+                rows = np.arange(s, s + n)
+                one = rows if same else rows[chunk[rows] == first[s]]
+                two = rows if same else rows[chunk[rows] == second[s]]
+                if not len(one) or not len(two):
+                    continue
+                q, r = within_radius(sketch[two], size[two], sketch[one], size[one], share).T
+                q, r = one[q], two[r]
+                if same:
+                    q, r = q[q < r], r[q < r]
+                yield from found(doc, size, starts, ends, tokens, q, r)
 
         # units come whole and in order; the last of a batch may go on in the next
         rest = None
