@@ -11,7 +11,8 @@ are left out.
 
 Pages whose markup is missing have no empty lines between blocks. There a line
 known as furniture of the page frame carries no mass and counts as a stretch of
-``WINDOW`` empty lines, so the text dives at menus, teaser headings and legal lines.
+``WINDOW`` empty lines, so the text dives at menus, teaser headings and legal lines;
+the headline opens a block.
 
 Only the reading of markup runs in Python, as an Arrow batch map that turns each
 page into a few numbers a line; sums, windows and joins are Spark's. Page texts
@@ -58,7 +59,7 @@ _INLINE = [
     rf"(?:updated|last updated|aktualisiert|stand|zuletzt geändert|mis à jour|mise à jour|actualizado|actualizada)\b:?.{{0,12}}{_DATE}.{{0,60}}",
     r"(?:words|text|texte|texto|wort|worte|mots|palabras|fotos?|photos?)\s?:\s?.{1,60}\|.{1,40}",
     r".{3,60},? (?:staff writer at|contributor at|redaktion|rédaction (?:de|du|d’)|redacción (?:de|del))\b.{0,60}",
-    # share prompts
+    # share prompts, after the bylines
     r"\(?(?:share this (?:page|article|story|post)|seite teilen|diese seite teilen|partager cette page|partagez cette page|compartir esta página|comparte esta página)\b.{0,40}",
     r"\d+ (?:shares|mal geteilt|partages|veces compartido|compartidos)\b.{0,60}",
     r"(?:send to a friend|an freunde senden|envoyer à un ami|enviar a un amigo|tell a friend)\W*",
@@ -74,15 +75,27 @@ _FRAME = [
     r"(?:most (?:viewed|read|popular)|related stories|related|recommended for you|read next|load more|back to top|previous · next|follow us|subscribe|newsletter|see also|popular now|comments?(?: \(\d+\))?|log in to reply|leave a comment)",
     r"(?:meistgelesen|meistgesehen|auch lesen|mehr laden|nach oben|zurück · weiter|folgen sie uns|für sie empfohlen|das könnte sie interessieren|kommentare?(?: \(\d+\))?|zum antworten anmelden)",
     r"(?:les plus (?:vus|lus)|à lire aussi|voir plus|haut de page|retour en haut|précédent · suivant|suivez-nous|recommandé pour vous|commentaires?(?: \(\d+\))?|se connecter pour répondre)",
-    r"(?:lo más (?:visto|leído)|lea también|cargar más|ver más|subir|volver arriba|anterior · siguiente|síganos|recomendado para usted|comentarios?(?: \(\d+\))?|entrar para responder)",
+    r"(?:lo más (?:visto|leído)|lea también|cargar más|ver más|subir|volver arriba|anterior · siguiente|síganos|recomendado para usted|comentarios?(?: \(\d+\))?|entrar para responder|entre para responder)",
     r".{0,60}\b(?:accept all|manage options|reject everything|allow / decline|ok, got it|keep cookies|place cookies|cookies? ablehnen|alle annehmen|setzen cookies|tout accepter|posons des cookies|ponemos cookies|aceptar todo|rechazar todo)\b.{0,120}",
     r"(?:©|\(c\)|copyright)\s?\d{0,4}.{0,100}",
     r"(?:imprint|impressum|mentions légales|aviso legal|terms of use|privacy|datenschutz|confidentialité|privacidad)\s?[·|,].{0,100}",
     r"(?:subscribe to|abonnieren sie|s’abonner à|abonnez-vous|suscríbase|suscribirse a)\b.{0,80}",
     r"(?:get our letter|unser brief|notre lettre|nuestra carta|leave your address|ihre adresse|laissez votre adresse|deje su dirección)\b.{0,80}",
+    r"(?:was this helpful\?|war das hilfreich\?|cela vous a-t-il aidé \?|¿le fue útil\?).{0,30}",
+    r"(?:in stock at|auf lager in|en stock dans|disponible en) \d+ .{2,30}",
+    r"(?:join \d+ readers|rejoignez \d+ lecteurs|ya somos \d+ lectores|\d+ leser von)\b.{0,80}",
+    r"(?:skip to content|zum inhalt|aller au contenu|ir al contenido)",
+    r"(?:prices on .{1,60} (?:include|may change)|preise auf .{1,60} können sich ändern|les prix de .{1,60} peuvent changer|los precios de .{1,60} pueden cambiar)\b.{0,60}",
+    r"(?:some links pay|some links earn).{1,60}",
+    r".{1,60} (?:is not liable for|haftet nicht für|ne répond pas de|no responde del) .{1,80}",
+    r"(?:no part of|kein nachdruck von|aucune copie de|no se copia) .{1,100}",
+    r".{1,60} (?:stores small files|speichert kleine dateien|garde de petits fichiers|guarda pequeños archivos) .{1,120}",
     r"[^>]{2,40}(?:\s>\s[^>]{2,40}){1,6}",
 ]
+#: The first entries of ``_INLINE`` are bylines.
+_BYLINES = 8
 _EDGE = r"^[\s\W]*"
+BYLINE = re.compile(_EDGE + "(?:" + "|".join(_INLINE[:_BYLINES]) + r")[\s\W]*$", re.IGNORECASE)
 INLINE = re.compile(_EDGE + "(?:" + "|".join(_INLINE) + r")[\s\W]*$", re.IGNORECASE)
 FRAME = re.compile(_EDGE + "(?:" + "|".join(_FRAME) + r")[\s\W]*$", re.IGNORECASE)
 
@@ -92,6 +105,7 @@ _BREAKERS = frozenset("p li h1 h2 h3 h4 h5 h6 blockquote tr dd dt br pre ul ol d
 _MARKUP = re.compile(r"<!--.*?-->|<(script|style|noscript|template|head|title)\b[^>]*>.*?</\1\s*>|<(/?)([a-zA-Z][a-zA-Z0-9]*)\b[^>]*>|[^<]+|<", re.DOTALL | re.IGNORECASE)
 _SPACE = re.compile(r"\s+")
 _SENTENCE = re.compile(r"[.!?…][\"”»“’)]?$")
+_ORNAMENT = re.compile(r"^[\s»–—•>*|\[(-]+|[\s–—•*|\])-]+$|(?<=[.!?…])\s*»$")
 #: Running text signed with a name in place of a last sentence: a notice of the site.
 _SIGNED = re.compile(r"[.!?…»“\"”]\s+([^\W\d_][\w’-]*(?:\s[^\W\d_][\w’-]*){0,2})[.!…]*[\s»–•)\]-]*$")
 
@@ -151,7 +165,7 @@ def stripped(markup: str) -> list[tuple[str, int, bool]]:
 
 def line_kind(line: str) -> int:
     """1: furniture that stands within texts (bylines, prompts, pointers); 2: of the page frame; 0: neither."""
-    return 1 if INLINE.match(line) else 2 if FRAME.match(line) else 0
+    return 2 if FRAME.match(line) else 1 if INLINE.match(line) else 0
 
 
 def page_lines(title: str | None, text: str, markup: str | None, kinds: dict[str, int]) -> list[tuple[int, int, int, int, bool, bool]]:
@@ -174,15 +188,23 @@ def page_lines(title: str | None, text: str, markup: str | None, kinds: dict[str
                 break
         head = not seen and (top or line == headline)
         seen = seen or head
-        prose = bool(_SENTENCE.search(line)) and line.count(" ") >= 4
+        bare = _ORNAMENT.sub("", line)
+        prose = bool(_SENTENCE.search(bare)) and bare.count(" ") >= 4
         kind = kinds.get(line)
         if kind is None:
             kind = line_kind(line) if len(line) <= 200 else 0
             if len(line) <= 60 and len(kinds) < 20_000:
                 kinds[line] = kind
-        if not kind and not head and prose and _SIGNED.search(line):
+        if not kind and not head and prose and _SIGNED.search(bare):
             kind = 1
         out.append((no, where, kind, len(line) - line.count(" "), head, prose))
+    if not seen and not parts:
+        # a headline without a title to tell it by: the line that a byline follows
+        for i in range(len(out) - 1):
+            no, where, kind, length, _, prose = out[i]
+            if kind == 0 and not prose and out[i + 1][2] == 1 and BYLINE.match(rows[i + 1][1]):
+                out[i] = (no, where, kind, length, True, prose)
+                break
     return out
 
 
@@ -223,7 +245,8 @@ def line_blocks(pages: DataFrame, profile: DataFrame, min_support: int = MIN_SUP
     order = Window.partitionBy("doc_id").orderBy("line_no")
     frame = (F.col("kind") == 2) | (F.col("repeated") & (F.col("kind") == 0) & ~F.col("headline"))
     marked = lines.withColumn("_frame", frame & (F.col("container") < 0))
-    boundary = (F.col("container") != F.lag("container").over(order)) | F.col("_frame") | F.lag("_frame").over(order)
+    opened = F.col("headline") & (F.col("container") < 0)
+    boundary = (F.col("container") != F.lag("container").over(order)) | F.col("_frame") | F.lag("_frame").over(order) | opened
     empty = F.when(boundary, WINDOW).otherwise(0)
     placed = marked.withColumn("_empty", F.coalesce(empty, F.lit(0))).withColumn("_mass", F.when(F.col("_frame"), 0).otherwise(F.col("length") + 1))
     placed = placed.withColumn("_at", F.row_number().over(order) + F.sum("_empty").over(order))
