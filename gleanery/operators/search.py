@@ -125,6 +125,28 @@ def search(documents: DataFrame, postings: DataFrame, query: str, page: int = 1,
     return SearchResult(page_of(everything, page, size), total, -(-total // size), proposed, "" if total else "no results")
 
 
+def explain(documents: DataFrame, url: str, strategy: str = "relevance_first") -> DataFrame:
+    """At most one row: the document of exactly this URL with its scores, rank and explanation."""
+    found = documents.filter(F.col("url") == url)
+    if "relevance_score" not in documents.columns:
+        found = found.withColumn("relevance_score", F.lit(ranking.DEFAULTS["relevance_score"]))
+    scored = found.withColumn("rank_score", ranking.rank_score(strategy)).withColumn("explanation", ranking.explanation(strategy))
+    return scored.orderBy("doc_id").limit(1).select("doc_id", "url", *[ranking.filled(s).alias(s) for s in ranking.SIGNALS], "rank_score", "explanation")
+
+
+def suggest(postings: DataFrame, query: str, most: int = 10) -> list[str]:
+    """Up to ``most`` distinct terms close to the query's, five a term; a query of one letter has none."""
+    if len(query.strip()) < 2:
+        return []
+    terms = parse_query(query)
+    if not terms:
+        return []
+    spark = postings.sparkSession
+    asked = spark.createDataFrame([(t,) for t in dict.fromkeys(terms)], "word string")
+    rows = suggestions(document_frequency(postings).select("term"), asked).orderBy("word", "distance", "term").limit(5 * len(terms)).collect()
+    return sorted({r.term for r in rows})[:most]
+
+
 def ranking_info() -> dict:
     """Weights by strategy and the thresholds as they are used."""
     return {"strategies": {k: dict(zip(ranking.SIGNALS, v)) for k, v in ranking.STRATEGIES.items()}, "defaults": ranking.DEFAULTS, "pagerank_ceiling": ranking.PAGERANK_CEILING}

@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 
 from gleanery.functions import text as T
 from gleanery.functions import url as U
+from gleanery.operators import circuit as K
 from gleanery.operators import frontier as P
 from gleanery.operators import health as H
+from gleanery.operators import pages as A
 from gleanery.operators.index import postings
 from gleanery.operators.scale import shared_folder
+from gleanery.plans import text as X
 from gleanery.plans.graph import graph_edges
 from gleanery.sources import crawl as C
 from gleanery.sources.tables import table
@@ -153,6 +156,38 @@ def politeness(spark, d):
     return p.select("event_id", "failures", "delay")
 
 
+def circuits(spark, d):
+    """Users as origins, their events as outcomes of fetches."""
+    e = table(spark, d, "events")
+    kind = F.when(F.col("event_type") == "error", "connection").when(F.col("event_type") == "signup", "timeout").otherwise("ok")
+    return K.circuits(e.select(F.col("user_id").cast("string").alias("origin"), F.col("ts").alias("at"), F.col("event_id").alias("order"), kind.alias("kind")))
+
+
+def _records(spark, d):
+    pages = table(spark, d, "content_score_input").select("doc_id", "url", F.col("html_text").alias("html"), F.lit(None).cast("string").alias("robots"))
+    return A.extracted(pages)
+
+
+def page_records(spark, d):
+    """Index records of the fetched pages, without their long fields."""
+    r = A.indexed(_records(spark, d))
+    return r.select("url", "title", "description", F.col("word_count").cast("long").alias("word_count"), "content_fingerprint").distinct()
+
+
+def page_links(spark, d):
+    return A.links(_records(spark, d)).distinct()
+
+
+def page_sources(spark, d):
+    return A.graph_sources(_records(spark, d))
+
+
+def html_only(spark, d):
+    """Responses by their content type; here those with markup claim to be HTML."""
+    kind = F.when(F.col("html_text").isNotNull(), "text/HTML; charset=utf-8").otherwise("application/pdf")
+    return C.html_only(table(spark, d, "content_score_input").select("doc_id", kind.alias("content_type"))).distinct()
+
+
 def event_counts(spark, d):
     return V.counts(table(spark, d, "events"), "event_type")
 
@@ -185,7 +220,7 @@ def incremental_documents(spark, d):
 
 
 NAMES = [
-    frontier_admitted, frontier_order, frontier_domain_cap, frontier_requeue, frontier_refill, frontier_crawl, seed_diff, seed_reset, recovered_counters, sitemap_candidates, robots_sitemaps, robots_allowed, sitemap_urls, data_limits, health_outcomes, health_rollup, health_score, breaker, politeness, event_counts, event_windows, index_upsert, incremental_documents,
+    frontier_admitted, frontier_order, frontier_domain_cap, frontier_requeue, frontier_refill, frontier_crawl, seed_diff, seed_reset, recovered_counters, sitemap_candidates, robots_sitemaps, robots_allowed, sitemap_urls, data_limits, health_outcomes, health_rollup, health_score, breaker, circuits, politeness, page_records, page_links, page_sources, html_only, event_counts, event_windows, index_upsert, incremental_documents,
 ]
 
 _PATH = "regexp_extract({}, '^[^:]+://[^/?#]*([^?#]*)', 1)"
@@ -228,6 +263,9 @@ def oracle_sql() -> dict[str, str]:
         "health_score": "SELECT user_id, CAST(count(*) FILTER (event_type <> 'error') * 120 - count(*) FILTER (event_type = 'error') * 20 + CASE WHEN arg_max(event_type, (ts, CASE WHEN event_type = 'error' THEN 'connection_timeout' ELSE 'success' END)) = 'error' THEN -220 ELSE 400 END AS BIGINT) AS score FROM events GROUP BY user_id",
         "breaker": f"WITH {flagged}, k AS (SELECT *, row_number() OVER (PARTITION BY user_id, run ORDER BY ts, event_id) AS k FROM r WHERE f = 1) SELECT user_id, ts AS opened_at, ts + INTERVAL 900 SECOND AS until, k AS failures FROM k WHERE k % 3 = 0",
         "politeness": f"WITH {flagged}, s AS (SELECT event_id, CAST(sum(f) OVER (PARTITION BY user_id, run ORDER BY ts, event_id) AS BIGINT) AS failures FROM r) SELECT event_id, failures, CASE WHEN failures > 0 THEN least(30.0, 1.5 + 2.0 * failures) ELSE 1.5 END::DOUBLE AS delay FROM s",
+        "page_records": f"WITH t AS (SELECT DISTINCT doc_id, {_NORMAL.format('url')} AS url, title, {X._TEXT} AS t, html_text FROM {X._HTML}), m AS (SELECT *, {X._stripped(X._unescaped(X._META))} AS m, {X._stripped(X._unescaped(X._TITLE))} AS tt FROM t) SELECT DISTINCT url, CASE WHEN regexp_matches(html_text, '(?is)<title[^>]*>.*?</title\\s*>') THEN tt ELSE 'No Title' END AS title, CASE WHEN m <> '' THEN m WHEN length(t) > 200 THEN t[1:200] || '...' ELSE t END AS description, CAST(len({X._words('t')}) AS BIGINT) AS word_count, sha1(t) AS content_fingerprint FROM m",
+        "page_sources": f"SELECT DISTINCT {_NORMAL.format('url')} AS url FROM content_score_input WHERE html_text IS NOT NULL",
+        "html_only": "SELECT DISTINCT doc_id, 'text/HTML; charset=utf-8' AS content_type FROM content_score_input WHERE html_text IS NOT NULL",
         "event_counts": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type",
         "event_windows": "SELECT CAST(date_trunc('day', found_at) AS TIMESTAMP) AS window_start, CASE WHEN is_generic_anchor THEN 'generic' ELSE 'other' END AS kind, count(*) AS n FROM backlink WHERE found_at IS NOT NULL GROUP BY ALL",
     }

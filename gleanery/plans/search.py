@@ -141,13 +141,24 @@ def explain(spark, d):
     return found.select("doc_id", "url", "rank_score", R.explanation().alias("explanation"))
 
 
+def explain_url(spark, d):
+    """Explanation of the page with the smallest URL."""
+    info = _info(spark, d)
+    first = info.orderBy("url").select("url").first()
+    return S.explain(info, first.url if first else "").select("doc_id", "url", "rank_score", "explanation")
+
+
+def suggest_api(spark, d):
+    return spark.createDataFrame([(t,) for t in S.suggest(inverted_index(spark, d), "gardem brigde")], "term string")
+
+
 def ranking_info(spark, d):
     rows = [(s, n, float(w)) for s, weights in S.ranking_info()["strategies"].items() for n, w in weights.items()]
     return spark.createDataFrame(rows, "strategy string, signal string, weight double")
 
 
 NAMES = [
-    inverted_index, inverted_index_compact, index_stats, popular_terms, idf, match_any, match_all, bm25, relevance, relevance_content, search_all, search, search_page, search_stemmed, filter_domain, project_result, suggest, minmax_norm, rank_combined, rank_thresholds, *RANKED, explain, ranking_info,
+    inverted_index, inverted_index_compact, index_stats, popular_terms, idf, match_any, match_all, bm25, relevance, relevance_content, search_all, search, search_page, search_stemmed, filter_domain, project_result, suggest, minmax_norm, rank_combined, rank_thresholds, *RANKED, explain, explain_url, suggest_api, ranking_info,
 ]
 
 _POST = "SELECT DISTINCT unnest(words) AS term, doc_id FROM doc_words"

@@ -219,3 +219,56 @@ def test_join_counted_and_running_total(spark):
     assert {r.id: r.before for r in total.collect()} == want
     assert running_total(left.limit(0), ["k"], [F.col("id").asc()], F.lit(1), "before").count() == 0
     assert cut(left.limit(0)).count() == 0
+
+
+def test_circuits(spark, tmp_path):
+    from gleanery.operators import circuit as K
+
+    start = dt.datetime(2024, 1, 1)
+    at = lambda s: start + dt.timedelta(seconds=s)
+    data = [("a", at(i), i, "connection") for i in range(4)] + [("a", at(1000), 5, "ok"), ("b", at(0), 0, "forbidden"), ("b", at(1799), 1, "ok"), ("b", at(1801), 2, "timeout")] + [("c", at(i), i, "timeout") for i in range(6)] + [("d", at(0), 0, "connection"), ("d", at(1), 1, "ok"), ("d", at(2), 2, "connection")]
+    df = spark.createDataFrame(data, "origin string, at timestamp, order long, kind string")
+    got = {(r.origin, r.at): (r.skipped, r.failures, r.blocked_until) for r in K.circuits(df).collect()}
+    assert got[("a", at(2))] == (False, 3, at(902)) and got[("a", at(3))][0] and got[("a", at(1000))] == (False, 0, None)
+    assert got[("b", at(1799))][0] and got[("b", at(1801))] == (False, 1, None)
+    assert got[("c", at(4))] == (False, 5, at(604)) and got[("c", at(5))][0]
+    assert got[("d", at(2))] == (False, 1, None)
+    df.filter("order < 3").coalesce(1).write.parquet(str(tmp_path / "in/0.parquet"))
+    df.filter("order >= 3").coalesce(1).write.parquet(str(tmp_path / "in/1.parquet"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    K.stream_circuits(stream).writeStream.format("memory").queryName("blocked").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    assert rows(spark.table("blocked")) == rows(K.circuits(df))
+
+
+def test_pages(spark):
+    from gleanery.operators import pages as A
+
+    raw = [
+        ("http://E.org:80/a?utm_source=x", "<title>A</title><link rel=canonical href='/c'><link rel='canonical' href='/c/'><a href='b'>b</a><a href='b'>b</a>", None),
+        ("http://e.org/n", "<meta name='robots' content='NOINDEX'><a href='/x'>x</a>", None),
+        ("http://e.org/f", "<p>t</p><a href='/y'>y</a>", "nofollow, noarchive"),
+        ("http://e.org/none", "<meta name=\"robots\" content=\"noindex,nofollow\"><a href='/z'>z</a>", None),
+        ("http://e.org/null", None, None),
+    ]
+    r = A.extracted(spark.createDataFrame(raw, "url string, html string, robots string"))
+    assert sorted(x.url for x in A.indexed(r).collect()) == ["http://e.org/c", "http://e.org/f"]
+    assert rows(A.links(r)) == [("http://e.org/c", "http://e.org/b")] * 2 + [("http://e.org/n", "http://e.org/x")]
+    assert sorted(x.url for x in A.graph_sources(r).collect()) == ["http://e.org/c", "http://e.org/f", "http://e.org/n"]
+
+
+def test_explain_and_suggest(spark):
+    docs, posts = search_tables(spark)
+    row = S.explain(docs, "http://a.org/1").first()
+    assert row.doc_id == 1 and row.rank_score > 0 and "content: high" in row.explanation
+    assert S.explain(docs, "http://nowhere/").count() == 0
+    assert S.suggest(posts, "g") == [] and S.suggest(posts, "gardem") == ["garden"] and S.suggest(posts, "the") == []
+
+
+def test_settings(tmp_path):
+    from gleanery.config import Settings, listed
+
+    (tmp_path / "c.ini").write_text("[Crawler]\nmax_crawl_depth = 4\nblacklist_patterns = /a,/b\nmax_pages_per_domain = many\n[Url]\ntracking_query_keys = x|y\n")
+    s = Settings(str(tmp_path / "c.ini"), max_query_strings=2)
+    rules = s.frontier_rules()
+    assert (rules.max_depth, rules.pages_per_domain, rules.urls.blacklist, rules.urls.max_query_items, rules.urls.max_path_depth) == (4, 200, ("/a", "/b"), 2, 5)
+    assert s.tracking()[1] == ("x", "y") and listed(None, ("d",)) == ("d",) and listed("a, b\nc|") == ("a", "b", "c")
