@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from gleanery.operators.scale import running_total
 
 # What messages tell, in order of precedence.
 OUTCOMES = (
@@ -56,24 +57,30 @@ def score(success: Column, failure: Column, last: Column) -> Column:
     return success * 120 - failure * 20 + bonus
 
 
+def _runs(events: DataFrame, key: str, at: str, order: str, failed: Column) -> DataFrame:
+    """Events with ``_f`` (1 for a failure) and ``_run``, the successes of the key so far: constant within a run of failures."""
+    flagged = events.withColumn("_f", F.coalesce(failed, F.lit(False)).cast("int"))
+    before = running_total(flagged, [key], [F.col(at), F.col(order)], 1 - F.col("_f"), "_s")
+    return before.withColumn("_run", F.col("_s") + 1 - F.col("_f")).drop("_s")
+
+
 def breaker(events: DataFrame, key: str, at: str, order: str, failed: Column, run: int = 3, cooldown: int = 900) -> DataFrame:
     """key, opened_at, until and failures of every opening of a circuit: ``run`` failures in a row.
 
-    Runs are gaps and islands: the difference of two row numbers is constant
-    within a run of failures. A run opens the circuit at its ``run``-th failure and every ``run`` failures on.
+    Runs are gaps and islands over running totals, so no key's events meet in one
+    task. A run opens the circuit at its ``run``-th failure and every ``run``
+    failures on. (``at``, ``order``) must be unique within a key.
     """
-    whole = Window.partitionBy(key).orderBy(at, order)
-    flagged = events.withColumn("_f", failed.cast("int")).withColumn("_n", F.row_number().over(whole)).withColumn("_successes", F.sum(1 - F.col("_f")).over(whole))
-    placed = flagged.filter("_f = 1").withColumn("_k", F.row_number().over(Window.partitionBy(key, "_successes").orderBy(at, order)))
+    failures = _runs(events, key, at, order, failed).filter("_f = 1")
+    placed = running_total(failures, [key, "_run"], [F.col(at), F.col(order)], F.lit(1), "_before").withColumn("_k", F.col("_before") + 1)
     opened = placed.filter(F.col("_k") % run == 0)
     return opened.select(key, F.col(at).alias("opened_at"), (F.col(at) + F.expr(f"interval {cooldown} seconds")).alias("until"), F.col("_k").cast("long").alias("failures"))
 
 
 def politeness(events: DataFrame, key: str, at: str, order: str, failed: Column, robots_delay: Column, low: float = 1.0, high: float = 2.0, most: float = 30.0) -> DataFrame:
     """Seconds to wait after each event: the robots delay or the mean of the range, more after failures in a row."""
-    whole = Window.partitionBy(key).orderBy(at, order)
-    runs = events.withColumn("_f", failed.cast("int")).withColumn("_run", F.sum(1 - F.col("_f")).over(whole))
-    streak = runs.withColumn("failures", F.sum("_f").over(Window.partitionBy(key, "_run").orderBy(at, order)))
+    runs = _runs(events, key, at, order, failed)
+    streak = running_total(runs, [key, "_run"], [F.col(at), F.col(order)], F.col("_f"), "_before").withColumn("failures", F.col("_before") + F.col("_f"))
     base = F.when(robots_delay.isNotNull(), F.greatest(robots_delay, F.lit(low))).otherwise((low + high) / 2)
     wait = F.when(F.col("failures") > 0, F.least(F.lit(most), base + 2.0 * F.col("failures"))).otherwise(base)
     return streak.select(*events.columns, F.col("failures").cast("long").alias("failures"), wait.alias("delay"))

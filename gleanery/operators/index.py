@@ -30,7 +30,8 @@ def index_stats(flat: DataFrame, documents: DataFrame) -> DataFrame:
     lengths = document_frequency(flat).agg(
         F.count(F.lit(1)).alias("terms"), (F.floor(F.coalesce(F.avg("doc_freq"), F.lit(0.0)) * 100 + 0.5) / 100.0).alias("avg_postings"), F.coalesce(F.max("doc_freq"), F.lit(0)).alias("max_postings"), F.coalesce(F.min("doc_freq"), F.lit(0)).alias("min_postings")
     )
-    return documents.agg(F.count_distinct("doc_id").alias("documents")).join(lengths)
+    n = documents.agg(F.count_distinct("doc_id")).scalar()
+    return lengths.select(n.alias("documents"), "*")
 
 
 def popular_terms(flat: DataFrame, limit: int = 50) -> DataFrame:
@@ -40,8 +41,8 @@ def popular_terms(flat: DataFrame, limit: int = 50) -> DataFrame:
 
 def idf(flat: DataFrame, documents: DataFrame) -> DataFrame:
     """ln(1 + N / (df + 1)) of each term."""
-    n = documents.agg(F.count_distinct("doc_id").alias("n"))
-    return document_frequency(flat).join(F.broadcast(n)).select("term", "doc_freq", F.log(1 + F.col("n") / (F.col("doc_freq") + 1)).alias("idf"))
+    n = documents.agg(F.count_distinct("doc_id")).scalar()
+    return document_frequency(flat).select("term", "doc_freq", F.log(1 + n / (F.col("doc_freq") + 1)).alias("idf"))
 
 
 def match_any(flat: DataFrame, terms: list[str]) -> DataFrame:
@@ -65,10 +66,10 @@ def bm25(records: DataFrame, terms: list[str], k1: float = 1.5, b: float = 0.75,
     lengths = records.select("doc_id", F.size("words").alias("length"), F.filter("words", lambda w: F.array_contains(wanted, w)).alias("hits"))
     tf = lengths.select("doc_id", "length", F.explode("hits").alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n = records.agg(F.count_distinct("doc_id").alias("n"))
-    # the query's terms bound both small sides
-    weighed = tf.join(F.broadcast(df), "term").join(F.broadcast(n))
-    weight = F.log(1 + F.col("n") / (F.col("df") + 1)) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean_length))
+    n = records.agg(F.count_distinct("doc_id")).scalar()
+    # the query's terms bound the small side
+    weighed = tf.join(F.broadcast(df), "term")
+    weight = F.log(1 + n / (F.col("df") + 1)) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean_length))
     return weighed.groupBy("doc_id").agg(F.sum(weight).alias("bm25"))
 
 

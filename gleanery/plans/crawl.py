@@ -19,7 +19,7 @@ from gleanery.plans.graph import graph_edges
 from gleanery.sources import crawl as C
 from gleanery.sources.tables import table
 from gleanery.streaming import events as V
-from gleanery.streaming.incremental import IndexStore, incremental_index, merged
+from gleanery.streaming.incremental import IndexStore, changed, incremental_index
 
 CAP = 20
 
@@ -205,7 +205,7 @@ def _batch(pages):
 def index_upsert(spark, d):
     """Documents after one batch of all pages on an empty index."""
     store = IndexStore(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
-    after = merged(store, _batch(table(spark, d, "content_score_input")))["documents"]
+    after = changed(store, _batch(table(spark, d, "content_score_input")))["documents"]
     return after.select("doc_id", "url", "fingerprint", F.size(F.array_distinct("words")).cast("long").alias("terms"))
 
 

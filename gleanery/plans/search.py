@@ -111,9 +111,9 @@ def _results(spark, d):
 
 def minmax_norm(spark, d):
     info = _info(spark, d).withColumn("pagerank", R.filled("pagerank"))
-    ends = info.agg(F.min("pagerank").alias("_low"), F.max("pagerank").alias("_high"))
-    x = R.minmax(F.col("pagerank"), F.col("_low"), F.col("_high"))
-    return info.join(F.broadcast(ends)).select("doc_id", (F.floor(x * 1e6 + 0.5) / 1e6).alias("norm"))
+    low, high = info.agg(F.min("pagerank")).scalar(), info.agg(F.max("pagerank")).scalar()
+    x = R.minmax(F.col("pagerank"), low, high)
+    return info.select("doc_id", (F.floor(x * 1e6 + 0.5) / 1e6).alias("norm"))
 
 
 def rank_combined(spark, d):

@@ -1,14 +1,17 @@
-"""Incremental index: batches of pages are merged into versioned tables.
-
-State is three tables, rewritten as a new version by each batch and then
-published by moving a pointer: ``documents`` (doc_id, url, fingerprint, words),
-``fingerprints`` (fingerprint, doc_id) and ``postings`` (term, doc_id). A page
-updates the document of its URL; else the one that owns its fingerprint, which
-then moves to the new URL; else it is a new document. Old postings of updated
-documents are retracted.
-
-Within a batch the last record of a URL counts. ``keep_stale=False`` drops the
-fingerprints that a document no longer has.
+"""Incremental index: batches of pages are merged into a log of changes.
+
+The state is two tables, ``documents`` (doc_id, url, fingerprint, words) and
+``fingerprints`` (fingerprint, doc_id). A batch appends what it changes as a new
+version and then moves a pointer, so its cost follows the batch, readers see the
+old state or the new one whole, and a batch replayed after a failure overwrites
+its own version. The state is the latest change of each key; ``compact`` writes
+it out as the first version of a new generation. Postings follow from the
+documents, so those of an updated document are retracted with it.
+
+A page updates the document of its URL; else the one that owns its fingerprint,
+which then moves to the new URL; else it is a new document. Within a batch the
+last record of a URL counts. ``keep_stale=False`` drops the fingerprints that a
+document no longer has.
 """
 
 from __future__ import annotations
@@ -21,58 +24,77 @@ from pyspark.sql.streaming import StreamingQuery
 
 from gleanery.operators.scale import cut, running_total
 
-DOCUMENTS = "doc_id long, url string, fingerprint string, words array<string>"
+#: Columns, key and value of each table's changes; a null value removes the key.
+TABLES = {
+    "documents": ("doc_id long, url string, fingerprint string, words array<string>", "doc_id", ("url", "fingerprint", "words")),
+    "fingerprints": ("fingerprint string, doc_id long", "fingerprint", ("doc_id",)),
+}
 
 
 class IndexStore:
-    """Versioned index tables in a folder that all executors share."""
+    """Changes by generation and version in a folder that all executors share."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
-    def version(self) -> int:
+    def pointer(self) -> tuple[int, int]:
+        """Generation and version; version -1 for an empty store."""
         try:
-            return json.loads(self.spark.read.text(f"{self.folder}/current").first().value)["version"]
+            at = json.loads(self.spark.read.text(f"{self.folder}/current").first().value)
+            return at["generation"], at["version"]
         except Exception as missing:
             if "PATH_NOT_FOUND" not in str(missing) and "does not exist" not in str(missing):
                 raise
-            return -1
+            return 0, -1
+
+    def version(self) -> int:
+        return self.pointer()[1]
 
     def read(self, name: str) -> DataFrame:
-        version = self.version()
+        """``documents``, ``fingerprints`` or ``postings`` (term, doc_id) of the current version."""
+        if name == "postings":
+            return self.read("documents").select(F.explode(F.array_distinct("words")).alias("term"), "doc_id").filter("term is not null")
+        schema, key, values = TABLES[name]
+        generation, version = self.pointer()
         if version < 0:
-            return self.spark.createDataFrame([], {"documents": DOCUMENTS, "fingerprints": "fingerprint string, doc_id long", "postings": "term string, doc_id long"}[name])
-        return self.spark.read.parquet(f"{self.folder}/v{version}/{name}")
-
-    def publish(self, tables: dict[str, DataFrame], version: int) -> None:
-        for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{self.folder}/v{version}/{name}")
-        self.spark.createDataFrame([(json.dumps({"version": version}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/current")
-
-
-def merged(store: IndexStore, batch: DataFrame, keep_stale: bool = True) -> dict[str, DataFrame]:
-    """The tables after a batch of pages (url, fingerprint, words, seq)."""
+            return self.spark.createDataFrame([], schema)
+        log = self.spark.read.schema(schema + ", v int").parquet(f"{self.folder}/g{generation}/{name}").filter(F.col("v") <= version)
+        latest = log.groupBy(key).agg(F.max_by(F.struct(*values), "v").alias("_s")).select(key, "_s.*")
+        return latest.filter(F.col(values[0]).isNotNull())
+
+    def publish(self, changes: dict[str, DataFrame], version: int, generation: int | None = None) -> None:
+        generation = self.pointer()[0] if generation is None else generation
+        for name in TABLES:
+            changes[name].write.mode("overwrite").parquet(f"{self.folder}/g{generation}/{name}/v={version}")
+        at = json.dumps({"generation": generation, "version": version})
+        self.spark.createDataFrame([(at,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/current")
+
+    def compact(self) -> None:
+        """Writes the current state as a generation of one version; older ones may then be removed."""
+        generation, version = self.pointer()
+        if version >= 0:
+            self.publish({name: self.read(name) for name in TABLES}, version, generation + 1)
+
+
+def changed(store: IndexStore, batch: DataFrame, keep_stale: bool = True) -> dict[str, DataFrame]:
+    """The changes that a batch of pages (url, fingerprint, words, seq) makes."""
     documents, prints = store.read("documents"), store.read("fingerprints")
     fields = F.struct("fingerprint", "words")
     last = cut(batch.groupBy("url").agg(F.max_by(fields, "seq").alias("_r"), F.max("seq").alias("seq")).select("url", "_r.fingerprint", "_r.words", "seq"))
     by_url = last.join(documents.select("url", F.col("doc_id").alias("_u")), "url", "left")
-    owned = by_url.join(prints.select("fingerprint", F.col("doc_id").alias("_f")), "fingerprint", "left").withColumn("doc_id", F.coalesce("_u", "_f"))
+    owned = cut(by_url.join(prints.select("fingerprint", F.col("doc_id").alias("_f")), "fingerprint", "left").withColumn("doc_id", F.coalesce("_u", "_f")))
     # pages new to the index that share a fingerprint are one document, owned by the last of them
     fresh = owned.filter("doc_id is null").withColumn("_key", F.coalesce("fingerprint", F.concat(F.lit("url:"), "url")))
-    start = (documents.agg(F.coalesce(F.max("doc_id"), F.lit(-1)).alias("m")).first().m) + 1
+    start = documents.agg(F.coalesce(F.max("doc_id"), F.lit(-1)).alias("m")).first().m + 1
     firsts = fresh.groupBy("_key").agg(F.min("seq").alias("_first"))
-    numbered = _numbered(firsts, start)
-    ids = fresh.join(numbered, "_key").drop("doc_id").withColumnRenamed("_id", "doc_id")
+    ids = fresh.join(_numbered(firsts, start), "_key").drop("doc_id").withColumnRenamed("_id", "doc_id")
     every = cut(owned.filter("doc_id is not null").select("doc_id", "url", "fingerprint", "words", "seq").unionByName(ids.select("doc_id", "url", "fingerprint", "words", "seq")))
     best = every.groupBy("doc_id").agg(F.max_by(F.struct("url", "fingerprint", "words"), "seq").alias("_r")).select("doc_id", "_r.*")
-    touched = every.select("doc_id").distinct()
-    after = cut(documents.join(touched, "doc_id", "left_anti").unionByName(best))
-    changed = every.filter("fingerprint is not null").groupBy("fingerprint").agg(F.max_by("doc_id", "seq").alias("doc_id"))
-    old = prints.join(changed.select("fingerprint"), "fingerprint", "left_anti")
+    owners = every.filter("fingerprint is not null").groupBy("fingerprint").agg(F.max_by("doc_id", "seq").alias("doc_id"))
     if not keep_stale:
-        old = old.join(touched, "doc_id", "left_anti").select("fingerprint", "doc_id")
-    flat = after.select(F.explode(F.array_distinct("words")).alias("term"), "doc_id").filter("term is not null")
-    return {"documents": after, "fingerprints": old.unionByName(changed), "postings": flat}
+        stale = prints.join(best.select("doc_id"), "doc_id", "left_semi").join(owners, "fingerprint", "left_anti")
+        owners = owners.unionByName(stale.select("fingerprint", F.lit(None).cast("long").alias("doc_id")))
+    return {"documents": cut(best), "fingerprints": cut(owners)}
 
 
 def _numbered(firsts: DataFrame, start: int) -> DataFrame:
@@ -84,19 +106,18 @@ def _numbered(firsts: DataFrame, start: int) -> DataFrame:
 
 def upsert(store: IndexStore, batch: DataFrame, keep_stale: bool = True) -> None:
     """Merges a batch and publishes the next version."""
-    version = store.version() + 1
-    store.publish({name: cut(df) for name, df in merged(store, batch, keep_stale).items()}, version)
+    store.publish(changed(store, batch, keep_stale), store.version() + 1)
 
 
 def incremental_index(pages: DataFrame, store: IndexStore, checkpoint: str, keep_stale: bool = True) -> StreamingQuery:
     """A query that merges a stream of pages (url, fingerprint, words, seq) batch by batch until the source is read.
 
-    A batch replayed after a failure is recognised by its number and skipped.
+    A batch that was published before a failure is recognised by its number and skipped.
     """
     base = store.version()
 
     def one(batch: DataFrame, number: int) -> None:
         if store.version() < base + 1 + number:
-            store.publish({name: cut(df) for name, df in merged(store, batch, keep_stale).items()}, base + 1 + number)
+            store.publish(changed(store, batch, keep_stale), base + 1 + number)
 
     return pages.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -159,6 +159,11 @@ def test_upsert(spark, tmp_path):
     assert rows(store.read("documents")) == [(0, "u3", "A", ["x"])]
     upsert(store, pages(spark, [("u4", None, None), ("u5", "C", [])]), keep_stale=False)
     assert sorted(r.url for r in store.read("documents").collect()) == ["u3", "u4", "u5"]
+    before = {n: rows(store.read(n)) for n in ("documents", "fingerprints", "postings")}
+    store.compact()
+    assert {n: rows(store.read(n)) for n in before} == before and store.pointer()[0] == 1
+    upsert(store, pages(spark, [("u3", "D", ["q"])]), keep_stale=False)
+    assert rows(store.read("postings")) == [("q", 0)] and ("A", 0) not in rows(store.read("fingerprints"))
 
 
 def test_stream_equals_batch(spark, tmp_path):
