@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.operators.scale import cut
+from gleanery.operators.scale import cut, join_counted
 
 #: Tokens of a message that the tree branches on below its token count.
 DEPTH = 3
@@ -225,8 +225,11 @@ def templates(rows: DataFrame) -> DataFrame:
 def residue(documents: DataFrame) -> DataFrame:
     """doc_id, slots and points of each document that has any of them."""
     rows = mined(documents)
-    bad = templates(rows).filter("points > 0").select("leaf", "points")
-    by_leaf = rows.filter("leaf is not null and doc_id is not null").select("doc_id", "leaf").join(bad, "leaf").select("doc_id", F.lit(0).alias("slots"), "points", "leaf")
+    bad = cut(templates(rows).filter("points > 0").select("leaf", "points", "uses"))
+    held = rows.filter("leaf is not null and doc_id is not null").select("doc_id", "leaf")
+    # a leaf has at least as many uses as documents, so the uses tell which leaves are hot
+    uses = rows.agg(F.coalesce(F.sum("uses"), F.lit(0)).alias("n")).first().n
+    by_leaf = join_counted(held, bad, ["leaf"], "uses", uses).select("doc_id", F.lit(0).alias("slots"), "points", "leaf")
     by_slot = rows.filter("slots is not null").select("doc_id", "slots", F.lit(0).alias("points"), F.lit(None).cast("string").alias("leaf"))
     both = by_leaf.unionByName(by_slot).dropDuplicates(["doc_id", "leaf"])
     return both.groupBy("doc_id").agg(F.max("slots").alias("slots"), F.sum("points").alias("points"))

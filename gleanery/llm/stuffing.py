@@ -127,8 +127,9 @@ def judged(pages: DataFrame, profile: DataFrame) -> DataFrame:
     centre = prose.groupBy("lang", "band").agg(*stats)
     widths = prose.join(F.broadcast(centre), ["lang", "band"]).groupBy("lang", "band").agg(spread("slope", "_s").alias("_sw"), spread("residual", "_r").alias("_rw"))
     bands = centre.join(widths, ["lang", "band"])
-    general = prose.agg(*[s.alias(a) for s, a in zip([F.percentile_approx("function_share", 0.5), F.percentile_approx("slope", 0.5), F.percentile_approx("residual", 0.5)], ["_f0", "_s0", "_r0"])])
-    joined = rows.join(F.broadcast(bands), ["lang", "band"], "left").join(F.broadcast(general))
+    # medians of all prose, one row, for languages and lengths without any
+    general = prose.agg(*[F.percentile_approx(c, 0.5).alias(c) for c in ("function_share", "slope", "residual")]).first()
+    joined = rows.join(F.broadcast(bands), ["lang", "band"], "left").select("*", *[F.lit(general[c]).cast("double").alias(a) for c, a in (("function_share", "_f0"), ("slope", "_s0"), ("residual", "_r0"))])
     p, q = F.col("function_share"), F.coalesce("_f", "_f0", F.lit(0.35))
     p1, q1 = F.least(F.greatest(p, F.lit(1e-9)), F.lit(1 - 1e-9)), F.least(F.greatest(q, F.lit(0.01)), F.lit(0.99))
     divergence = F.when(p < q, p1 * F.log(p1 / q1) + (1 - p1) * F.log((1 - p1) / (1 - q1))).otherwise(0.0)
