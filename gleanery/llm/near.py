@@ -13,7 +13,9 @@ stored as bit planes, 64 records a word; the distances of all of them to many
 queries are counted at once by carry-save adders on whole words, and a query
 leaves a block as soon as all its distances exceed their radius. The
 filter loses no pair; a pair is taken in the block of its rarest common term
-only, and survivors are verified on the terms themselves.
+only, and survivors are verified on the terms themselves. In blocks of more than
+one chunk, where a family of near copies makes many pairs, that is done in place
+on 64-bit hashes of the terms, so no pair carries its terms through a shuffle.
 
 Blocks larger than ``CHUNK`` are split into pairs of chunks, so no task holds an
 unbounded block. Pairs of equal sets come from the classes.
@@ -79,17 +81,21 @@ def _prefixes(reps: DataFrame, threshold: float) -> DataFrame:
     return entries.select("token", "doc_id", "size", "sketch", F.slice("_s", F.lit(1), F.col("_at")).alias("before"))
 
 
-def _units(entries: DataFrame) -> DataFrame:
+def _units(entries: DataFrame, reps: DataFrame) -> DataFrame:
     """token, first, second, side and the columns of ``entries``: the units of work, pairs of chunks of each block.
 
     A record goes to one chunk by its hash, and with it to each unit of that chunk.
+    Only in blocks of more than one chunk does it bring all its terms.
     """
     sizes = cut(entries.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     placed = join_counted(entries, sizes, ["token"], "n", max(entries.count(), 1))
+    hashes = reps.select("doc_id", F.transform("terms", lambda t: F.xxhash64(t)).alias("terms"))
+    small = placed.filter(F.col("n") <= CHUNK).withColumn("terms", F.array().cast("array<long>"))
+    placed = small.unionByName(placed.filter(F.col("n") > CHUNK).join(hashes, "doc_id"))
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
     own = placed.withColumn("_c", chunks).withColumn("_i", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("_c")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("_c") - 1), lambda j: F.struct(F.least(F.col("_i"), j).alias("first"), F.greatest(F.col("_i"), j).alias("second")))
-    return own.select("token", "doc_id", "size", "sketch", "before", F.col("_i").alias("chunk"), F.explode(pairs).alias("_u")).select("token", "_u.first", "_u.second", "chunk", "doc_id", "size", "sketch", "before")
+    return own.select("token", "doc_id", "size", "sketch", "before", "terms", F.col("_i").alias("chunk"), F.explode(pairs).alias("_u")).select("token", "_u.first", "_u.second", "chunk", "doc_id", "size", "sketch", "before", "terms")
 
 
 def within_radius(sketch, size, queries, query_size, share):
@@ -152,11 +158,47 @@ def within_radius(sketch, size, queries, query_size, share):
     return np.concatenate(out) if out else np.zeros((0, 2), "int64")
 
 
-_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sure", pa.bool_())])
+
+
+def common_terms(starts, ends, terms, q, r):
+    """Number of terms that the records of each pair share; for blocks where many pairs are near.
+
+    Products of incidence matrices, a slice of the terms at a time; terms of a single record are left out.
+    """
+    import numpy as np
+
+    one, at_one = np.unique(q, return_inverse=True)
+    two, at_two = np.unique(r, return_inverse=True)
+    records = np.unique(np.concatenate([one, two]))
+    owner = np.repeat(records, ends[records] - starts[records])
+    held = np.concatenate([terms[starts[x] : ends[x]] for x in records])
+    _, column, times = np.unique(held, return_inverse=True, return_counts=True)
+    kept = times[column] > 1
+    column = np.unique(column[kept], return_inverse=True)[1]
+    owner = owner[kept]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    total = np.zeros((len(one), len(two)), "float32")
+    width = int(column.max(initial=-1)) + 1
+    for low in range(0, width, 4096):
+        part = slice(*np.searchsorted(column, [low, low + 4096]))
+        who, what = owner[part], column[part] - low
+        sides = []
+        for side in (one, two):
+            place = np.minimum(np.searchsorted(side, who), len(side) - 1)
+            mine = side[place] == who
+            matrix = np.zeros((len(side), 4096), "float32")
+            matrix[place[mine], what[mine]] = 1
+            sides.append(matrix)
+        total += sides[0] @ sides[1].T
+    return total[at_one, at_two].astype("int64")
 
 
 def _comparer(threshold: float):
     share = (1 - threshold) / (1 + threshold)
+    exact = Fraction(threshold).limit_denominator(10_000)
+    above, below = exact.numerator, exact.denominator
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -175,15 +217,20 @@ def _comparer(threshold: float):
                 out[low : low + 100_000] = met
             return out
 
-        def found(doc, size, starts, ends, tokens, q, r):
-            """Of pairs of rows within the radius those of similar sizes that no other block has."""
+        def found(doc, size, starts, ends, tokens, q, r, terms=None):
+            """Of pairs of rows within the radius those of similar sizes that no other block has; sure ones with ``terms``."""
             small, large = np.minimum(size[q], size[r]), np.maximum(size[q], size[r])
             ok = (doc[q] != doc[r]) & (small >= threshold * large - 1e-9)
             q, r = q[ok], r[ok]
             new = ~met_before(starts, ends, tokens, q, r)
-            a, b = doc[q[new]], doc[r[new]]
+            q, r = q[new], r[new]
+            if terms is not None and len(q):
+                common = common_terms(*terms, q, r)
+                alike = common * below >= (size[q] + size[r] - common) * above
+                q, r = q[alike], r[alike]
+            a, b = doc[q], doc[r]
             if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=_PAIRS)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), terms is not None))], schema=_PAIRS)
 
         def one_by_one(size, sketch, q, r):
             """Rows of the pairs whose sketches are within the radius."""
@@ -191,13 +238,18 @@ def _comparer(threshold: float):
             near = apart <= np.floor((size[q] + size[r]) * share + 1e-9)
             return q[near], r[near]
 
+        def lists_of(column):
+            lists = column.combine_chunks()
+            lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+            offsets = lists.offsets.to_numpy()
+            return offsets[:-1], offsets[1:], lists.values.to_numpy()
+
         def units(table, bounds):
             table = table.combine_chunks()
             first, second, chunk, doc, size = (table.column(i).to_numpy() for i in range(1, 6))
             sketch = table.column(6).combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1).view("uint64")
-            lists = table.column(7).combine_chunks()
-            lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-            starts, ends, tokens = lists.offsets.to_numpy()[:-1], lists.offsets.to_numpy()[1:], lists.values.to_numpy()
+            starts, ends, tokens = lists_of(table.column(7))
+            terms = lists_of(table.column(8))
             begins, lengths = bounds[:-1], np.diff(bounds)
             whole = first[begins] == second[begins]
             # blocks too small to fill words of 64 records: all of one length at once
@@ -220,7 +272,8 @@ def _comparer(threshold: float):
                 q, r = one[q], two[r]
                 if same:
                     q, r = q[q < r], r[q < r]
-                yield from found(doc, size, starts, ends, tokens, q, r)
+                whole_terms = terms if terms[1][s] > terms[0][s] else None
+                yield from found(doc, size, starts, ends, tokens, q, r, whole_terms)
 
         # units come whole and in order; the last of a batch may go on in the next
         rest = None
@@ -242,15 +295,16 @@ def _comparer(threshold: float):
 def class_pairs(sets: DataFrame, members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """a, b (a < b): classes, by their smallest records, whose sets are similar but not equal."""
     reps = cut(sets.join(members.filter("doc_id = rep").select("doc_id"), "doc_id"))
-    units = _units(cut(_prefixes(reps, threshold)))
+    units = _units(cut(_prefixes(reps, threshold)), reps)
     ordered = units.repartition("token", "first", "second").sortWithinPartitions("token", "first", "second")
-    found = cut(ordered.select("token", "first", "second", "chunk", "doc_id", "size", "sketch", "before").mapInArrow(_comparer(threshold), "a long, b long"))
-    left = found.join(reps.select(F.col("doc_id").alias("a"), F.col("terms").alias("_x")), "a")
+    found = cut(ordered.select("token", "first", "second", "chunk", "doc_id", "size", "sketch", "before", "terms").mapInArrow(_comparer(threshold), "a long, b long, sure boolean"))
+    sure = found.filter("sure").select("a", "b")
+    left = found.filter("not sure").select("a", "b").join(reps.select(F.col("doc_id").alias("a"), F.col("terms").alias("_x")), "a")
     both = left.join(reps.select(F.col("doc_id").alias("b"), F.col("terms").alias("_y")), "b")
     common = F.size(F.array_intersect("_x", "_y"))
     t = Fraction(threshold).limit_denominator(10_000)
     alike = common * t.denominator >= (F.size("_x") + F.size("_y") - common) * t.numerator
-    return both.filter(alike).select("a", "b")
+    return both.filter(alike).select("a", "b").unionByName(sure)
 
 
 def similar_pairs(records: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
