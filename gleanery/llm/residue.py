@@ -89,6 +89,7 @@ _ABOUT = re.compile(
 )
 _HEADLINE_FILLER = re.compile(r"\b(?:headline|text|image) placeholder\b", re.IGNORECASE)
 _QUOTED = re.compile(r"\"[^\"\n]{1,400}\"|“[^“”\n]{1,400}”|„[^„“”\n]{1,400}[“”]|«[^«»\n]{1,400}»|`[^`\n]{1,400}`|(?<![\w’'])'[^'\n]{1,200}'(?!\w)|‘[^‘’\n]{1,200}’(?!\w)")
+_UNSEEN = re.compile("[\u00ad\u180e\u200b-\u200f\u2060\ufeff]")
 _PIECES = re.compile(r"[\r\n]+|(?<=[.!?…])\s+")
 _VARIES = re.compile(r"[\d/\"']")
 _MASKS = [(re.compile(r"\"[^\"\n]*\"|'[^'\n]*'"), "<str>"), (re.compile(r"(?<!\S)/[\w.-]+(?:/[\w.-]+)*/?"), "<path>"), (re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{8,}\b"), "<hex>"), (re.compile(r"\d+"), "<num>")]
@@ -107,7 +108,14 @@ _WILD = "<*>"
 
 
 def messages(text: str) -> list[str]:
-    """Sentences and lines of a text; quoted spans are left out, but not in lines of program failures."""
+    """Sentences and lines of a text; quoted spans are left out, but not in lines of program failures.
+
+    Hard spaces count as spaces and invisible characters not at all.
+    """
+    if "&nbsp;" in text:
+        text = text.replace("&nbsp;", " ")
+    if not text.isascii():
+        text = _UNSEEN.sub("", text)
     out = []
     for line in re.split(r"[\r\n]+", text):
         bare = line if _CODE.match(line) else _QUOTED.sub(" ‹›", line)
@@ -129,10 +137,14 @@ def merged(template: list[str], tokens: list[str]) -> list[str]:
     return [a if a == b else _WILD for a, b in zip(template, tokens)]
 
 
+def cued(words: list[str]) -> bool:
+    """Whether a message or template has a word that every pattern of a verdict needs."""
+    return not _CUES.isdisjoint(words) or any(w.endswith(("error", "exception")) for w in words)
+
+
 def verdict(template: str) -> int:
     """Points of a template: 2 error, failure, notice or filler; 1 a way out of an error page; 0 else."""
-    words = set(_WORD.findall(template))
-    if words.isdisjoint(_CUES) and not any(w.endswith(("error", "exception")) for w in words):
+    if not cued(_WORD.findall(template)):
         return 0
     if _ABOUT.search(template) and not _HEADLINE_FILLER.search(template):
         return 0
@@ -152,15 +164,14 @@ def open_slots(text: str) -> int:
     return found
 
 
-def unresolved(message: str) -> bool:
-    """Whether a message is an unset value or pseudo-Latin filler."""
-    if _UNSET.match(message.strip()):
+def unresolved(message: str, words: list[str]) -> bool:
+    """Whether a message of these words is an unset value or pseudo-Latin filler."""
+    if len(message) < 160 and _UNSET.match(message.strip()):
         return True
-    words = _WORD.findall(message.lower())
     return len(words) >= 4 and sum(w in LATIN for w in words) >= 0.7 * len(words) and sum(w in LATIN and len(w) > 4 for w in words) >= 3
 
 
-_MINED = pa.schema([("doc_id", pa.int64()), ("leaf", pa.string()), ("template", pa.list_(pa.string())), ("uses", pa.int64()), ("slots", pa.int32())])
+_MINED = pa.schema([("doc_id", pa.int64()), ("leaf", pa.string()), ("template", pa.list_(pa.string())), ("uses", pa.int64()), ("cued", pa.bool_()), ("slots", pa.int32())])
 
 
 def _mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,28 +181,36 @@ def _mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             slots, leaves = open_slots(text), set()
             for message in messages(text):
-                slots += unresolved(message)
-                tokens = masked(message)
+                words = _WORD.findall(message.lower())
+                slots += unresolved(message, words)
+                tokens, cue = masked(message), cued(words)
                 leaf = " ".join([str(len(tokens)), *tokens[:DEPTH]])
                 node = tree.get(leaf)
                 if node is None:
-                    tree[leaf] = [tokens, 1]
+                    tree[leaf] = [tokens, 1, cue]
                 else:
                     node[1] += 1
+                    node[2] &= cue
                     if node[0] != tokens:
                         node[0] = merged(node[0], tokens)
-                leaves.add(leaf)
-            rows += [(doc_id, leaf, None, None, None) for leaf in leaves]
+                if cue:
+                    leaves.add(leaf)
+            rows += [(doc_id, leaf, None, None, None, None) for leaf in leaves]
             if slots:
-                rows.append((doc_id, None, None, None, slots))
-        rows += [(None, leaf, tokens, uses, None) for leaf, (tokens, uses) in tree.items()]
+                rows.append((doc_id, None, None, None, None, slots))
+        rows += [(None, leaf, tokens, uses, cue, None) for leaf, (tokens, uses, cue) in tree.items()]
         yield pa.RecordBatch.from_arrays([pa.array(list(v), f.type) for v, f in zip(zip(*rows), _MINED)], schema=_MINED) if rows else pa.RecordBatch.from_pylist([], schema=_MINED)
 
 
 def mined(documents: DataFrame) -> DataFrame:
-    """Rows of three kinds: doc_id and leaf; doc_id and slots; leaf, template and uses of one task's tree."""
+    """Rows of three kinds: doc_id and leaf; doc_id and slots; leaf, template, uses and cued of one task's tree.
+
+    A verdict needs a cue word that stays in the template, so one that all
+    messages of the leaf have: a leaf is ``cued`` if they do, and only messages
+    with a cue word tell the documents that hold their leaf.
+    """
     source = documents.select("doc_id", "text").filter("doc_id is not null and trim(text) <> ''")
-    return cut(source.mapInArrow(_mine, "doc_id long, leaf string, template array<string>, uses long, slots int"))
+    return cut(source.mapInArrow(_mine, "doc_id long, leaf string, template array<string>, uses long, cued boolean, slots int"))
 
 
 #: Parts that a leaf's rows are merged in before they meet.
@@ -200,14 +219,14 @@ PARTS = 64
 
 def _merge(rows: DataFrame, *keys: str) -> DataFrame:
     """Rows with one template for each key, that of all its distinct templates."""
-    whole = rows.groupBy(*keys).agg(F.collect_set("template").alias("_all"), F.sum("uses").alias("uses"))
+    whole = rows.groupBy(*keys).agg(F.collect_set("template").alias("_all"), F.sum("uses").alias("uses"), F.bool_and("cued").alias("cued"))
     cover = lambda a, b: F.zip_with(a, b, lambda x, y: F.when(x == y, x).otherwise(F.lit(_WILD)))
-    return whole.select(*keys, F.aggregate("_all", F.element_at("_all", 1), cover).alias("template"), "uses")
+    return whole.select(*keys, F.aggregate("_all", F.element_at("_all", 1), cover).alias("template"), "uses", "cued")
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        points = [verdict(t) for t in batch.column(1).to_pylist()]
+        points = [verdict(t) if cue else 0 for t, cue in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist())]
         yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(points, pa.int32())], ["leaf", "template", "uses", "points"])
 
 
@@ -219,7 +238,7 @@ def templates(rows: DataFrame) -> DataFrame:
     """
     own = rows.filter("template is not null").withColumn("_part", F.pmod(F.xxhash64("template"), F.lit(PARTS)))
     whole = _merge(_merge(own, "leaf", "_part"), "leaf")
-    return whole.select("leaf", F.array_join("template", " ").alias("template"), "uses").mapInArrow(_judge, "leaf string, template string, uses long, points int")
+    return whole.select("leaf", F.array_join("template", " ").alias("template"), "uses", "cued").mapInArrow(_judge, "leaf string, template string, uses long, points int")
 
 
 def residue(documents: DataFrame) -> DataFrame:
