@@ -33,7 +33,7 @@ def unescaped(x: Column) -> Column:
 
 def stripped(x: Column) -> Column:
     """``x`` without white space at its ends, Unicode's included."""
-    return F.regexp_replace(x, f"^{_SPACE}|{_SPACE}$", "")
+    return F.regexp_replace(x, f"^{_SPACE}|(?<!{SPACE}){_SPACE}$", "")
 
 
 def _seen(markup: Column) -> Column:
@@ -48,8 +48,9 @@ def title(markup: Column) -> Column:
 
 def pieces(markup: Column) -> Column:
     """Text nodes in order, stripped, without empty ones; scripts, styles and comments are no text."""
-    nodes = F.split(F.regexp_replace(_seen(markup), r"<[^>]*>", "\u0001"), "\u0001")
-    return F.filter(F.transform(nodes, lambda n: stripped(unescaped(n))), lambda n: n != "")
+    # entities are resolved once the tags are gone, so that an escaped sign opens none
+    nodes = F.split(unescaped(F.regexp_replace(_seen(markup), r"<[^>]*>", "\u0001")), "\u0001")
+    return F.filter(F.transform(nodes, stripped), lambda n: n != "")
 
 
 def text(markup: Column) -> Column:
@@ -82,7 +83,8 @@ def word_count(full: Column) -> Column:
 def hrefs(markup: Column) -> Column:
     """href of every anchor in order, repeats kept; empty ones and fragments are dropped."""
     found = F.regexp_extract_all(_seen(markup), F.lit(r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']*)[\"']"), F.lit(1))
-    return F.filter(F.transform(found, lambda h: F.trim(unescaped(h))), lambda h: (h != "") & ~h.startswith("#"))
+    plain = F.transform(found, lambda h: F.trim(F.when(h.contains("&"), unescaped(h)).otherwise(h)))
+    return F.filter(plain, lambda h: (h != "") & ~h.startswith("#"))
 
 
 def canonical(markup: Column) -> Column:

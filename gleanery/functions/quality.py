@@ -44,9 +44,12 @@ def structure_score(counts: dict[str, Column]) -> Column:
     return F.least(total, F.lit(1.0))
 
 
-def readability(text: Column) -> Column:
-    """Closeness of sentence and word length to 17.5 words and 5 letters; 0 below 50 characters."""
-    ws = words(text)
+def readability(text: Column, ws: Column | None = None) -> Column:
+    """Closeness of sentence and word length to 17.5 words and 5 letters; 0 below 50 characters.
+
+    ``ws`` are the words of the text, where they are known already.
+    """
+    ws = words(text) if ws is None else ws
     n = F.size(ws)
     sentences = F.size(F.filter(F.split(text, "[.!?]+"), lambda s: ~s.rlike(f"^{SPACE}*$")))
     by_sentence = 1 - F.abs(n / F.nullif(sentences, F.lit(0)) - 17.5) / 30
@@ -65,10 +68,11 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def density(text: Column, keywords: Column) -> Column:
+def density(text: Column, keywords: Column, ws: Column | None = None) -> Column:
     """Struct of global density, largest density of a sliding window, and stuffing score.
 
-    Windows of 100 words start every 50; the last ones are shorter.
+    Windows of 100 words start every 50; the last ones are shorter. ``ws`` are
+    the words of the text, where they are known already.
     """
 
     def scored(hits: Column) -> Column:
@@ -81,7 +85,8 @@ def density(text: Column, keywords: Column) -> Column:
 
     usable = (F.coalesce(text, F.lit("")) != "") & (F.size(F.coalesce(keywords, F.array().cast("array<string>"))) > 0)
     none = F.struct(F.lit(0.0).alias("global_density"), F.lit(0.0).alias("max_density"), F.lit(0.0).alias("stuffing"))
-    marked = _let(F.transform(keywords, lambda k: F.lower(k)), lambda kw: F.transform(words(F.lower(text)), lambda w: F.coalesce(F.array_contains(kw, w), F.lit(False)).cast("int")))
+    low = words(F.lower(text)) if ws is None else F.transform(ws, lambda w: F.lower(w))
+    marked = _let(F.transform(keywords, lambda k: F.lower(k)), lambda kw: F.transform(low, lambda w: F.coalesce(F.array_contains(kw, w), F.lit(False)).cast("int")))
     return F.when(usable, _let(marked, scored)).otherwise(none)
 
 
@@ -94,13 +99,16 @@ def content_quality(pages: DataFrame, owners: DataFrame, snapshot_compat: bool =
     """
     text, markup, keywords = F.col("content_text"), F.col("html_text"), F.col("keywords")
     empty = F.coalesce(text, F.lit("")) == ""
-    n = F.coalesce(F.nullif(F.col("word_count"), F.lit(0)), F.size(words(text)))
+    # the words are a column of their own, used by three scores
+    pages = pages.withColumn("_ws", words(text))
+    ws = F.col("_ws")
+    n = F.coalesce(F.nullif(F.col("word_count"), F.lit(0)), F.size(ws))
     has_keywords = F.size(F.coalesce(keywords, F.array().cast("array<string>"))) > 0
     parts = {
         "length": F.when(empty, 0.0).otherwise(length_score(n)),
         "structure": F.when(empty, 0.0).otherwise(structure_score(element_counts(markup))),
-        "readability": F.when(empty, 0.0).otherwise(readability(text)),
-        "keywords": F.when(empty | ~has_keywords, 1.0).otherwise(1 - density(text, keywords)["stuffing"]),
+        "readability": F.when(empty, 0.0).otherwise(readability(text, ws)),
+        "keywords": F.when(empty | ~has_keywords, 1.0).otherwise(1 - density(text, keywords, ws)["stuffing"]),
         "freshness": F.when(empty, 1.0).otherwise(freshness(F.col("days_old"))),
     }
     narrow = pages.select("doc_id", F.col("content_fingerprint").alias("fp"), empty.alias("_empty"), *[v.alias(f"_{k}") for k, v in parts.items()]).dropDuplicates(["doc_id"])

@@ -85,6 +85,12 @@ def _encoded(x: Column) -> Column:
     return F.replace(F.replace(F.url_encode(x), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
 
 
+def _split(url: Column) -> Column:
+    """Scheme in lower case, netloc, path and query as one array, by one match."""
+    at = F.split(F.regexp_replace(F.trim(url), _PARTS, "$1\u0001$2\u0001$3\u0001$4"), "\u0001")
+    return F.transform(at, lambda x, i: F.when(i == 0, F.lower(x)).otherwise(x))
+
+
 def normalized(url: Column, prefixes: tuple[str, ...] = TRACKING_PREFIXES, keys: tuple[str, ...] = TRACKING_KEYS) -> Column:
     """The normal form of a web URL, null for others.
 
@@ -92,15 +98,18 @@ def normalized(url: Column, prefixes: tuple[str, ...] = TRACKING_PREFIXES, keys:
     and no slashes at its end otherwise; no fragment; query items sorted without
     those that track.
     """
-    host = F.lower(netloc(url))
-    host = F.when(scheme(url) == "http", F.regexp_replace(host, ":80$", "")).otherwise(F.regexp_replace(host, ":443$", ""))
-    raw = path(url)
-    bare = F.when(raw.isin("", "/"), F.lit("/")).otherwise(F.regexp_replace(raw, "/+$", ""))
     tracking = "^(?:" + "|".join([*prefixes]) + ")"
-    kept = F.filter(_items(query(url)), lambda i: ~F.lower(i["k"]).isin(*keys) & ~F.lower(i["k"]).rlike(tracking))
-    joined = F.array_join(F.transform(F.array_sort(kept), lambda i: F.concat(_encoded(i["k"]), F.lit("="), _encoded(i["v"]))), "&")
-    tail = F.when(joined != "", F.concat(F.lit("?"), joined)).otherwise("")
-    return F.when(is_web(url), F.concat(scheme(url), F.lit("://"), host, bare, tail))
+
+    def form(at: Column) -> Column:
+        kind, host, raw, items = (F.get(at, i) for i in range(4))
+        short = F.regexp_replace(F.lower(host), F.when(kind == "http", ":80$").otherwise(":443$"), F.lit(""))
+        bare = F.when(raw.isin("", "/"), F.lit("/")).otherwise(F.rtrim(raw, F.lit("/")))
+        kept = F.filter(_items(items), lambda i: ~F.lower(i["k"]).isin(*keys) & ~F.lower(i["k"]).rlike(tracking))
+        joined = F.array_join(F.transform(F.array_sort(kept), lambda i: F.concat(_encoded(i["k"]), F.lit("="), _encoded(i["v"]))), "&")
+        tail = F.when(items == "", "").otherwise(F.when(joined != "", F.concat(F.lit("?"), joined)).otherwise(""))
+        return F.when(kind.isin("http", "https") & (host != ""), F.concat(kind, F.lit("://"), short, bare, tail))
+
+    return F.element_at(F.transform(F.array(_split(url)), form), 1)
 
 
 def normalized_simple(url: Column) -> Column:
@@ -145,4 +154,10 @@ def resolved(base: Column, href: Column) -> Column:
     hosted = h.startswith("//")
     hard = ~(absolute | rooted | hosted)
     slow = _join(F.when(hard, base), F.when(hard, h))
-    return F.when(absolute, h).when(hosted, F.concat(scheme(base), F.lit(":"), h)).when(rooted, F.concat(scheme(base), F.lit("://"), netloc(base), h)).otherwise(slow)
+    kind, host = F.lower(F.substring_index(base, ":", 1)), F.regexp_extract(base, "^[^:/?#]*://[^/?#]*", 0)
+    return F.when(absolute, h).when(hosted, F.concat(kind, F.lit(":"), h)).when(rooted, F.concat(kind, F.substring(host, F.length(kind) + 1, F.length(host)), h)).otherwise(slow)
+
+
+def present(url: Column) -> Column:
+    """One row for a URL and none for null; as a generator it keeps the URL from being computed again in a filter."""
+    return F.explode(F.array_compact(F.array(url)))

@@ -29,7 +29,7 @@ def admitted(candidates: DataFrame, visited: DataFrame, known: DataFrame, counts
     out, known seeds of depth 0 excepted; other domains than seeds' are capped by
     ``counts`` (domain, pages). Of several candidates of a URL the first by priority, depth enters.
     """
-    c = candidates.select(U.normalized(F.col("url")).alias("url"), F.coalesce("is_seed", F.lit(False)).alias("is_seed"), "depth").filter("url is not null")
+    c = candidates.select(U.present(U.normalized(F.col("url"))).alias("url"), F.coalesce("is_seed", F.lit(False)).alias("is_seed"), "depth")
     limit = F.when(F.col("is_seed"), rules.seed_depth).otherwise(rules.max_depth)
     c = c.filter(~U.skipped(F.col("url"), rules.urls) & (F.col("depth") <= limit))
     c = c.withColumn("priority", F.when(F.col("is_seed"), 0).otherwise(1))

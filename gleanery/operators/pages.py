@@ -42,7 +42,7 @@ def indexed(records: DataFrame) -> DataFrame:
 def links(records: DataFrame) -> DataFrame:
     """src and dst of every link that may be followed, repeats kept for the frontier."""
     flat = records.filter(~F.col("nofollow")).select(F.col("url").alias("src"), F.explode("hrefs").alias("_h"))
-    return flat.select("src", U.normalized(U.resolved(F.col("src"), F.col("_h"))).alias("dst")).filter("dst is not null")
+    return flat.select("src", U.present(U.normalized(U.resolved(F.col("src"), F.col("_h")))).alias("dst"))
 
 
 def graph_sources(records: DataFrame) -> DataFrame:

@@ -36,7 +36,8 @@ def text_structure(spark, d):
 
 
 def text_readability(spark, d):
-    return _once(_pages(spark, d).select("doc_id", rounded(Q.readability(F.col("content_text"))).alias("score")))
+    rows = _pages(spark, d).select("doc_id", "content_text", Q.words(F.col("content_text")).alias("ws"))
+    return _once(rows.select("doc_id", rounded(Q.readability(F.col("content_text"), F.col("ws"))).alias("score")))
 
 
 def text_freshness(spark, d):
@@ -61,8 +62,9 @@ def html_title(spark, d):
 
 
 def html_text(spark, d):
-    text = H.text(F.col("html_text"))
-    return _once(_pages(spark, d).filter("html_text is not null").select("doc_id", F.sha1(text).alias("fingerprint"), H.word_count(text).cast("long").alias("word_count"), F.length(H.content(text)).cast("long").alias("content_length")))
+    rows = _pages(spark, d).filter("html_text is not null").select("doc_id", H.text(F.col("html_text")).alias("text"))
+    text = F.col("text")
+    return _once(rows.select("doc_id", F.sha1(text).alias("fingerprint"), H.word_count(text).cast("long").alias("word_count"), F.length(H.content(text)).cast("long").alias("content_length")))
 
 
 def html_text_dom(spark, d):
@@ -70,13 +72,14 @@ def html_text_dom(spark, d):
 
 
 def html_description(spark, d):
-    return _once(_pages(spark, d).filter("html_text is not null").select("doc_id", H.description(F.col("html_text"), H.text(F.col("html_text"))).alias("description")))
+    rows = _pages(spark, d).filter("html_text is not null").select("doc_id", "html_text", H.text(F.col("html_text")).alias("text"))
+    return _once(rows.select("doc_id", H.description(F.col("html_text"), F.col("text")).alias("description")))
 
 
 def html_links(spark, d):
     base = F.coalesce(F.nullif(H.canonical(F.col("html_text")), F.lit("")), F.col("url"))
     rows = _pages(spark, d).filter("html_text is not null").select("doc_id", base.alias("base"), F.explode(H.hrefs(F.col("html_text"))).alias("href"))
-    return rows.select("doc_id", U.normalized(U.resolved(F.col("base"), F.col("href"))).alias("url")).filter("url is not null").distinct()
+    return rows.select("doc_id", U.present(U.normalized(U.resolved(F.col("base"), F.col("href")))).alias("url")).distinct()
 
 
 def html_directives(spark, d):
