@@ -65,7 +65,8 @@ def line_table(pages: DataFrame, profile: DataFrame) -> DataFrame:
     Texts are reduced to their keys before anything is shuffled.
     """
     keys = line_keys(F.col("content_text"))
-    narrow = pages.select("doc_id", F.col("url").alias("_url"), keys.alias("_keys")).filter("_keys is not null")
+    # the filter is on the text, since one on the keys would compute them twice
+    narrow = pages.filter("content_text is not null").select("doc_id", F.col("url").alias("_url"), keys.alias("_keys"))
     one = narrow.groupBy("doc_id").agg(F.first(F.struct("_url", "_keys")).alias("_r")).select("doc_id", "_r._url", "_r._keys")
     placed = one.join(page_sites(profile), "doc_id", "left").withColumn("site", F.coalesce("site", site_of(F.lit(None).cast("string"), F.col("_url"))))
     return placed.select("site", "doc_id", F.posexplode("_keys").alias("_at", "key")).filter("key is not null").select("site", "doc_id", (F.col("_at") + 1).alias("line_no"), "key")
