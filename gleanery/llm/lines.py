@@ -27,6 +27,8 @@ row in the host table takes the host of its url.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -36,6 +38,8 @@ from gleanery.operators.scale import cut, join_counted
 
 #: Distinct documents of a site that must hold a line for it to count as repeated.
 MIN_SUPPORT = 5
+#: Lengths of sequences after which the found ones are written as one table.
+LENGTHS = 16
 
 
 def line_keys(text: Column) -> Column:
@@ -86,8 +90,8 @@ def repeated_lines(pages: DataFrame, profile: DataFrame, min_support: int = MIN_
     return join_counted(lines, items, ["site", "key"], "uses", lines.count()).select("site", "doc_id", "line_no", "key", "support")
 
 
-def frequent_sequences(pages: DataFrame, profile: DataFrame, min_support: int = MIN_SUPPORT, max_length: int = 6) -> DataFrame:
-    """site, sequence (hex), length and support of the frequent blocks of 1 to ``max_length`` adjacent lines.
+def frequent_sequences(pages: DataFrame, profile: DataFrame, min_support: int = MIN_SUPPORT) -> DataFrame:
+    """site, sequence (hex), length and support of the frequent blocks of adjacent lines, of every length.
 
     At each length the projected database holds, for each occurrence of a
     frequent prefix, its document and end; it grows by the item that follows.
@@ -100,7 +104,7 @@ def frequent_sequences(pages: DataFrame, profile: DataFrame, min_support: int =
     out = found.groupBy("site", F.lower(F.hex("key")).alias("sequence")).agg(F.lit(1).alias("length"), F.max("support").alias("support"))
     prefix = seq.select("site", "doc_id", F.col("pos").alias("end"), F.col("line_no").alias("end_line"), F.col("key").alias("pattern"))
     nxt = seq.select("doc_id", (F.col("pos") - 1).alias("end"), F.col("line_no").alias("next_line"), F.col("key").alias("next_key"))
-    for length in range(2, max_length + 1):
+    for length in count(2):
         grown = (
             prefix.join(nxt, ["doc_id", "end"])
             .filter(F.col("next_line") == F.col("end_line") + 1)
@@ -112,6 +116,8 @@ def frequent_sequences(pages: DataFrame, profile: DataFrame, min_support: int =
         if frequent.isEmpty():
             break
         out = out.unionByName(frequent.select("site", F.lower(F.hex("pattern")).alias("sequence"), F.lit(length).alias("length"), "support"))
+        # long blocks make many lengths: the plan stays small
+        out = cut(out) if length % LENGTHS == 0 else out
         prefix = join_counted(grown, frequent, ["site", "pattern"], "uses", grown.count()).select("site", "doc_id", "end", "end_line", "pattern")
     return out
 

@@ -50,6 +50,15 @@ def test_frequent_sequences(spark):
     assert rows(got)[0][:1] == (1,) and {r[0]: r[1:] for r in rows(got)} == {1: (4, 6), 2: (2, 5), 3: (1, 5)}
 
 
+def test_long_sequences(spark, monkeypatch):
+    monkeypatch.setattr(lines, "LENGTHS", 4)
+    block = "\n".join(f"menu {'abcdefghi'[i]}" for i in range(9))
+    texts = [f"{block}\nown {'abcde'[i]}" for i in range(5)]
+    got = lines.frequent_sequences(pages(spark, texts), profile(spark, 5)).groupBy("length").agg(F.count("*"), F.min("support"))
+    # a block of nine lines has 10 - n blocks of n lines
+    assert rows(got) == [(n, 10 - n, 5) for n in range(1, 10)]
+
+
 # --- main body
 
 ARTICLE = """<html><head><title>T</title><style>p{}</style></head><body><div class=menu><p>Home<p>Shop</div>
