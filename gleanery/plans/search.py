@@ -87,8 +87,8 @@ def search_stemmed(spark, d):
 
     pages = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
     flat = with_stems(pages).select("term", "doc_id").distinct()
-    docs = table(spark, d, "documents").select("doc_id", "url", "title", F.substring("text", 1, 200).alias("description"), *[F.lit(v).alias(s) for s, v in R.DEFAULTS.items()])
-    return S.page_of(S.ranked(docs.drop("relevance_score"), flat, S.parse_query("gardens and bridges"), strategy="relevance_first"), 1, 10)
+    docs = table(spark, d, "documents").select("doc_id", "url", "title", F.substring("text", 1, 200).alias("description"), "text", *[F.lit(v).alias(s) for s, v in R.DEFAULTS.items()])
+    return S.page_of(S.ranked(docs.drop("relevance_score"), flat, S.parse_query("gardens and bridges"), strategy="relevance_first", content="text"), 1, 10)
 
 
 def filter_domain(spark, d):

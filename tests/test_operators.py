@@ -63,6 +63,17 @@ def test_search(spark):
     assert S.ranking_info()["strategies"]["balanced"]["pagerank"] == 0.25
 
 
+def test_search_stemmed_reads_whole_texts(spark, tmp_path):
+    from gleanery.plans.search import search_stemmed
+
+    front = "Nothing of it stands here. " * 10
+    data = [(1, "http://a.org/1", "One", front + "The gardens are open."), (2, "http://a.org/2", "Two", "A bridge. " + front), (3, "http://a.org/3", "Three", "A bridge. " + front + "Two bridges and a garden. " * 9), (4, "http://a.org/4", "Four", front)]
+    spark.createDataFrame(data, "doc_id long, url string, title string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in search_stemmed(spark, str(tmp_path)).collect()}
+    assert set(got) == {1, 2, 3} and got[3].rank_score > got[2].rank_score > got[1].rank_score
+    assert all(len(r.description) == 200 for r in got.values())
+
+
 def test_bm25(spark):
     docs = spark.createDataFrame([(1, ["a"] * 3 + ["z"] * 147)] + [(i, ["a"] if i < 4 else ["q"]) for i in range(2, 12)], "doc_id long, words array<string>")
     got = {r.doc_id: r.bm25 for r in I.bm25(docs, ["a"]).collect()}
