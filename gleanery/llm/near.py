@@ -123,7 +123,8 @@ def within_radius(sketch, size, queries, query_size, share):
     for start in range(0, len(queries), QUERIES):
         live = np.arange(start, min(start + QUERIES, len(queries)))
         counter = [np.zeros((len(live), words), "uint64") for _ in range(levels)]
-        radius = np.floor((query_size[live][:, None] + largest[None, :]) * share + 1e-9).astype("int64")
+        # a larger radius than the counters hold admits every distance
+        radius = np.minimum(np.floor((query_size[live][:, None] + largest[None, :]) * share + 1e-9).astype("int64"), 2**levels - 1)
         near = None
         for low in range(0, width * 64, PLANES):
             for bit in range(low, low + PLANES, 2):

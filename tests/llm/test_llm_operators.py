@@ -228,6 +228,15 @@ def test_within_radius():
     assert want <= got and len(got) <= len(want) + 50
 
 
+def test_radius_beyond_the_counters():
+    # pairs of records of 2,304 terms, and ordinary records in the word of a record of 4,600
+    sketch = np.arange(40, dtype="uint64")[:, None] * np.ones((1, 4), "uint64")
+    for size in np.full(40, 2304), np.array([80] * 39 + [4600]):
+        apart = np.bitwise_count(sketch[:, None] ^ sketch[None]).sum(2)
+        got = {tuple(x) for x in near.within_radius(sketch, size, sketch, size, 1 / 9)}
+        assert {tuple(x) for x in np.argwhere(apart <= np.floor((size[:, None] + size[None]) / 9))} <= got
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(20)] + [(100, 101), (102, 101), (30, 31), (31, 32), (32, 30)]
     nodes = sorted({x for e in chain for x in e} | {500})
