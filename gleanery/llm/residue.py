@@ -3,10 +3,11 @@
 Messages (sentences and lines outside quotation marks) are mined into templates
 by a prefix tree of fixed depth: a message goes to the leaf of its token count
 and its first ``DEPTH`` tokens after variable parts (numbers, paths, codes) are
-masked; a leaf keeps a token where all its messages agree and a wildcard where
-they don't. Each task grows the tree of its own rows, so only one row a leaf and
-task is shuffled; the trees are merged leaf by leaf, each template is judged
-once, and its verdict goes back to the documents that hold a message of it.
+masked; a leaf holds a template for each of its distinct masked messages, so no
+message changes the verdict of another. Each task grows the tree of its own
+rows and shuffles one row for each template with a cue word (no other can have a
+verdict); the trees are merged, each template is judged once, and its verdict
+goes back to the documents that hold a message of it.
 
 Unresolved slots and unset values stand inside ordinary sentences, whose
 templates say nothing; they are found in the messages themselves.
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -104,7 +106,6 @@ _CUES = frozenset(
     "sample launch text insert dummy post placeholder just beschreibung blindtext beispieltext platzhaltertext mustertext texte description factice texto descripción ficticio startseite accueil inicio reference code código referenz référence kennung".split()
 )
 _CODE = re.compile(r"^\s*(?:File \"|at [\w.$]+\(|(?:[A-Za-z_]\w*\.)*\w*(?:Error|Exception)\b|SQL|Warning:|Fatal)")
-_WILD = "<*>"
 
 
 def messages(text: str) -> list[str]:
@@ -132,11 +133,6 @@ def masked(message: str) -> list[str]:
     return low.split()
 
 
-def merged(template: list[str], tokens: list[str]) -> list[str]:
-    """The template that covers both; they have the same length."""
-    return [a if a == b else _WILD for a, b in zip(template, tokens)]
-
-
 def cued(words: list[str]) -> bool:
     """Whether a message or template has a word that every pattern of a verdict needs."""
     return not _CUES.isdisjoint(words) or any(w.endswith(("error", "exception")) for w in words)
@@ -171,7 +167,7 @@ def unresolved(message: str, words: list[str]) -> bool:
     return len(words) >= 4 and sum(w in LATIN for w in words) >= 0.7 * len(words) and sum(w in LATIN and len(w) > 4 for w in words) >= 3
 
 
-_MINED = pa.schema([("doc_id", pa.int64()), ("leaf", pa.string()), ("template", pa.list_(pa.string())), ("uses", pa.int64()), ("cued", pa.bool_()), ("slots", pa.int32())])
+_MINED = pa.schema([("doc_id", pa.int64()), ("leaf", pa.string()), ("key", pa.binary()), ("template", pa.string()), ("uses", pa.int64()), ("slots", pa.int32())])
 
 
 def _mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,78 +175,63 @@ def _mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree: dict[str, list] = {}
         rows: list[tuple] = []
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            slots, leaves = open_slots(text), set()
+            slots, held = open_slots(text), set()
             for message in messages(text):
                 words = _WORD.findall(message.lower())
                 slots += unresolved(message, words)
-                tokens, cue = masked(message), cued(words)
-                leaf = " ".join([str(len(tokens)), *tokens[:DEPTH]])
-                node = tree.get(leaf)
+                if not cued(words):
+                    continue
+                tokens = masked(message)
+                template = " ".join(tokens)
+                node = tree.get(template)
                 if node is None:
-                    tree[leaf] = [tokens, 1, cue]
-                else:
-                    node[1] += 1
-                    node[2] &= cue
-                    if node[0] != tokens:
-                        node[0] = merged(node[0], tokens)
-                if cue:
-                    leaves.add(leaf)
-            rows += [(doc_id, leaf, None, None, None, None) for leaf in leaves]
+                    key = blake2b(template.encode("utf-8", "replace"), digest_size=16).digest()
+                    node = tree[template] = [" ".join([str(len(tokens)), *tokens[:DEPTH]]), key, 0]
+                node[2] += 1
+                held.add(node[1])
+            rows += [(doc_id, None, key, None, None, None) for key in held]
             if slots:
                 rows.append((doc_id, None, None, None, None, slots))
-        rows += [(None, leaf, tokens, uses, cue, None) for leaf, (tokens, uses, cue) in tree.items()]
+        rows += [(None, leaf, key, template, uses, None) for template, (leaf, key, uses) in tree.items()]
         yield pa.RecordBatch.from_arrays([pa.array(list(v), f.type) for v, f in zip(zip(*rows), _MINED)], schema=_MINED) if rows else pa.RecordBatch.from_pylist([], schema=_MINED)
 
 
 def mined(documents: DataFrame) -> DataFrame:
-    """Rows of three kinds: doc_id and leaf; doc_id and slots; leaf, template, uses and cued of one task's tree.
+    """Rows of three kinds: doc_id and key; doc_id and slots; leaf, key, template and uses of one task's tree.
 
-    A verdict needs a cue word that stays in the template, so one that all
-    messages of the leaf have: a leaf is ``cued`` if they do, and only messages
-    with a cue word tell the documents that hold their leaf.
+    A verdict needs a cue word, so only messages that have one enter the tree.
     """
     source = documents.select("doc_id", "text").filter("doc_id is not null and trim(text) <> ''")
-    return cut(source.mapInArrow(_mine, "doc_id long, leaf string, template array<string>, uses long, cued boolean, slots int"))
-
-
-#: Parts that a leaf's rows are merged in before they meet.
-PARTS = 64
-
-
-def _merge(rows: DataFrame, *keys: str) -> DataFrame:
-    """Rows with one template for each key, that of all its distinct templates."""
-    whole = rows.groupBy(*keys).agg(F.collect_set("template").alias("_all"), F.sum("uses").alias("uses"), F.bool_and("cued").alias("cued"))
-    cover = lambda a, b: F.zip_with(a, b, lambda x, y: F.when(x == y, x).otherwise(F.lit(_WILD)))
-    return whole.select(*keys, F.aggregate("_all", F.element_at("_all", 1), cover).alias("template"), "uses", "cued")
+    return cut(source.mapInArrow(_mine, "doc_id long, leaf string, key binary, template string, uses long, slots int"))
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        points = [verdict(t) if cue else 0 for t, cue in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist())]
-        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(points, pa.int32())], ["leaf", "template", "uses", "points"])
+        points = [verdict(t) for t in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(points, pa.int32())], ["leaf", "key", "template", "uses", "points"])
 
 
-def templates(rows: DataFrame) -> DataFrame:
-    """leaf, template, uses and points of every leaf of the merged tree.
+def _judged(rows: DataFrame) -> DataFrame:
+    """leaf, key, template, uses and points of every template with a cue word."""
+    whole = rows.filter("template is not null").groupBy("leaf", "key", "template").agg(F.sum("uses").alias("uses"))
+    return whole.mapInArrow(_judge, "leaf string, key binary, template string, uses long, points int")
 
-    A task's tree has a leaf once a batch, and all templates of a leaf have one
-    length. A leaf that every batch has is merged in parts first.
-    """
-    own = rows.filter("template is not null").withColumn("_part", F.pmod(F.xxhash64("template"), F.lit(PARTS)))
-    whole = _merge(_merge(own, "leaf", "_part"), "leaf")
-    return whole.select("leaf", F.array_join("template", " ").alias("template"), "uses", "cued").mapInArrow(_judge, "leaf string, template string, uses long, points int")
+
+def templates(rows: DataFrame) -> DataFrame:
+    """leaf, template, uses and points of every template with a cue word."""
+    return _judged(rows).drop("key")
 
 
 def residue(documents: DataFrame) -> DataFrame:
-    """doc_id, slots and points of each document that has any of them."""
+    """doc_id, slots and points of each document that has any of them; a leaf counts once, with its best template."""
     rows = mined(documents)
-    bad = cut(templates(rows).filter("points > 0").select("leaf", "points", "uses"))
-    held = rows.filter("leaf is not null and doc_id is not null").select("doc_id", "leaf")
-    # a leaf has at least as many uses as documents, so the uses tell which leaves are hot
+    bad = cut(_judged(rows).filter("points > 0").select("leaf", "key", "points", "uses"))
+    held = rows.filter("key is not null and doc_id is not null").select("doc_id", "key")
+    # a template has at least as many uses as documents, so the uses tell which templates are hot
     uses = rows.agg(F.coalesce(F.sum("uses"), F.lit(0)).alias("n")).first().n
-    by_leaf = join_counted(held, bad, ["leaf"], "uses", uses).select("doc_id", F.lit(0).alias("slots"), "points", "leaf")
+    by_leaf = join_counted(held, bad, ["key"], "uses", uses).select("doc_id", F.lit(0).alias("slots"), "points", "leaf")
     by_slot = rows.filter("slots is not null").select("doc_id", "slots", F.lit(0).alias("points"), F.lit(None).cast("string").alias("leaf"))
-    both = by_leaf.unionByName(by_slot).dropDuplicates(["doc_id", "leaf"])
+    both = by_leaf.unionByName(by_slot).groupBy("doc_id", "leaf").agg(F.max("slots").alias("slots"), F.max("points").alias("points"))
     return both.groupBy("doc_id").agg(F.max("slots").alias("slots"), F.sum("points").alias("points"))
 
 

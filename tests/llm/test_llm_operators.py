@@ -356,3 +356,9 @@ def test_templates_merge(spark):
     df = spark.createDataFrame([(i, f"You have no permission to open /a{i}/b.") for i in range(30)], "doc_id long, text string").repartition(4)
     [row] = residue.templates(residue.mined(df)).collect()
     assert row.uses == 30 and row.points == 2 and row.template.startswith("you have no permission to open")
+
+
+def test_residue_of_a_leaf_with_ordinary_messages(spark):
+    texts = ["The page you requested could not be found.", "The page you see was written in May.", "The site you want is down for maintenance.", "The site you want is well known there."]
+    found = residue.residue_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert rows(found) == [(0,), (2,)]
