@@ -103,7 +103,7 @@ _CUES = frozenset(
     "found error http forbidden unauthorized gateway unavailable timeout request denied nothing expired out suspended requests wrong oops gone maintenance database server permission page team spelling again occurred javascript scripts cookies browser robot human captcha check "
     "gefunden fehler verfügbar verweigert abgelaufen verschoben später wartungsarbeiten wartung skripte roboter schiefgelaufen aufgetreten hoppla serverfehler gibt introuvable trouvée erreur indisponible refusé interdit session expiré expirée déplacée supprimée serveur réessayez navigateur oups disparu survenue produite "
     "encontrada existe disponible denegado caducada caducado expirada movida borrada servidor inténtelo intentarlo navegador mantenimiento vaya mal desaparecido traceback file at exception warning notice deprecated sql table segmentation stack "
-    "sample launch text insert dummy post placeholder just beschreibung blindtext beispieltext platzhaltertext mustertext texte description factice texto descripción ficticio startseite accueil inicio reference code código referenz référence kennung".split()
+    "sample launch text paragraph frontpage homepage insert dummy post placeholder just beschreibung blindtext beispieltext platzhaltertext mustertext texte description factice texto descripción ficticio startseite accueil inicio reference code código referenz référence kennung".split()
 )
 _CODE = re.compile(r"^\s*(?:File \"|at [\w.$]+\(|(?:[A-Za-z_]\w*\.)*\w*(?:Error|Exception)\b|SQL|Warning:|Fatal)")
 

@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -362,3 +363,30 @@ def test_residue_of_a_leaf_with_ordinary_messages(spark):
     texts = ["The page you requested could not be found.", "The page you see was written in May.", "The site you want is down for maintenance.", "The site you want is well known there."]
     found = residue.residue_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert rows(found) == [(0,), (2,)]
+
+
+def examples(parsed):
+    """Texts of a parsed pattern: every branch, repeats none and once."""
+    out = [""]
+    for op, arg in parsed:
+        kind = str(op)
+        if kind == "LITERAL":
+            one = [chr(arg)]
+        elif kind == "IN":
+            one = [chr(arg[0][1])] if str(arg[0][0]) == "LITERAL" else ["a"]
+        elif kind == "BRANCH":
+            one = [e for branch in arg[1] for e in examples(branch)]
+        elif kind == "SUBPATTERN":
+            one = examples(arg[3])
+        elif kind in ("MAX_REPEAT", "MIN_REPEAT"):
+            one = [""] * (arg[0] == 0) + examples(arg[2])
+        else:
+            one = [" "] if kind == "ANY" else [""]
+        out = [a + b for a in out for b in one]
+    return out
+
+
+def test_every_pattern_has_a_cue():
+    for pattern in residue._ERROR + residue._FILLER + residue._AWAY:
+        texts = [e for e in examples(re._parser.parse(pattern)) if re.search(pattern, e)]
+        assert texts and [e for e in texts if not residue.cued(residue._WORD.findall(e))] == [], pattern
