@@ -92,12 +92,13 @@ def sitemap_entries(maps: DataFrame) -> DataFrame:
     return urls.select("sitemap", "kind", "is_index", U.normalized(joined).alias("url"))
 
 
-def sitemap_urls(fetched: DataFrame, roots: DataFrame, depth: int = 5) -> DataFrame:
+def sitemap_urls(fetched: DataFrame, roots: DataFrame) -> DataFrame:
     """Page URLs reached from the root sitemaps (url) through indexes of indexes, each with its sitemap."""
     entries = cut(sitemap_entries(fetched).filter("url is not null"))
     front, seen = roots.select(F.col("url").alias("sitemap")).distinct(), None
     pages = entries.limit(0).select("sitemap", "url")
-    for _ in range(depth):
+    # ends, since a sitemap is entered once
+    while True:
         seen = front if seen is None else seen.unionByName(front)
         here = entries.join(front, "sitemap")
         pages = pages.unionByName(here.filter("not is_index").select("sitemap", "url"))

@@ -132,6 +132,14 @@ def test_sitemaps(spark):
     assert [r[0] for r in data.orderBy("i").select(C.gunzipped("b")).collect()] == ["<urlset/>", "plain", None, None]
 
 
+def test_deep_sitemaps(spark):
+    index = "<sitemapindex><sitemap><loc>http://h.org/{}.xml</loc></sitemap></sitemapindex>"
+    data = [(f"http://h.org/{i}.xml", "text/xml", index.format(i + 1)) for i in range(6)] + [("http://h.org/6.xml", "text/xml", "<urlset><url><loc>http://h.org/page</loc></url></urlset>")]
+    fetched = spark.createDataFrame(data, "url string, content_type string, text string")
+    got = C.sitemap_urls(fetched, fetched.filter("url = 'http://h.org/0.xml'").select("url"))
+    assert [r.url for r in got.collect()] == ["http://h.org/page"]
+
+
 def test_robots(spark):
     text = "User-agent: *\nDisallow: /p\nCrawl-delay: 2.5\nsitemap : http://e.org/S.xml"
     df = spark.createDataFrame([("http://e.org", text, "http://e.org/p/x"), ("http://e.org", text, "http://e.org/q"), ("http://f.org", None, "http://f.org/p")], "origin string, text string, url string")
