@@ -46,10 +46,13 @@ def pagerank(graph: DataFrame, damping: float = 0.85, max_iterations: int = 100,
         return every.select("node", F.lit(0.0).alias("pagerank"))
     ranks = every.withColumn("p", F.lit(1.0 / n))
     lost = ranks.filter("degree is null").agg(F.coalesce(F.sum("p"), F.lit(0.0)).alias("s")).first().s
+    # the ranks of the last two rounds are kept: one of them is the result
+    older = last = None
     for _ in range(max_iterations):
         shares = ranks.filter("degree is not null").select(F.col("node").alias("src"), (F.col("p") / F.col("degree")).alias("share"), "degree")
         received = join_counted(graph, shares, ["src"], "degree", links).groupBy(F.col("dst").alias("node")).agg(F.sum("share").alias("r"))
-        fresh = cut(ranks.join(received, "node", "left").select("node", "degree", F.col("p").alias("before"), (F.lit((1 - damping) / n + damping * lost / n) + damping * F.coalesce("r", F.lit(0.0))).alias("p")))
+        fresh = cut(ranks.join(received, "node", "left").select("node", "degree", F.col("p").alias("before"), (F.lit((1 - damping) / n + damping * lost / n) + damping * F.coalesce("r", F.lit(0.0))).alias("p")), replaces=older)
+        older, last = last, fresh
         state = fresh.agg(F.sum(F.abs(F.col("p") - F.col("before"))).alias("change"), F.coalesce(F.sum(F.when(F.col("degree").isNull(), F.col("p"))), F.lit(0.0)).alias("lost")).first()
         if not fixed and state.change < tolerance:
             break

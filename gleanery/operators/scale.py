@@ -11,6 +11,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
@@ -22,34 +23,82 @@ from pyspark.sql.window import Window
 HOT_SHARE = 1 / 1000
 
 
-#: The folder of each application that names none.
+#: The folder of each local application that names none.
 _OWN_FOLDER: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a new local one only where it is unset."""
+    """The folder that ``spark.checkpoint.dir`` names; only a local master may leave it unset and gets a new one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    app = spark.sparkContext.applicationId
-    if app not in _OWN_FOLDER:
-        _OWN_FOLDER[app] = tempfile.mkdtemp(prefix="gleanery-")
-    return _OWN_FOLDER[app]
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if context.applicationId not in _OWN_FOLDER:
+        _OWN_FOLDER[context.applicationId] = tempfile.mkdtemp(prefix="gleanery-")
+    return _OWN_FOLDER[context.applicationId]
 
 
-def cut(df: DataFrame, *partition_by: str) -> DataFrame:
+def place(spark: SparkSession, path: str):
+    """The file system of a path and the path, as Hadoop has them."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def cut(df: DataFrame, *partition_by: str, replaces: DataFrame | None = None) -> DataFrame:
     """``df`` written as a table to the shared folder and read back.
 
-    The table is removed when the application ends. It keeps the lineage short,
-    is columnar, and survives the loss of any executor.
+    It keeps the lineage short, is columnar, and survives the loss of any
+    executor. The table is removed when the application ends, or when another cut
+    ``replaces`` it: loops so free the copies that no later round reads.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path, partitionBy=list(partition_by) or None)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    system, where = place(spark, path)
+    system.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    if replaces is not None:
+        free(replaces)
+    return out
+
+
+def free(table: DataFrame) -> None:
+    """Removes what ``cut`` wrote for this table; nothing may read it any more."""
+    system, where = place(table.sparkSession, table.written_to)
+    system.delete(where, True)
+
+
+class Pointers:
+    """Numbered files of JSON in a folder; the largest number is the current one."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, f"{folder}/pointers"
+
+    def _numbers(self) -> list[int]:
+        system, where = place(self.spark, self.folder)
+        if not system.exists(where):
+            return []
+        names = [f.getPath().getName() for f in system.listStatus(where)]
+        return sorted(int(n[2:]) for n in names if n.startswith("p-"))
+
+    def read(self) -> dict | None:
+        """What the current pointer says, None before the first."""
+        numbers = self._numbers()
+        return json.loads(self.spark.read.text(f"{self.folder}/p-{numbers[-1]}").first().value) if numbers else None
+
+    def add(self, said: dict) -> None:
+        """Publishes the next pointer; fails if another writer has published meanwhile."""
+        number = max(self._numbers(), default=-1) + 1
+        system, draft = place(self.spark, f"{self.folder}/.draft-{uuid.uuid4().hex}")
+        out = system.create(draft, False)
+        out.write(bytearray(json.dumps(said).encode()))
+        out.close()
+        _, final = place(self.spark, f"{self.folder}/p-{number}")
+        if system.exists(final) or not system.rename(draft, final):
+            raise RuntimeError(f"pointer {number} was published by another writer")
 
 
 def join_counted(left: DataFrame, right: DataFrame, keys: list[str], count: str, total: int, share: float = HOT_SHARE) -> DataFrame:

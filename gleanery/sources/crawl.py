@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import gzip
 import io
-import json
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +12,7 @@ from pyspark.sql.types import BooleanType, StringType
 
 from gleanery.functions import html as H
 from gleanery.functions import url as U
-from gleanery.operators.scale import cut
+from gleanery.operators.scale import Pointers, cut
 
 # Where sites keep their sitemaps.
 SITEMAP_PATHS = (
@@ -144,9 +143,10 @@ def documents_from_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_snapshot(tables: dict[str, DataFrame], folder: str, version: str, max_file_mb: float = 0, max_total_mb: float = 0) -> bool:
-    """Writes the tables as a new version and then moves the pointer to it; false if they exceed the limits.
+    """Writes the tables as a new version and then adds a pointer to it; false if they exceed the limits.
 
-    Readers follow the pointer, so they see the old version or the new one whole.
+    Readers take the last pointer, so they see the old version or the new one
+    whole; pointers are never overwritten, so no interruption loses a version.
     """
     spark = next(iter(tables.values())).sparkSession
     if max_file_mb or max_total_mb:
@@ -155,14 +155,13 @@ def write_snapshot(tables: dict[str, DataFrame], folder: str, version: str, max_
             return False
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{folder}/{version}/{name}.parquet")
-    pointer = spark.createDataFrame([(json.dumps({"version": version}),)], "value string").coalesce(1)
-    pointer.write.mode("overwrite").text(f"{folder}/current")
+    Pointers(spark, folder).add({"version": version})
     return True
 
 
 def read_snapshot(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table of the version that the pointer names."""
-    version = json.loads(spark.read.text(f"{folder}/current").first().value)["version"]
+    version = Pointers(spark, folder).read()["version"]
     return spark.read.parquet(f"{folder}/{version}/{name}.parquet")
 
 

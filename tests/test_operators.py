@@ -180,11 +180,41 @@ def test_upsert(spark, tmp_path):
     assert sorted(r.url for r in store.read("documents").collect()) == ["u3", "u4", "u5"]
     before = {n: rows(store.read(n)) for n in ("documents", "fingerprints", "postings")}
     store.compact()
-    assert {n: rows(store.read(n)) for n in before} == before and store.pointer()[0] == 1
+    assert {n: rows(store.read(n)) for n in before} == before and store.pointer()["generation"] == 1
     upsert(store, pages(spark, [("u3", "D", ["q"])]), keep_stale=False)
     assert rows(store.read("postings")) == [("q", 0)] and ("A", 0) not in rows(store.read("fingerprints"))
 
 
+def test_store_survives_interruption(spark, tmp_path):
+    store = IndexStore(spark, str(tmp_path / "i"), buckets=4, compact_every=2)
+    upsert(store, pages(spark, [(f"u{i}", f"f{i}", ["a"]) for i in range(3)]))
+    # a publication that ends before its pointer: its files are there, the state is the one before
+    half = {"documents": spark.createDataFrame([(9, "x", "y", ["z"])], "doc_id long, url string, fingerprint string, words array<string>")}
+    half["documents"].withColumn("b", F.lit(0)).write.parquet(str(tmp_path / "i/g0/documents/log/v=1"))
+    (tmp_path / "i/pointers/.draft-x").write_text("{")
+    again = IndexStore(spark, str(tmp_path / "i"), buckets=4, compact_every=2)
+    assert again.read("documents").count() == 3
+    # a restarted stream skips the batch that was published before the failure
+    again.merge(pages(spark, [("u3", "f3", ["b"])]), number=("stream", 0))
+    assert again.pointer()["batches"] == {"stream": 0} and again.pointer()["generation"] == 1 and again.pointer()["next_id"] == 4
+    upsert(again, pages(spark, [("u1", "f9", ["c"]), ("u4", "f0", ["d"])]))
+    assert rows(again.read("documents").select("doc_id", "url", "fingerprint")) == [(0, "u4", "f0"), (1, "u1", "f9"), (2, "u2", "f2"), (3, "u3", "f3")]
+    assert sorted(r.url for r in again.read("urls").collect()) == ["u1", "u2", "u3", "u4"]
+    # a batch reads only the buckets of its keys
+    key = spark.createDataFrame([("u1",)], "url string")
+    assert again.near("urls", key).count() < 4 and again.near("urls", key).filter("url = 'u1'").count() == 1
+
+
+def test_cut_frees_copies(spark):
+    import os
+
+    one = cut(spark.range(3))
+    two = cut(one.withColumn("x", F.lit(1)), replaces=None)
+    assert os.path.exists(one.written_to)
+    three = cut(two.withColumn("y", F.lit(1)), replaces=one)
+    assert not os.path.exists(one.written_to) and three.count() == 3
+
+
 def test_stream_equals_batch(spark, tmp_path):
     data = [(f"u{i}", f"f{i}", [f"w{i % 7}", "all"]) for i in range(40)]
     for k in range(4):
