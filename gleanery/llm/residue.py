@@ -3,11 +3,15 @@
 Messages (sentences and lines outside quotation marks) are mined into templates
 by a prefix tree of fixed depth: a message goes to the leaf of its token count
 and its first ``DEPTH`` tokens after variable parts (numbers, paths, codes) are
-masked; a leaf holds a template for each of its distinct masked messages, so no
-message changes the verdict of another. Each task grows the tree of its own
-rows and shuffles one row for each template with a cue word (no other can have a
-verdict); the trees are merged, each template is judged once, and its verdict
-goes back to the documents that hold a message of it.
+masked. A leaf holds several templates, split by similarity: messages share one
+if they agree in every token that a verdict can depend on, and their other tokens
+become wildcards. Which tokens those are follows from the patterns themselves
+(``signal``), so a template has the verdict of each of its messages, whatever else
+is in its leaf, and merging trees is a plain aggregation in any order. Each task
+grows the tree of its own rows and shuffles one row for each template; the trees
+are merged, each template is judged once, and its verdict goes back to the
+documents that hold a message of it. A message without any of the words that
+every pattern needs (``cued``, derived from the patterns too) enters no tree.
 
 Unresolved slots and unset values stand inside ordinary sentences, whose
 templates say nothing; they are found in the messages themselves.
@@ -22,6 +26,7 @@ document count once; long texts are read whole.
 from __future__ import annotations
 
 import re
+from re import _parser
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -35,6 +40,8 @@ from gleanery.operators.scale import cut, join_counted
 DEPTH = 3
 #: Points a document needs: a certain template has 2, one that also ends ordinary pages 1.
 LIMIT = 2
+#: Words of a message that, nearly all the same, are filler.
+REPEATS = 8
 
 # Phrases of error pages, failures and notices, by language.
 _ERROR = [
@@ -55,7 +62,9 @@ _ERROR = [
     # Spanish
     r"página no (?:encontrada|existe)", r"error <num>", r"servicio no disponible", r"acceso denegado", r"sesión (?:ha )?(?:caducada|caducado|expirada)", r"página fue (?:movida|borrada)", r"no existe en este servidor", r"inténtelo de nuevo", r"vuelva a intentarlo",
     r"active javascript", r"activar javascript", r"scripts están bloqueados", r"comprobando su navegador", r"su navegador es (?:demasiado antiguo|antiguo|obsoleto)", r"en mantenimiento", r"no es un robot", r"^vaya\b.*página", r"algo (?:salió|ha salido) mal", r"esta página (?:ya no existe|ha desaparecido)",
-    # program failures
+]
+# Lines of program failures; no one writes about templates in them.
+_FAILURE = [
     r"traceback \(most recent call last\)", r"^file <.*line <num>", r"^(?:[a-z_]\w*\.)*[a-z]\w*(?:error|exception)(?::|$)", r"^at \S+\(\S+:<num>\)", r"(?:fatal|parse|syntax) error:", r"^(?:warning|notice|deprecated): .*\bon line <num>", r"^warning: undefined", r"sql (?:syntax )?error", r"no such table", r"segmentation fault", r"stack trace:", r"exception in thread",
 ]
 # Lines that lead away from error pages but end ordinary pages too.
@@ -72,15 +81,16 @@ LATIN = frozenset(
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum ornare erat tellus massa aptent quorum rutrum tempus proin donec justo mollis semper fusce orci libero lacus quam vario pulvi pulvinar vestibulum curabitur pellentesque maecenas phasellus vivamus aenean nullam integer praesent suspendisse mauris nunc turpis egestas ultrices posuere cubilia sapien ligula porta vitae augue".split()
 )
 _NOTHING = r"(?:undefined|nan|none|null|nil|\(null\)|\(none\)|\[object object\]|function ?\(\) ?\{ ?\[native code\] ?\})"
+#: An unset value alone or after a label; a label has at most five words, a longer one is a sentence.
 _UNSET = re.compile(
-    rf"^(?:[^\W\d_][\w -]{{0,30}}\s?: {_NOTHING}|{_NOTHING} [\w ]{{1,20}} in {_NOTHING}|(?:welcome(?: back)?|hello|hi|dear|hallo|willkommen|bonjour|bienvenue|hola|bienvenido),? {_NOTHING}|(?:posted|written|published) by {_NOTHING}(?: on {_NOTHING})?|{_NOTHING})\W*$",
+    rf"^(?:[^\W\d_][\w-]*(?: [\w-]+){{0,4}}\s?: {_NOTHING}|{_NOTHING} \w+(?: \w+){{0,4}} in {_NOTHING}|(?:welcome(?: back)?|hello|hi|dear|hallo|willkommen|bonjour|bienvenue|hola|bienvenido),? {_NOTHING}|(?:posted|written|published) by {_NOTHING}(?: on {_NOTHING})?|{_NOTHING})\W*$",
     re.IGNORECASE,
 )
 _SLOT = re.compile(
-    r"\{\{\{?\s*[\w.$ -]{1,40}\s*\}?\}\}|\$\{\s*[\w.-]{1,40}\s*\}|#\{\s*[\w.-]{1,40}\s*\}|\{\$[\w.-]{1,40}\}|\{%-?\s*[\w. \"'=-]{1,60}\s*-?%\}|(?<![\w$#%{@])\{[^\W\d][\w.-]{1,40}\}(?![}\w])"
-    r"|<%[=-]?\s*[\w.$ ()-]{1,40}\s*-?%>|<\?(?:=|php)\s*\$?[\w.>$ ()-]{1,40};?\s*\?>|%\([\w.-]{1,40}\)[sdif]|(?<![\w%])%[^\W\d][\w.-]{2,40}%(?!\w)|\[\[[\w. -]{1,40}\]\]"
-    r"|(?<![\w@])@@[\w.-]{1,40}@@(?!\w)|(?<![\w_])__[^\W\d_][\w.-]{0,38}[^\W_]__(?![\w(])|(?<![\w~])~[^\W\d_][\w.-]{1,40}~(?!\w)|(?<![\w:])::[^\W\d_][\w.-]{1,40}::(?!\w)|(?<![\w#])##[^\W\d_][\w.-]{1,40}##(?!\w)"
-    r"|\[(?:insert|your|enter|add|einfügen|ihr|ihre|insérer|insérez|votre|insertar|inserte|su)\b[^\]\n]{1,40}\]",
+    r"\{\{\{?\s*[\w.$ -]+\s*\}?\}\}|\$\{\s*[\w.-]+\s*\}|#\{\s*[\w.-]+\s*\}|\{\$[\w.-]+\}|\{%-?\s*[\w. \"'=-]+?\s*-?%\}|(?<![\w$#%{@])\{[^\W\d][\w.-]+\}(?![}\w])"
+    r"|<%[=-]?\s*[\w.$ ()-]+?\s*-?%>|<\?(?:=|php)\s*\$?[\w.>$ ()-]+;?\s*\?>|%\([\w.-]+\)[sdif]|(?<![\w%])%[^\W\d][\w.-]{2,}%(?!\w)|\[\[[\w. -]+\]\]"
+    r"|(?<![\w@])@@[\w.-]+@@(?!\w)|(?<![\w_])__[^\W\d_](?:[\w.-]*[^\W_])?__(?![\w(])|(?<![\w~])~[^\W\d_][\w.-]+~(?!\w)|(?<![\w:])::[^\W\d_][\w.-]+::(?!\w)|(?<![\w#])##[^\W\d_][\w.-]+##(?!\w)"
+    r"|\[(?:insert|your|enter|add|einfügen|ihr|ihre|insérer|insérez|votre|insertar|inserte|su)\b(?:[^\].!?\n]|[.!?](?!\s))+\]",
     re.IGNORECASE,
 )
 _SLOT_SIGN = re.compile(r"[{%\[@~]|__|::|##|<\?")
@@ -90,21 +100,107 @@ _ABOUT = re.compile(
     r"\b(?:templates?|tags?|placeholders?|variables?|dummy copy|vorlagen?|platzhalter|gabarits?|modèle de page|balises?|marqueurs?|plantillas?|etiquetas?|marcadores?)\b(?! ?placeholder)", re.IGNORECASE
 )
 _HEADLINE_FILLER = re.compile(r"\b(?:headline|text|image) placeholder\b", re.IGNORECASE)
-_QUOTED = re.compile(r"\"[^\"\n]{1,400}\"|“[^“”\n]{1,400}”|„[^„“”\n]{1,400}[“”]|«[^«»\n]{1,400}»|`[^`\n]{1,400}`|(?<![\w’'])'[^'\n]{1,200}'(?!\w)|‘[^‘’\n]{1,200}’(?!\w)")
+_QUOTED = re.compile(r"(?<!\w)\"(?=\S)[^\"\n]*[^\"\s]\"(?!\w)|“[^“”\n]+”|„[^„“”\n]+[“”]|«[^«»\n]+»|`[^`\n]+`|(?<![\w’'])'[^'\n]+'(?!\w)|‘[^‘’\n]+’(?!\w)")
 _UNSEEN = re.compile("[\u00ad\u180e\u200b-\u200f\u2060\ufeff]")
 _PIECES = re.compile(r"[\r\n]+|(?<=[.!?…])\s+")
 _VARIES = re.compile(r"[\d/\"']")
 _MASKS = [(re.compile(r"\"[^\"\n]*\"|'[^'\n]*'"), "<str>"), (re.compile(r"(?<!\S)/[\w.-]+(?:/[\w.-]+)*/?"), "<path>"), (re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{8,}\b"), "<hex>"), (re.compile(r"\d+"), "<num>")]
 _JUDGE = re.compile("|".join(_ERROR + _FILLER))
+_JUDGE_FAILURE = re.compile("|".join(_FAILURE))
 _JUDGE_AWAY = re.compile("|".join(_AWAY))
 _WORD = re.compile(r"[^\W\d_]+")
-#: Each pattern above needs one of these words; a template without any is judged at once.
-_CUES = frozenset(
-    "found error http forbidden unauthorized gateway unavailable timeout request denied nothing expired out suspended requests wrong oops gone maintenance database server permission page team spelling again occurred javascript scripts cookies browser robot human captcha check "
-    "gefunden fehler verfügbar verweigert abgelaufen verschoben später wartungsarbeiten wartung skripte roboter schiefgelaufen aufgetreten hoppla serverfehler gibt introuvable trouvée erreur indisponible refusé interdit session expiré expirée déplacée supprimée serveur réessayez navigateur oups disparu survenue produite "
-    "encontrada existe disponible denegado caducada caducado expirada movida borrada servidor inténtelo intentarlo navegador mantenimiento vaya mal desaparecido traceback file at exception warning notice deprecated sql table segmentation stack "
-    "sample launch text paragraph frontpage homepage insert dummy post placeholder just beschreibung blindtext beispieltext platzhaltertext mustertext texte description factice texto descripción ficticio startseite accueil inicio reference code código referenz référence kennung".split()
-)
+_MASK_NAMES = frozenset(name.strip("<>") for _, name in _MASKS)
+#: What stands for a token that no verdict depends on.
+ANY = "<*>"
+
+
+def _literals(parsed) -> list[tuple[str, list]]:
+    """Items of a parsed pattern: runs of letters, and alternatives with the items of each, ``must`` or ``may``."""
+    out: list[tuple[str, list]] = []
+    run = ""
+    for op, value in parsed:
+        op = str(op)
+        letter = chr(value) if op == "LITERAL" else ""
+        if letter and _WORD.fullmatch(letter):
+            run += letter
+            continue
+        if run:
+            out.append(("must", [[run]]))
+            run = ""
+        if op == "BRANCH":
+            out.append(("must", [_literals(branch) for branch in value[1]]))
+        elif op == "SUBPATTERN":
+            out.append(("must", [_literals(value[3])]))
+        elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+            out.append(("must" if value[0] else "may", [_literals(value[2])]))
+    return out + ([("must", [[run]])] if run else [])
+
+
+def needed(pattern: str) -> set[str]:
+    """Pieces of words of which every match of the pattern holds at least one; the longest that can be had."""
+
+    def cover(items: list) -> set[str]:
+        best: set[str] = set()
+        for item in items:
+            if isinstance(item, str):
+                here = {item} - _MASK_NAMES
+            else:
+                parts = [cover(branch) for branch in item[1]] if item[0] == "must" else [set()]
+                here = set().union(*parts) if all(parts) else set()
+            if here and (not best or min(map(len, here)) >= min(map(len, best))):
+                best = here
+        return best
+
+    return cover(_literals(_parser.parse(pattern)))
+
+
+def pieces_of(pattern: str) -> set[str]:
+    """Every piece of a word that the pattern names; a single optional letter belongs to the piece before it."""
+
+    def walk(items: list, optional: bool) -> set[str]:
+        found: set[str] = set()
+        for item in items:
+            if isinstance(item, str):
+                found |= set() if optional and len(item) == 1 else {item}
+            else:
+                for branch in item[1]:
+                    found |= walk(branch, item[0] == "may")
+        return found
+
+    return walk(_literals(_parser.parse(pattern)), False) - _MASK_NAMES
+
+
+_CUES = frozenset().union(*(needed(p) for p in _ERROR + _FAILURE + _FILLER + _AWAY))
+_SIGNALS = frozenset().union(*(pieces_of(p) for p in [*_ERROR, *_FAILURE, *_FILLER, *_AWAY, _ABOUT.pattern, _HEADLINE_FILLER.pattern]))
+_SHORT = 2
+
+
+def _finder(pieces: frozenset[str]):
+    """A pattern of the pieces within a word; those of one or two letters must be the word."""
+    within = "|".join(sorted(w for w in pieces if len(w) > _SHORT))
+    alone = "|".join(sorted(w for w in pieces if len(w) <= _SHORT))
+    return re.compile(rf"{within}|(?<![^\W\d_])(?:{alone})(?![^\W\d_])")
+
+
+_CUE, _SIGNAL = _finder(_CUES), _finder(_SIGNALS)
+
+
+class _Known(dict):
+    """Answers about tokens, remembered; forgetting them changes no answer."""
+
+    def __init__(self, ask):
+        self.ask = ask
+
+    def __missing__(self, token: str) -> bool:
+        if len(self) > 200_000:
+            self.clear()
+        self[token] = answer = self.ask(token)
+        return answer
+
+
+_is_cue = _Known(lambda token: bool(_CUE.search(token)))
+#: Tokens with a piece that a pattern names, without letters, or with signs inside.
+_is_signal = _Known(lambda token: bool(_SIGNAL.search(token)) or not _WORD.search(token) or bool(re.search(r"[<(:]", token)))
 _CODE = re.compile(r"^\s*(?:File \"|at [\w.$]+\(|(?:[A-Za-z_]\w*\.)*\w*(?:Error|Exception)\b|SQL|Warning:|Fatal)")
 
 
@@ -134,17 +230,23 @@ def masked(message: str) -> list[str]:
 
 
 def cued(words: list[str]) -> bool:
-    """Whether a message or template has a word that every pattern of a verdict needs."""
-    return not _CUES.isdisjoint(words) or any(w.endswith(("error", "exception")) for w in words)
+    """Whether a message has a word that some pattern of a verdict needs."""
+    return any(map(_is_cue.__getitem__, words))
+
+
+def template_of(tokens: list[str]) -> str:
+    """The template of a masked message: its first tokens and those that a verdict can depend on."""
+    return " ".join(t if at < DEPTH or _is_signal[t] else ANY for at, t in enumerate(tokens))
 
 
 def verdict(template: str) -> int:
     """Points of a template: 2 error, failure, notice or filler; 1 a way out of an error page; 0 else."""
-    if not cued(_WORD.findall(template)):
+    said = template.replace(ANY, "_")
+    if _JUDGE_FAILURE.search(said):
+        return 2
+    if _ABOUT.search(said) and not _HEADLINE_FILLER.search(said):
         return 0
-    if _ABOUT.search(template) and not _HEADLINE_FILLER.search(template):
-        return 0
-    return 2 if _JUDGE.search(template) else 1 if _JUDGE_AWAY.search(template) else 0
+    return 2 if _JUDGE.search(said) else 1 if _JUDGE_AWAY.search(said) else 0
 
 
 def open_slots(text: str) -> int:
@@ -161,8 +263,10 @@ def open_slots(text: str) -> int:
 
 
 def unresolved(message: str, words: list[str]) -> bool:
-    """Whether a message of these words is an unset value or pseudo-Latin filler."""
-    if len(message) < 160 and _UNSET.match(message.strip()):
+    """Whether a message of these words is an unset value, pseudo-Latin filler, or one word over and over."""
+    if _UNSET.match(message.strip()):
+        return True
+    if len(words) >= REPEATS and words.count(words[len(words) // 2]) >= 0.9 * len(words):
         return True
     return len(words) >= 4 and sum(w in LATIN for w in words) >= 0.7 * len(words) and sum(w in LATIN and len(w) > 4 for w in words) >= 3
 
@@ -182,7 +286,7 @@ def _mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if not cued(words):
                     continue
                 tokens = masked(message)
-                template = " ".join(tokens)
+                template = template_of(tokens)
                 node = tree.get(template)
                 if node is None:
                     key = blake2b(template.encode("utf-8", "replace"), digest_size=16).digest()
@@ -197,10 +301,7 @@ def _mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def mined(documents: DataFrame) -> DataFrame:
-    """Rows of three kinds: doc_id and key; doc_id and slots; leaf, key, template and uses of one task's tree.
-
-    A verdict needs a cue word, so only messages that have one enter the tree.
-    """
+    """Rows of three kinds: doc_id and key; doc_id and slots; leaf, key, template and uses of one task's tree."""
     source = documents.select("doc_id", "text").filter("doc_id is not null and trim(text) <> ''")
     return cut(source.mapInArrow(_mine, "doc_id long, leaf string, key binary, template string, uses long, slots int"))
 
@@ -212,13 +313,13 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _judged(rows: DataFrame) -> DataFrame:
-    """leaf, key, template, uses and points of every template with a cue word."""
+    """leaf, key, template, uses and points of every template of the merged trees."""
     whole = rows.filter("template is not null").groupBy("leaf", "key", "template").agg(F.sum("uses").alias("uses"))
     return whole.mapInArrow(_judge, "leaf string, key binary, template string, uses long, points int")
 
 
 def templates(rows: DataFrame) -> DataFrame:
-    """leaf, template, uses and points of every template with a cue word."""
+    """leaf, template, uses and points of every template."""
     return _judged(rows).drop("key")
 
 
