@@ -5,16 +5,18 @@ within a site are its frequent sequences, mined by PrefixSpan with every step a
 distributed aggregation:
 
 * the first projection counts, for each site and line identifier, the distinct
-  documents that hold it;
-* a longer pattern grows from a frequent prefix by the line that follows it in
-  the projected documents (adjacent non-empty lines, so a pattern is a block
-  of the page), and again its distinct documents are counted.
-
-Support never rises with length, so every line of a frequent sequence is itself
-a frequent sequence of length 1: deleting the occurrences of the frequent
-sequences of all lengths deletes exactly the lines that the first projection
-finds. ``repeated_lines`` therefore reads them off that projection, and
-``frequent_sequences`` grows the longer blocks for a report of the templates.
+  documents that hold it, and drops the infrequent ones from the sequences, so
+  that later steps see across gaps of a document's own and of blank lines;
+* a frequent line whose every occurrence is followed by the same line, which
+  itself follows nothing else, is grown by it without losing an occurrence, and so
+  on: each line falls into one closed block, a sequence of the site (``blocks``);
+* a longer sequence grows from a frequent prefix by the block that follows it in
+  the projected documents, and again its distinct documents are counted, until no
+  sequence of a length is frequent (``frequent_sequences``).
+
+What is deleted are the occurrences of the closed blocks, single lines included.
+Support never rises with length, so every longer frequent sequence consists of
+blocks, and its occurrences hold no further line.
 
 Counts are pre-aggregated before every shuffle and keyed by (site, line), so a
 site with a third of all documents is spread over many tasks; the join back to
@@ -84,47 +86,83 @@ def frequent_items(lines: DataFrame, min_support: int = MIN_SUPPORT) -> DataFram
 
 
 def repeated_lines(pages: DataFrame, profile: DataFrame, min_support: int = MIN_SUPPORT) -> DataFrame:
-    """doc_id and line_no of every line whose identifier is a frequent sequence of its site, with site, key and support."""
+    """site, doc_id, line_no, key and support of every line that the first projection keeps."""
     lines = cut(line_table(pages, profile))
     items = cut(frequent_items(lines, min_support))
     return join_counted(lines, items, ["site", "key"], "uses", lines.count()).select("site", "doc_id", "line_no", "key", "support")
 
 
+def _glued(seq: DataFrame) -> DataFrame:
+    """site, key and uses of every frequent line, and whether it always follows one line that is always followed by it."""
+    ends = [F.count(F.lit(1)).alias("uses"), F.max("support").alias("support")]
+    for side in ("before", "after"):
+        ends += [F.min(side).alias(f"_{side}"), ((F.count(side) == F.count(F.lit(1))) & (F.min(side) == F.max(side))).alias(f"_one_{side}")]
+    items = cut(seq.groupBy("site", "key").agg(*ends))
+    leads = items.filter("_one_after").select("site", F.col("key").alias("_before"), F.col("_after").alias("key"), F.lit(True).alias("_led"))
+    joined = items.join(leads, ["site", "_before", "key"], "left")
+    return cut(joined.select("site", "key", "uses", (F.col("_one_before") & F.coalesce("_led", F.lit(False)) & (F.col("key") != F.col("_before"))).alias("glued")))
+
+
+def blocks(pages: DataFrame, profile: DataFrame, min_support: int = MIN_SUPPORT) -> DataFrame:
+    """site, doc_id, line_no, key, support, block and length: the lines of each occurrence of a closed block.
+
+    ``block`` numbers the occurrences in a document, ``length`` is their number of lines.
+    """
+    found = repeated_lines(pages, profile, min_support)
+    order = Window.partitionBy("doc_id").orderBy("line_no")
+    seq = cut(found.withColumn("before", F.lag("key").over(order)).withColumn("after", F.lead("key").over(order)))
+    marked = join_counted(seq, _glued(seq), ["site", "key"], "uses", max(seq.count(), 1))
+    numbered = marked.withColumn("block", F.sum(F.when(F.col("glued"), 0).otherwise(1)).over(order))
+    return numbered.select("site", "doc_id", "line_no", "key", "support", "block", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "block")).cast("int").alias("length"))
+
+
+def deleted_lines(pages: DataFrame, profile: DataFrame, min_support: int = MIN_SUPPORT) -> DataFrame:
+    """doc_id and line_no of every line in an occurrence of a frequent sequence of its site."""
+    return blocks(pages, profile, min_support).select("doc_id", "line_no")
+
+
 def frequent_sequences(pages: DataFrame, profile: DataFrame, min_support: int = MIN_SUPPORT) -> DataFrame:
-    """site, sequence (hex), length and support of the frequent blocks of adjacent lines, of every length.
+    """site, sequence (hex), length in lines, support, and doc_id, first and last line of an occurrence of every frequent sequence of closed blocks.
 
     At each length the projected database holds, for each occurrence of a
-    frequent prefix, its document and end; it grows by the item that follows.
+    frequent prefix, its document and end; it grows by the block that follows.
     The loop ends when no sequence of a length is frequent.
     """
-    found = repeated_lines(pages, profile, min_support)
-    order = Window.partitionBy("doc_id").orderBy("line_no")
-    seq = cut(found.withColumn("pos", F.row_number().over(order)).select("site", "doc_id", "pos", "line_no", "key"))
-    spark = pages.sparkSession
-    out = found.groupBy("site", F.lower(F.hex("key")).alias("sequence")).agg(F.lit(1).alias("length"), F.max("support").alias("support"))
-    prefix = seq.select("site", "doc_id", F.col("pos").alias("end"), F.col("line_no").alias("end_line"), F.col("key").alias("pattern"))
-    nxt = seq.select("doc_id", (F.col("pos") - 1).alias("end"), F.col("line_no").alias("next_line"), F.col("key").alias("next_key"))
-    for length in count(2):
+    lines = blocks(pages, profile, min_support)
+    one = lines.groupBy("site", "doc_id", F.col("block").alias("end")).agg(F.min(F.struct("line_no", "key")).alias("_h"), F.max("line_no").alias("last"), F.max("length").alias("length"))
+    prefix = cut(one.select("site", "doc_id", "end", F.col("_h.key").alias("pattern"), F.col("_h.line_no").alias("first"), "last", "length"))
+    nxt = prefix.select("doc_id", (F.col("end") - 1).alias("end"), F.col("last").alias("_last"), F.col("length").alias("_more"), F.col("pattern").alias("_next"))
+    seen = F.min(F.struct("doc_id", "first", "last")).alias("_e")
+
+    def counted(grown: DataFrame) -> DataFrame:
+        per_doc = grown.groupBy("site", "pattern", "length", "doc_id").agg(F.count(F.lit(1)).alias("_n"), F.min("first").alias("first"), F.min("last").alias("last"))
+        return per_doc.groupBy("site", "pattern", "length").agg(F.count(F.lit(1)).alias("support"), F.sum("_n").alias("uses"), seen)
+
+    def shown(frequent: DataFrame) -> DataFrame:
+        return frequent.select("site", F.lower(F.hex("pattern")).alias("sequence"), "length", "support", "_e.doc_id", F.col("_e.first").alias("first_line"), F.col("_e.last").alias("last_line"))
+
+    out, held = shown(counted(prefix)), None
+    for step in count(2):
         grown = (
             prefix.join(nxt, ["doc_id", "end"])
-            .filter(F.col("next_line") == F.col("end_line") + 1)
-            .select("site", "doc_id", (F.col("end") + 1).alias("end"), F.col("next_line").alias("end_line"), F.unhex(F.md5(F.concat("pattern", "next_key"))).alias("pattern"))
+            .select("site", "doc_id", (F.col("end") + 1).alias("end"), F.unhex(F.md5(F.concat("pattern", "_next"))).alias("pattern"), "first", F.col("_last").alias("last"), (F.col("length") + F.col("_more")).alias("length"))
         )
-        grown = cut(grown)
-        uses = grown.groupBy("site", "pattern", "doc_id").agg(F.count(F.lit(1)).alias("_n")).groupBy("site", "pattern").agg(F.count(F.lit(1)).alias("support"), F.sum("_n").alias("uses"))
-        frequent = cut(uses.filter(F.col("support") >= min_support))
+        # the copies of the step before last are free
+        grown = cut(grown, replaces=held)
+        held = grown
+        frequent = cut(counted(grown).filter(F.col("support") >= min_support))
         if frequent.isEmpty():
             break
-        out = out.unionByName(frequent.select("site", F.lower(F.hex("pattern")).alias("sequence"), F.lit(length).alias("length"), "support"))
-        # long blocks make many lengths: the plan stays small
-        out = cut(out) if length % LENGTHS == 0 else out
-        prefix = join_counted(grown, frequent, ["site", "pattern"], "uses", grown.count()).select("site", "doc_id", "end", "end_line", "pattern")
+        out = out.unionByName(shown(frequent))
+        # long sequences make many steps: the plan stays small
+        out = cut(out) if step % LENGTHS == 0 else out
+        prefix = join_counted(grown, frequent.select("site", "pattern", "length", "uses"), ["site", "pattern", "length"], "uses", max(grown.count(), 1)).select(*prefix.columns)
     return out
 
 
 def without_repeated_lines(pages: DataFrame, profile: DataFrame, min_support: int = MIN_SUPPORT) -> DataFrame:
     """doc_id and content_text of each page without the repeated lines; a null text stays null."""
-    drop = repeated_lines(pages, profile, min_support).groupBy("doc_id").agg(F.collect_set("line_no").alias("_drop"))
+    drop = deleted_lines(pages, profile, min_support).groupBy("doc_id").agg(F.collect_set("line_no").alias("_drop"))
     one = pages.select("doc_id", "content_text").dropDuplicates(["doc_id"]).join(drop, "doc_id", "left")
     numbered = F.transform(lines_of(F.col("content_text")), lambda line, i: F.struct((i + 1).alias("no"), line.alias("line")))
     kept = F.filter(numbered, lambda x: ~F.coalesce(F.array_contains(F.col("_drop"), x["no"]), F.lit(False)))

@@ -33,7 +33,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    return lines.repeated_lines(*_pages(spark, folder)).select("doc_id", "line_no")
+    return lines.deleted_lines(*_pages(spark, folder))
 
 
 def p2_sequences(spark: SparkSession, folder: str) -> DataFrame:
