@@ -9,10 +9,10 @@ Within a block the comparison is bit-sliced. Each set has a sketch of ``BITS``
 bits, the parity of its terms hashed to bit positions: two sketches differ in no
 more bits than the sets differ in terms, and sets above the threshold differ in
 at most (1 - t) / (1 + t) of their sizes' sum. The sketches of a block are
-stored as bit planes, 64 records a word; the distances of all of them to many
-queries are counted at once by carry-save adders on whole words, and a query
-leaves a block as soon as all its distances exceed their radius. The
-filter loses no pair; a pair is taken in the block of its rarest common term
+stored as bit planes, 64 records a word, where small blocks share a word; the
+distances of all of them to many queries are counted at once by carry-save adders
+on whole words, and a query leaves a block as soon as all its distances exceed
+their radius. The filter loses no pair; a pair is taken in the block of its rarest common term
 only, and survivors are verified on the terms themselves. In blocks of more than
 one chunk, where a family of near copies makes many pairs, that is done in place
 on 64-bit hashes of the terms, so no pair carries its terms through a shuffle.
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.operators.scale import cut, join_counted
+from gleanery.operators.scale import cut, free, join_counted
 
 THRESHOLD = 0.8
 #: Width of a sketch; a multiple of 64.
@@ -43,8 +43,6 @@ BITS = 256
 CHUNK = 1024
 #: Queries whose distances are counted together, and planes between two looks at the radius.
 QUERIES, PLANES = 256, 32
-#: Records of a block below which its few distances are counted pair by pair.
-FEW = 32
 
 
 def term_sets(records: DataFrame) -> DataFrame:
@@ -98,6 +96,70 @@ def _units(entries: DataFrame, reps: DataFrame) -> DataFrame:
     return own.select("token", "doc_id", "size", "sketch", "before", "terms", F.col("_i").alias("chunk"), F.explode(pairs).alias("_u")).select("token", "_u.first", "_u.second", "chunk", "doc_id", "size", "sketch", "before", "terms")
 
 
+def _planes(sketch):
+    """Bit planes of sketches: planes[bit, word] holds that bit of 64 records; the last word is filled up with zeros."""
+    import numpy as np
+
+    n, width = sketch.shape
+    words = -(-n // 64)
+    padded = np.zeros((words * 64, width), "uint64")
+    padded[:n] = sketch
+    bits = np.unpackbits(padded.view("uint8").reshape(words * 64, -1), axis=1, bitorder="little")
+    packed = np.packbits(np.ascontiguousarray(bits.T).reshape(width * 64, words, 64), axis=2, bitorder="little")
+    return np.ascontiguousarray(packed).view("uint64").reshape(width * 64, words)
+
+
+def _close(plane, asked, radius, lanes):
+    """Queries with any distance within its radius, and for each the words of ``lanes`` whose bits tell which.
+
+    ``plane(bit, queries)`` are the words that the queries meet, ``asked`` the
+    queries' bits, ``radius`` and ``lanes`` (records that count) one entry for each query and word.
+    """
+    import numpy as np
+
+    width = asked.shape[1]
+    levels = width.bit_length()
+    every = np.uint64(0xFFFFFFFFFFFFFFFF)
+    live = np.arange(len(asked))
+    # a larger radius than the counters hold admits every distance
+    radius = np.minimum(radius, 2**levels - 1)
+    counter = [np.zeros(radius.shape, "uint64") for _ in range(levels)]
+    near = lanes
+    for low in range(0, width, PLANES):
+        for bit in range(low, low + PLANES, 2):
+            # two planes enter at once: a full adder on the lowest counter, a carry upwards
+            a = plane(bit, live) ^ np.where(asked[live, bit], every, np.uint64(0))[:, None]
+            b = plane(bit + 1, live) ^ np.where(asked[live, bit + 1], every, np.uint64(0))[:, None]
+            half = a ^ b
+            carry = (a & b) | (half & counter[0])
+            counter[0] ^= half
+            for level in range(1, levels):
+                carry, counter[level] = carry & counter[level], counter[level] ^ carry
+                if level > 5 and not carry.any():
+                    break
+        # compare every counter with its radius, from the highest bit down
+        above, equal = np.zeros_like(counter[0]), np.full_like(counter[0], every)
+        for level in range(levels - 1, -1, -1):
+            bound = np.where((radius >> level) & 1, every, np.uint64(0))
+            above |= equal & counter[level] & ~bound
+            equal &= ~(counter[level] ^ bound)
+        near = ~above & lanes
+        hold = near.any(axis=1)
+        if not hold.all():
+            live, near, radius, lanes = live[hold], near[hold], radius[hold], lanes[hold]
+            counter = [c[hold] for c in counter]
+        if not len(live):
+            break
+    return live, near
+
+
+def _bits(words):
+    """The bits of 64-bit words, one row a query."""
+    import numpy as np
+
+    return np.unpackbits(np.ascontiguousarray(words).view("uint8").reshape(len(words), -1), axis=1, bitorder="little")
+
+
 def within_radius(sketch, size, queries, query_size, share):
     """Pairs (query row, record row) whose sketches differ in at most ``share`` of the sizes' sum.
 
@@ -106,59 +168,53 @@ def within_radius(sketch, size, queries, query_size, share):
     import numpy as np
 
     sketch, queries = np.ascontiguousarray(sketch), np.ascontiguousarray(queries)
-    n, width = sketch.shape
+    n = len(sketch)
     order = np.argsort(size, kind="stable")
-    words = -(-n // 64)
-    padded = np.zeros((words * 64, width), "uint64")
-    padded[:n] = sketch[order]
-    # bit planes: planes[bit, word] holds that bit of 64 records
-    bits = np.unpackbits(padded.view("uint8").reshape(words * 64, -1), axis=1, bitorder="little")
-    packed = np.packbits(np.ascontiguousarray(bits.T).reshape(width * 64, words, 64), axis=2, bitorder="little")
-    planes = np.ascontiguousarray(packed).view("uint64").reshape(width * 64, words)
+    planes = _planes(sketch[order])
+    words = planes.shape[1]
     largest = np.array([size[order][min(n, (w + 1) * 64) - 1] for w in range(words)])
-    asked = np.unpackbits(queries.view("uint8").reshape(len(queries), -1), axis=1, bitorder="little")
-    levels = (width * 64).bit_length()
-    every = np.uint64(0xFFFFFFFFFFFFFFFF)
     out = []
     for start in range(0, len(queries), QUERIES):
-        live = np.arange(start, min(start + QUERIES, len(queries)))
-        counter = [np.zeros((len(live), words), "uint64") for _ in range(levels)]
-        # a larger radius than the counters hold admits every distance
-        radius = np.minimum(np.floor((query_size[live][:, None] + largest[None, :]) * share + 1e-9).astype("int64"), 2**levels - 1)
-        near = None
-        for low in range(0, width * 64, PLANES):
-            for bit in range(low, low + PLANES, 2):
-                # two planes enter at once: a full adder on the lowest counter, a carry upwards
-                a = planes[bit][None, :] ^ np.where(asked[live, bit], every, np.uint64(0))[:, None]
-                b = planes[bit + 1][None, :] ^ np.where(asked[live, bit + 1], every, np.uint64(0))[:, None]
-                half = a ^ b
-                carry = (a & b) | (half & counter[0])
-                counter[0] ^= half
-                for level in range(1, levels):
-                    carry, counter[level] = carry & counter[level], counter[level] ^ carry
-                    if level > 5 and not carry.any():
-                        break
-            # compare every counter with its radius, from the highest bit down
-            above, equal = np.zeros_like(counter[0]), np.full_like(counter[0], every)
-            for level in range(levels - 1, -1, -1):
-                bound = np.where((radius >> level) & 1, every, np.uint64(0))
-                above |= equal & counter[level] & ~bound
-                equal &= ~(counter[level] ^ bound)
-            near = ~above
-            hold = near.any(axis=1)
-            if not hold.all():
-                live, near, radius = live[hold], near[hold], radius[hold]
-                counter = [c[hold] for c in counter]
-            if not len(live):
-                break
+        some = slice(start, start + QUERIES)
+        radius = np.floor((query_size[some][:, None] + largest[None, :]) * share + 1e-9).astype("int64")
+        lanes = np.full(radius.shape, 0xFFFFFFFFFFFFFFFF, "uint64")
+        live, near = _close(lambda bit, live: planes[bit][None, :], _bits(queries[some]), radius, lanes)
         if len(live):
-            near = np.ascontiguousarray(near)
-            hits = np.unpackbits(near.view("uint8").reshape(len(live), -1), axis=1, bitorder="little")
-            q, r = np.nonzero(hits[:, :n])
-            out.append(np.stack([live[q], order[r]], axis=1))
+            q, r = np.nonzero(_bits(near)[:, :n])
+            out.append(np.stack([live[q] + start, order[r]], axis=1))
     return np.concatenate(out) if out else np.zeros((0, 2), "int64")
 
 
+def within_words(sketch, size, begins, lengths, share):
+    """Pairs of rows (first < second) of blocks of at most 64 rows, packed several to a word; each row meets its own word only."""
+    import numpy as np
+
+    found = []
+    for n in np.unique(lengths):
+        if n < 2:
+            continue
+        at, room = begins[lengths == n], 64 // n
+        for low in range(0, len(at), room * 400):
+            block = at[low : low + room * 400]
+            rows = block[:, None] + np.arange(n)
+            # block k of a word has the lanes from k * n on
+            word, lane = np.arange(len(block)) // room, (np.arange(len(block)) % room)[:, None] * n + np.arange(n)
+            placed = np.zeros(((word[-1] + 1) * 64, sketch.shape[1]), "uint64")
+            placed[(word[:, None] * 64 + lane).ravel()] = sketch[rows.ravel()]
+            planes = _planes(placed)
+            own = np.repeat(word, n)
+            later = np.array([(1 << int(n)) - (1 << (k + 1)) for k in range(n)], "uint64")
+            lanes = (later[None, :] << lane[:, :1].astype("uint64")).ravel()[:, None]
+            largest = np.repeat(size[rows].max(axis=1), n)
+            radius = np.floor((size[rows.ravel()] + largest) * share + 1e-9).astype("int64")[:, None]
+            live, near = _close(lambda bit, live: planes[bit][own[live]][:, None], _bits(sketch[rows.ravel()]), radius, lanes)
+            if len(live):
+                q, at_lane = np.nonzero(_bits(near))
+                q = live[q]
+                found.append(np.stack([rows.ravel()[q], rows[q // n, at_lane - lane[q // n, 0]]], axis=1))
+    return np.concatenate(found) if found else np.zeros((0, 2), "int64")
+
+
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sure", pa.bool_())])
 
 
@@ -234,7 +290,7 @@ def _comparer(threshold: float):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), terms is not None))], schema=_PAIRS)
 
         def one_by_one(size, sketch, q, r):
-            """Rows of the pairs whose sketches are within the radius."""
+            """Of the pairs those within their own radius, which may be less than their word's."""
             apart = np.bitwise_count(sketch[q] ^ sketch[r]).sum(axis=1)
             near = apart <= np.floor((size[q] + size[r]) * share + 1e-9)
             return q[near], r[near]
@@ -253,16 +309,11 @@ def _comparer(threshold: float):
             terms = lists_of(table.column(8))
             begins, lengths = bounds[:-1], np.diff(bounds)
             whole = first[begins] == second[begins]
-            # blocks too small to fill words of 64 records: all of one length at once
-            few = whole & (lengths <= FEW)
-            for n in np.unique(lengths[few]):
-                left, right = np.triu_indices(n, 1)
-                at = begins[few & (lengths == n)]
-                step = max(1, 500_000 // max(1, len(left)))
-                for low in range(0, len(at), step):
-                    block = at[low : low + step, None]
-                    q, r = one_by_one(size, sketch, (block + left).ravel(), (block + right).ravel())
-                    yield from found(doc, size, starts, ends, tokens, q, r)
+            # blocks that fit into one word share it with others
+            few = whole & (lengths <= 64)
+            q, r = within_words(sketch, size, begins[few], lengths[few], share).T
+            for low in range(0, len(q), 500_000):
+                yield from found(doc, size, starts, ends, tokens, *one_by_one(size, sketch, q[low : low + 500_000], r[low : low + 500_000]))
             for s, n, same in zip(begins[~few], lengths[~few], whole[~few]):
                 rows = np.arange(s, s + n)
                 one = rows if same else rows[chunk[rows] == first[s]]
@@ -314,14 +365,16 @@ def similar_pairs(records: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     members = cut(classes(sets))
     pairs = cut(class_pairs(sets, members, threshold))
     sizes = cut(members.groupBy("rep").agg(F.count(F.lit(1)).alias("n")))
-    counted = members.join(sizes, "rep")
-    # members of a class are spread over chunks; a link meets each chunk of the first with the whole of the second
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-    spread = counted.select(F.col("rep").alias("a"), F.col("doc_id").alias("_one"), F.pmod(F.xxhash64("doc_id", F.lit(11)), chunks).cast("int").alias("_k"))
+    # members of a class are spread over chunks, so no class is one key; a link meets each chunk of either side
+    spread = cut(join_counted(members, sizes, ["rep"], "n", max(members.count(), 1)).select("rep", "doc_id", F.pmod(F.xxhash64("doc_id", F.lit(11)), chunks).cast("int").alias("k")))
     links = pairs.unionByName(sizes.filter("n > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b")))
-    many = links.join(sizes.select(F.col("rep").alias("a"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("_k")), "a")
-    two = many.join(members.select(F.col("rep").alias("b"), F.col("doc_id").alias("_two")), "b").select("a", "b", "_k", "_two")
-    named = two.join(spread, ["a", "_k"]).filter((F.col("a") != F.col("b")) | (F.col("_one") < F.col("_two")))
+    parts = sizes.select("rep", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("k"))
+    for side in ("a", "b"):
+        links = links.join(parts.select(F.col("rep").alias(side), F.col("k").alias(f"_{side}")), side)
+    two = links.join(spread.select(F.col("rep").alias("b"), F.col("k").alias("_b"), F.col("doc_id").alias("_two")), ["b", "_b"])
+    named = two.join(spread.select(F.col("rep").alias("a"), F.col("k").alias("_a"), F.col("doc_id").alias("_one")), ["a", "_a"])
+    named = named.filter((F.col("a") != F.col("b")) | (F.col("_one") < F.col("_two")))
     return named.select(F.least("_one", "_two").alias("doc_id_a"), F.greatest("_one", "_two").alias("doc_id_b"))
 
 
@@ -332,16 +385,20 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     the loop ends when a round changes no edge.
     """
     stars = cut(edges.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).filter("u <> v").distinct())
+    spent = None
     while True:
-        both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        root = both.groupBy("u").agg(F.min("v").alias("_m")).select("u", F.least("u", "_m").alias("m"))
-        large = both.join(root, "u").filter("v > u").select(F.col("m").alias("u"), "v").distinct()
-        low = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(low, "v").select(F.col("m").alias("_m"), "u", "v")
-        nxt = cut(small.select(F.col("_m").alias("u"), "v").unionByName(small.filter("u <> _m").select(F.col("_m").alias("u"), F.col("u").alias("v"))).distinct())
+        both = cut(stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+        # a star's centre has as many edges as it has neighbours: the counts tell the hot ones
+        root = cut(both.groupBy("u").agg(F.min("v").alias("_m"), F.count(F.lit(1)).alias("_n")).select("u", F.least("u", "_m").alias("m"), "_n"))
+        large = cut(join_counted(both, root, ["u"], "_n", max(both.count(), 1)).filter("v > u").select(F.col("m").alias("u"), "v").distinct())
+        low = cut(large.groupBy("v").agg(F.min("u").alias("_m"), F.count(F.lit(1)).alias("_n")))
+        small = join_counted(large, low, ["v"], "_n", max(large.count(), 1)).select("_m", "u", "v")
+        nxt = cut(small.select(F.col("_m").alias("u"), "v").unionByName(small.filter("u <> _m").select(F.col("_m").alias("u"), F.col("u").alias("v"))).distinct(), replaces=spent)
+        for used in (both, root, large, low):
+            free(used)
         if nxt.exceptAll(stars).isEmpty() and stars.exceptAll(nxt).isEmpty():
             break
-        stars = nxt
+        spent, stars = stars, nxt
     return nodes.select("node").join(stars.select(F.col("v").alias("node"), F.col("u").alias("label")), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
 
 
