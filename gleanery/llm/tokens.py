@@ -9,14 +9,18 @@ in three steps:
    sequence of words is kept without one row a word.
 2. The dictionaries' words meet in one shuffle that keeps each distinct word
    once. It is encoded there; the ids go back to every dictionary that holds it.
-   Words are spread by hash, and one word comes at most once a batch, so no word
-   is hot however often the corpus repeats it.
+   One word comes at most once a batch, and the words of very many batches are
+   joined apart by their counts, so no word is hot however often the corpus
+   repeats it.
 3. The dictionary of a batch, now of ids, is joined to its texts, which are
    reassembled by position.
 
 ``decode`` joins the ids to the table of the tokens' bytes, whose size is that
 of the vocabulary, and concatenates them by position.
 
+The vocabulary file is read by the driver; its bytes go to the executors, which
+need no copy of the folder.
+
 Defined cases: null and empty texts have an empty list of ids; special tokens'
 strings are ordinary text; rows may repeat; texts of any length are one
 sequence; a lone surrogate can't occur in a table of UTF-8.
@@ -32,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.operators.scale import cut
+from gleanery.operators.scale import cut, join_counted
 
 #: Where the vocabulary files are; a parameter of every function.
 TOKENIZERS = "/opt/tokenizers"
@@ -43,9 +47,9 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 BATCH = 1000
 
 
-def ranks(folder: str = TOKENIZERS, name: str = VOCABULARY) -> dict[bytes, int]:
-    """Token bytes and ids of a vocabulary file."""
-    rows = (line.split() for line in Path(folder, name).read_bytes().splitlines() if line)
+def ranks(file: bytes) -> dict[bytes, int]:
+    """Token bytes and ids of the content of a vocabulary file."""
+    rows = (line.split() for line in file.splitlines() if line)
     return {base64.b64decode(token): int(rank) for token, rank in rows}
 
 
@@ -83,16 +87,16 @@ def _splitter():
     return split
 
 
-def _encoder(folder: str, name: str):
+def _encoder(file):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
-        coder = tiktoken.Encoding("corpus", pat_str=PATTERN, mergeable_ranks=ranks(folder, name), special_tokens={})
+        coder = tiktoken.Encoding("corpus", pat_str=PATTERN, mergeable_ranks=ranks(file.value), special_tokens={})
         single = coder._core_bpe.encode_single_piece if hasattr(coder, "_core_bpe") else None
         for batch in batches:
             words = batch.column(0).to_pylist()
             ids = [single(w.encode()) for w in words] if single else [coder.encode_ordinary(w) for w in words]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), batch.column(1)], ["word", "ids", "uses"])
 
     return encode
 
@@ -134,8 +138,11 @@ def encode(documents: DataFrame, folder: str = TOKENIZERS, name: str = VOCABULAR
     source = documents.select("doc_id", "text")
     split = cut(source.mapInArrow(_splitter(), "chunk long, doc_id long, at array<int>, words array<string>"))
     words = split.filter("words is not null").select("chunk", F.posexplode("words").alias("place", "word"))
-    vocabulary = words.select("word").distinct().mapInArrow(_encoder(folder, name), "word string, ids array<int>")
-    found = words.join(vocabulary, "word")
+    file = documents.sparkSession.sparkContext.broadcast(Path(folder, name).read_bytes())
+    # each distinct word once, with the number of dictionaries that hold it
+    vocabulary = cut(words.groupBy("word").agg(F.count(F.lit(1)).alias("uses")).mapInArrow(_encoder(file), "word string, ids array<int>, uses long"))
+    total = vocabulary.agg(F.coalesce(F.sum("uses"), F.lit(0)).alias("n")).first().n
+    found = join_counted(words, vocabulary, ["word"], "uses", total)
     dictionaries = found.groupBy("chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "ids"))), lambda x: x["ids"]).alias("ids"))
     empty = F.array().cast("array<int>")
     texts = split.filter("at is not null").select("chunk", "doc_id", F.lit(None).cast("array<array<int>>").alias("dictionary"), "at")
@@ -147,7 +154,7 @@ def encode(documents: DataFrame, folder: str = TOKENIZERS, name: str = VOCABULAR
 
 def token_bytes(spark: SparkSession, folder: str = TOKENIZERS, name: str = VOCABULARY) -> DataFrame:
     """token and bytes of the vocabulary."""
-    rows = ranks(folder, name)
+    rows = ranks(Path(folder, name).read_bytes())
     table = pa.table({"token": pa.array(rows.values(), pa.int32()), "bytes": pa.array(rows.keys(), pa.binary())})
     return spark.createDataFrame(table)
 
@@ -162,5 +169,6 @@ def decode(encoded: DataFrame, folder: str = TOKENIZERS, name: str = VOCABULARY)
     named = tokens.join(F.broadcast(token_bytes(spark, folder, name)), "token", "left")
     ordered = F.array_sort(F.collect_list(F.struct("place", "bytes")))
     pieces = F.transform(F.filter(ordered, lambda x: x["bytes"].isNotNull()), lambda x: x["bytes"])
-    whole = F.aggregate(pieces, F.lit("").cast("binary"), lambda a, b: F.concat(a, b))
+    # the pieces are joined once, as hexadecimal digits, since joining two at a time copies the text each time
+    whole = F.unhex(F.array_join(F.transform(pieces, F.hex), ""))
     return named.groupBy("doc_id").agg(F.decode(whole, "UTF-8").alias("text"))
