@@ -2,11 +2,13 @@
 
 Markup is stripped so that every block element ends a line and every container
 boundary leaves empty lines, as rendering would. Over the lines runs a sliding
-window of text mass: it surges where text begins after a stretch without any,
-and dives where a stretch of ``WINDOW`` empty lines follows. The lines between a
-surge and its dive are one block of the page. The main body is the block with
-the headline, or else that with the most running text. Within it single lines
-of furniture (bylines, share prompts, pointers, lines that repeat over the site)
+window that sums their text lengths: it surges where the sum rises from nothing
+to ``SURGE`` characters or more, and dives where a stretch of ``WINDOW`` empty
+lines follows. The lines between a surge and its dive are one text of the page; a
+stretch whose windows stay below is a menu, a notice or the like. The main body is
+the text with the headline, or else that with the most running text; only a page
+without any text has its headline's stretch. In a second step single lines of
+furniture (bylines, share prompts, pointers, lines that repeat over the site)
 are left out.
 
 Pages whose markup is missing have no empty lines between blocks. There a line
@@ -27,6 +29,8 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -38,6 +42,8 @@ from gleanery.llm.lines import MIN_SUPPORT, repeated_lines
 
 #: Empty lines that a container boundary leaves, and the width of the sliding window.
 WINDOW = 3
+#: Characters of a window that make a surge; a stretch that never has them is no text.
+SURGE = 40
 
 #: Pages that a worker holds as Python objects at a time; their number changes no result.
 PAGES_AT_ONCE = 200
@@ -49,25 +55,27 @@ _MONTH = (
 )
 _DATE = rf"(?:\d{{1,4}}[-./]\d{{1,2}}[-./]\d{{1,4}}|\d+\.?\s+(?:de\s+)?{_MONTH}(?:\s+(?:de\s+)?\d{{4}})?|{_MONTH}\s+\d+(?:,?\s+\d{{4}})?)"
 _NAME = r"[^\W\d_][\w’'-]*(?:\s+[^\W\d_][\w’'-]*){0,3}"
+#: The rest of a line without the end of a sentence; dots in numbers, hosts and initials end none.
+_REST = r"(?:[^.!?…]|\.(?=\S)|(?<=\b\w)\.)*"
 _INLINE = [
     # bylines
     rf"(?:by|von|par|por)\s+{_NAME}(?:\s*[,|·-]\s*{_DATE})?",
-    r"(?:posted|written|published|reviewed|edited) by .{1,80}",
-    r"(?:veröffentlicht|geschrieben|verfasst) von .{1,80}",
-    r"(?:publié|écrit|rédigé|mis en ligne) par .{1,80}",
-    r"(?:publicado|escrito|redactado) por .{1,80}",
-    rf"(?:updated|last updated|aktualisiert|stand|zuletzt geändert|mis à jour|mise à jour|actualizado|actualizada)\b:?.{{0,12}}{_DATE}.{{0,60}}",
-    r"(?:words|text|texte|texto|wort|worte|mots|palabras|fotos?|photos?)\s?:\s?.{1,60}\|.{1,40}",
-    r".{3,60},? (?:staff writer at|contributor at|redaktion|rédaction (?:de|du|d’)|redacción (?:de|del))\b.{0,60}",
+    rf"(?:posted|written|published|reviewed|edited) by {_REST}",
+    rf"(?:veröffentlicht|geschrieben|verfasst) von {_REST}",
+    rf"(?:publié|écrit|rédigé|mis en ligne) par {_REST}",
+    rf"(?:publicado|escrito|redactado) por {_REST}",
+    rf"(?:updated|last updated|aktualisiert|stand|zuletzt geändert|mis à jour|mise à jour|actualizado|actualizada)\b:?[^\w]*(?:\w+[^\w]+)??{_DATE}{_REST}",
+    rf"(?:words|text|texte|texto|wort|worte|mots|palabras|fotos?|photos?)\s?:\s?[^|]+\|{_REST}",
+    rf"{_NAME},? (?:staff writer at|contributor at|redaktion|rédaction (?:de|du|d’)|redacción (?:de|del))\b{_REST}",
     # share prompts, after the bylines
-    r"\(?(?:share this (?:page|article|story|post)|seite teilen|diese seite teilen|partager cette page|partagez cette page|compartir esta página|comparte esta página)\b.{0,40}",
-    r"\d+ (?:shares|mal geteilt|partages|veces compartido|compartidos)\b.{0,60}",
+    rf"\(?(?:share this (?:page|article|story|post)|share on \w+|auf \w+ teilen|partager sur \w+|compartir en \w+|condividi su \w+|seite teilen|diese seite teilen|partager cette page|partagez cette page|compartir esta página|comparte esta página)\b{_REST}",
+    rf"\d+ (?:shares|mal geteilt|partages|veces compartido|compartidos)\b{_REST}",
     r"(?:send to a friend|an freunde senden|envoyer à un ami|enviar a un amigo|tell a friend)\W*",
-    r"(?:tell others about|erzählen sie (?:anderen )?von|erzähl anderen von|sagen sie es weiter|parlez de|parlez-en|faites connaître|cuente a otros|hable a otros|háblele a otros|recomiende)\b.{0,60}",
-    r"\W*(?:liked it|gefallen|hat es gefallen|ça vous a plu|cela vous a plu|vous avez aimé|le gustó|te gustó)\s?\?.{0,40}",
+    rf"(?:tell others about|erzählen sie (?:anderen )?von|erzähl anderen von|sagen sie es weiter|parlez de|parlez-en|faites connaître|cuente a otros|hable a otros|háblele a otros|recomiende)\b{_REST}",
+    rf"\W*(?:liked it|gefallen|hat es gefallen|ça vous a plu|cela vous a plu|vous avez aimé|le gustó|te gustó)\s?\?{_REST}",
     # pointers to other pages
     r"(?:more on this|related|see also|read next|read also|read more|you may (?:also )?like|up next|mehr dazu|siehe auch|auch lesen|lesen sie auch|weiterlesen|passend dazu|zum thema|das könnte ihnen gefallen|als nächstes|verwandt"
-    r"|à lire(?: aussi)?|voir aussi|lire aussi|sur le même sujet|à découvrir|vous aimerez|en savoir plus|à suivre|véase también|ver también|lea también|más sobre esto|relacionado|le puede gustar|le puede interesar|puede interesarle|siga leyendo|a continuación)\s?:?\s.{3,160}",
+    r"|à lire(?: aussi)?|voir aussi|lire aussi|sur le même sujet|à découvrir|vous aimerez|en savoir plus|à suivre|véase también|ver también|lea también|más sobre esto|relacionado|le puede gustar|le puede interesar|puede interesarle|siga leyendo|a continuación)\s?:?\s.{3,}",
 ]
 # What the frame of a page says, by language.
 _FRAME = [
@@ -76,21 +84,22 @@ _FRAME = [
     r"(?:meistgelesen|meistgesehen|auch lesen|mehr laden|nach oben|zurück · weiter|folgen sie uns|für sie empfohlen|das könnte sie interessieren|kommentare?(?: \(\d+\))?|zum antworten anmelden)",
     r"(?:les plus (?:vus|lus)|à lire aussi|voir plus|haut de page|retour en haut|précédent · suivant|suivez-nous|recommandé pour vous|commentaires?(?: \(\d+\))?|se connecter pour répondre)",
     r"(?:lo más (?:visto|leído)|lea también|cargar más|ver más|subir|volver arriba|anterior · siguiente|síganos|recomendado para usted|comentarios?(?: \(\d+\))?|entrar para responder|entre para responder)",
-    r".{0,60}\b(?:accept all|manage options|reject everything|allow / decline|ok, got it|keep cookies|place cookies|cookies? ablehnen|alle annehmen|setzen cookies|tout accepter|posons des cookies|ponemos cookies|aceptar todo|rechazar todo)\b.{0,120}",
-    r"(?:©|\(c\)|copyright)\s?\d{0,4}.{0,100}",
-    r"(?:imprint|impressum|mentions légales|aviso legal|terms of use|privacy|datenschutz|confidentialité|privacidad)\s?[·|,].{0,100}",
-    r"(?:subscribe to|abonnieren sie|s’abonner à|abonnez-vous|suscríbase|suscribirse a)\b.{0,80}",
-    r"(?:get our letter|unser brief|notre lettre|nuestra carta|leave your address|ihre adresse|laissez votre adresse|deje su dirección)\b.{0,80}",
-    r"(?:was this helpful\?|war das hilfreich\?|cela vous a-t-il aidé \?|¿le fue útil\?).{0,30}",
-    r"(?:in stock at|auf lager in|en stock dans|disponible en) \d+ .{2,30}",
-    r"(?:join \d+ readers|rejoignez \d+ lecteurs|ya somos \d+ lectores|\d+ leser von)\b.{0,80}",
+    r".*\b(?:accept all|manage options|reject everything|allow / decline|ok, got it|keep cookies|place cookies|cookies? ablehnen|alle annehmen|setzen cookies|tout accepter|posons des cookies|ponemos cookies|aceptar todo|rechazar todo|cookie settings|cookie-einstellungen|paramètres des cookies|ajustes de cookies|accetta tutti?)\b.*",
+    r"(?:©|\(c\)|copyright)\s?\d{0,4}.*",
+    r"(?:sign in|log in|register|sign up|my account|anmelden|registrieren|mein konto|se connecter|s’inscrire|mon compte|iniciar sesión|registrarse|mi cuenta|accedi|registrati)",
+    r"(?:imprint|impressum|mentions légales|aviso legal|terms of use|privacy|datenschutz|confidentialité|privacidad)\s?[·|,].*",
+    r"(?:subscribe to|abonnieren sie|s’abonner à|abonnez-vous|suscríbase|suscribirse a)\b.*",
+    r"(?:get our letter|unser brief|notre lettre|nuestra carta|leave your address|ihre adresse|laissez votre adresse|deje su dirección)\b.*",
+    r"(?:was this helpful\?|war das hilfreich\?|cela vous a-t-il aidé \?|¿le fue útil\?).*",
+    rf"(?:in stock at|auf lager in|en stock dans|disponible en) \d+ {_REST}",
+    r"(?:join \d+ readers|rejoignez \d+ lecteurs|ya somos \d+ lectores|\d+ leser von)\b.*",
     r"(?:skip to content|zum inhalt|aller au contenu|ir al contenido)",
-    r"(?:prices on .{1,60} (?:include|may change)|preise auf .{1,60} können sich ändern|les prix de .{1,60} peuvent changer|los precios de .{1,60} pueden cambiar)\b.{0,60}",
-    r"(?:some links pay|some links earn).{1,60}",
-    r".{1,60} (?:is not liable for|haftet nicht für|ne répond pas de|no responde del) .{1,80}",
-    r"(?:no part of|kein nachdruck von|aucune copie de|no se copia) .{1,100}",
-    r".{1,60} (?:stores small files|speichert kleine dateien|garde de petits fichiers|guarda pequeños archivos) .{1,120}",
-    r"[^>]{2,40}(?:\s>\s[^>]{2,40}){1,6}",
+    r"(?:prices on .+ (?:include|may change)|preise auf .+ können sich ändern|les prix de .+ peuvent changer|los precios de .+ pueden cambiar)\b.*",
+    r"(?:some links pay|some links earn).+",
+    rf"{_NAME} (?:is not liable for|haftet nicht für|ne répond pas de|no responde del) .+",
+    r"(?:no part of|kein nachdruck von|aucune copie de|no se copia) .+",
+    rf"{_NAME} (?:stores small files|speichert kleine dateien|garde de petits fichiers|guarda pequeños archivos) .+",
+    r"[^>.!?]{2,}(?:\s>\s[^>.!?]{2,})+",
 ]
 #: The first entries of ``_INLINE`` are bylines.
 _BYLINES = 8
@@ -163,6 +172,48 @@ def stripped(markup: str) -> list[tuple[str, int, bool]]:
     return out
 
 
+def aligned(lines: list[str], parts: list[str]) -> list[int]:
+    """For each line the place of its counterpart in ``parts``, in order, or -1.
+
+    Lines that stand once on either side are the anchors; of them the longest run
+    in order holds, and between two of them each line takes the next equal part.
+    So neither markup that the text does not show nor a line without markup moves the rest.
+    """
+    if not parts:
+        return [-1] * len(lines)
+    places: dict[str, list[int]] = {}
+    for j, part in enumerate(parts):
+        places.setdefault(part, []).append(j)
+    seen = Counter(lines)
+    tops: list[int] = []
+    ends: list[int] = []
+    before: dict[int, int] = {}
+    for i, line in enumerate(lines):
+        if seen[line] == 1 and len(places.get(line, ())) == 1:
+            j = places[line][0]
+            at = bisect_left(tops, j)
+            before[i] = ends[at - 1] if at else -1
+            tops[at : at + 1] = [j]
+            ends[at : at + 1] = [i]
+    out = [-1] * len(lines)
+    i = ends[-1] if ends else -1
+    while i >= 0:
+        out[i] = places[lines[i]][0]
+        i = before[i]
+    limit, bounds = len(parts), [0] * len(lines)
+    for i in range(len(lines) - 1, -1, -1):
+        bounds[i] = limit
+        limit = out[i] if out[i] >= 0 else limit
+    last = -1
+    for i, line in enumerate(lines):
+        if out[i] < 0 and line in places:
+            of = places[line]
+            at = bisect_right(of, last)
+            out[i] = of[at] if at < len(of) and of[at] < bounds[i] else -1
+        last = max(last, out[i])
+    return out
+
+
 def line_kind(line: str) -> int:
     """1: furniture that stands within texts (bylines, prompts, pointers); 2: of the page frame; 0: neither."""
     return 2 if FRAME.match(line) else 1 if INLINE.match(line) else 0
@@ -179,20 +230,17 @@ def page_lines(title: str | None, text: str, markup: str | None, kinds: dict[str
     headline = _SPACE.sub(" ", title or "").strip()
     if headline == "No Title":
         headline = ""
-    out, k, seen = [], 0, False
-    for no, line in rows:
-        where, top = -1, False
-        for j in range(k, min(k + 8, len(parts))):
-            if parts[j][0] == line:
-                where, top, k = parts[j][1], parts[j][2], j + 1
-                break
+    out, seen = [], False
+    matched = aligned([line for _, line in rows], [part[0] for part in parts])
+    for (no, line), j in zip(rows, matched):
+        where, top = (parts[j][1], parts[j][2]) if j >= 0 else (-1, False)
         head = not seen and (top or line == headline)
         seen = seen or head
         bare = _ORNAMENT.sub("", line)
         prose = bool(_SENTENCE.search(bare)) and bare.count(" ") >= 4
         kind = kinds.get(line)
         if kind is None:
-            kind = line_kind(line) if len(line) <= 200 else 0
+            kind = line_kind(line)
             if len(line) <= 60 and len(kinds) < 20_000:
                 kinds[line] = kind
         if not kind and not head and prose and _SIGNED.search(bare):
@@ -253,8 +301,11 @@ def line_blocks(pages: DataFrame, profile: DataFrame, min_support: int = MIN_SUP
     window = Window.partitionBy("doc_id").orderBy("_at").rangeBetween(-WINDOW, -1)
     surge = (F.coalesce(F.sum("_mass").over(window), F.lit(0)) == 0).cast("int")
     blocks = placed.withColumn("_surge", surge).withColumn("block", F.sum("_surge").over(order))
+    ahead = Window.partitionBy("doc_id", "block").orderBy("_at").rangeBetween(0, WINDOW - 1)
+    blocks = blocks.withColumn("_sum", F.sum("_mass").over(ahead))
     whole = Window.partitionBy("doc_id", "block")
     weight = F.struct(
+        (F.max("_sum").over(whole) >= SURGE).cast("int").alias("text"),
         F.max(F.col("headline").cast("int")).over(whole).alias("headline"),
         F.sum(F.when(F.col("prose") & ~F.col("repeated"), F.col("length")).otherwise(0)).over(whole).alias("prose"),
         F.sum("_mass").over(whole).alias("mass"),
