@@ -1,23 +1,31 @@
 """Keyword-stuffed pages, link lists and tag lists.
 
 A page's own text (its main body, so without site furniture and headline) is
-reduced to the counts of its words. Windows over these rank the words of each
-page, and a line is fitted to the logarithms of frequency and rank: stuffing
-shows as an extreme slope (a few words over and over) or as an extreme residual
-(a plateau of equally frequent words that ends in a cliff). Prose of any kind
-is a third of function words; the divergence of a page's share of them from
-that of prose in the same language and length band is the third measure.
-Bands take their medians from all pages of the language whose text is mostly
-sentences.
-
-A page with an extreme measure is a case if its own text indeed is not
-sentences: lines of running text hold less than ``PROSE_LEAST`` of its letters,
-lists of amounts (ingredients, data sheets) left out of the count. Many outgoing
-links raise that bound a little.
+reduced to the counts of its words, and its curve decides:
+
+* windows rank the words of each page, and a line is fitted to the logarithms of
+  frequency and rank: stuffing shows as an extreme slope (a few words over and
+  over) or an extreme residual (a plateau of equally frequent words that ends in
+  a cliff);
+* the whole word distribution is compared with that of prose: the words of a
+  language are ordered by the pages that hold them, and the page's words fall into
+  bands of ranks that double, with a band for words of no other page. Prose of any
+  language fills the bands alike, keywords and link titles do not. The measure is
+  the Jensen-Shannon divergence from the mean distribution of prose in the same
+  language and length band.
+
+A measure is extreme if it is ``DEVIATIONS`` robust deviations from the median of
+same-language prose at comparable lengths; many outgoing links lower that a
+little. Nothing of this needs to know the words of a language: pages in none
+of the languages of ``FUNCTION_WORDS`` have their own order of words and are
+compared with the prose of all languages.
+
+An exact check follows: in the languages known, a page whose lines are sentences
+to ``PROSE_MOST`` of its letters is no case, lists of amounts (ingredients, data
+sheets) left out of the count.
 
 Defined cases: null, empty and blank texts and pages without own text are no
-cases; languages other than the four have no reference and are judged against
-all prose; repeated rows count once.
+cases; repeated rows count once.
 """
 
 from __future__ import annotations
@@ -27,14 +35,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gleanery.llm.boilerplate import line_blocks
-from gleanery.operators.scale import cut
+from gleanery.operators.scale import cut, join_counted
 
-#: Share of a page's letters in running text below which it can be a case, and with many outgoing links.
-PROSE_LEAST, PROSE_LEAST_LINKED, MANY_LINKS = 0.45, 0.5, 100
-#: Share of function words that makes a line of at least LINE_WORDS words running text.
+#: Share of a page's letters in sentences from which on it is no case, and that makes it a page of prose.
+PROSE_MOST, PROSE_LEAST = 0.8, 0.5
+#: Share of function words that makes a line of at least LINE_WORDS words a sentence.
 LINE_SHARE, LINE_WORDS = 0.2, 5
-#: Divergence in nats, and distances from the median in robust deviations, that are extreme.
-DIVERGENCE, DEVIATIONS = 0.15, 3.5
+#: Robust deviations from the median that are extreme, and with many outgoing links.
+DEVIATIONS, DEVIATIONS_LINKED, MANY_LINKS = 3.5, 3.0, 100
+#: Bands of ranks (the last holds all further ones), with one more for words of no other page; what is added to each share.
+BANDS, ADDED = 15, 0.01
+#: Pages of prose that a language and length band needs for a distribution of its own.
+ENOUGH = 20
 
 # Function words of each language.
 FUNCTION_WORDS = {
@@ -79,66 +91,117 @@ def own_lines(pages: DataFrame, profile: DataFrame) -> DataFrame:
     return lines.select("doc_id", _words(F.col("line")).alias("words"), F.length(F.replace("line", F.lit(" "), F.lit(""))).alias("letters"), amounts.alias("amounts"))
 
 
-def measures(pages: DataFrame, profile: DataFrame) -> DataFrame:
-    """doc_id, lang, tokens, prose (share of letters), function_share, slope, residual and outbound links of each page with own text."""
-    lines = own_lines(pages, profile)
-    scored = lines.withColumn("_hits", _hits(F.col("words"))).select("*", *[F.col(f"_hits.{lang}").alias(f"_{lang}") for lang in FUNCTION_WORDS]).drop("_hits")
-    best = F.greatest(*[F.col(f"_{lang}") for lang in FUNCTION_WORDS])
-    n = F.size("words")
-    scored = scored.withColumn("_prose", (n >= LINE_WORDS) & (best >= n * LINE_SHARE)).withColumn("_best", best)
-    lines = cut(scored)
-    # word counts of the page: ranked by windows, fitted by one aggregation
-    words = lines.select("doc_id", F.explode("words").alias("word")).groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("f"))
-    ranked = words.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("f").desc(), "word")))
-    x, y = F.log("rank"), F.log("f")
-    fit = ranked.groupBy("doc_id").agg(
-        F.sum("f").alias("tokens"),
-        F.coalesce(F.regr_slope(y, x), F.lit(0.0)).alias("slope"),
-        F.sqrt(F.greatest(F.coalesce((F.regr_syy(y, x) - F.nullif(F.regr_sxy(y, x), F.lit(0.0)) ** 2 / F.nullif(F.regr_sxx(y, x), F.lit(0.0))) / F.count(F.lit(1)), F.lit(0.0)), F.lit(0.0))).alias("residual"),
-    )
-    whole = lines.groupBy("doc_id").agg(
+def _whole(lines: DataFrame) -> DataFrame:
+    """doc_id, lang, prose (share of letters in sentences) and function_share of each page, and its words as hashes."""
+    hits = lines.withColumn("_hits", _hits(F.col("words")))
+    scored = hits.select("doc_id", F.transform("words", lambda w: F.xxhash64(w)).alias("tokens"), "letters", "amounts", *[F.col(f"_hits.{lang}").alias(f"_{lang}") for lang in FUNCTION_WORDS])
+    best, n = F.greatest(*[F.col(f"_{lang}") for lang in FUNCTION_WORDS]), F.size("tokens")
+    sentence = (n >= LINE_WORDS) & (best >= n * LINE_SHARE)
+    whole = scored.withColumn("_prose", sentence).withColumn("_best", best).groupBy("doc_id").agg(
+        F.flatten(F.collect_list("tokens")).alias("tokens"),
         *[F.sum(f"_{lang}").alias(f"_{lang}") for lang in FUNCTION_WORDS],
         F.sum("_best").alias("_function"),
         F.sum(F.when(F.col("_prose"), F.col("letters")).otherwise(0)).alias("_in_prose"),
         F.sum(F.when(F.col("_prose") | ~F.col("amounts"), F.col("letters")).otherwise(0)).alias("_letters"),
-    )
+    )
     most = F.greatest(*[F.col(f"_{lang}") for lang in FUNCTION_WORDS])
     lang = F.coalesce(*[F.when((F.col(f"_{l}") == most) & (most > 0), F.lit(l)) for l in FUNCTION_WORDS], F.lit("und"))
-    links = profile.groupBy("doc_id").agg(F.max("outbound_link_count").alias("outbound"))
-    return (
-        fit.join(whole, "doc_id")
-        .join(links, "doc_id", "left")
-        .select(
-            "doc_id", lang.alias("lang"), "tokens", (F.col("_in_prose") / F.nullif(F.col("_letters"), F.lit(0))).alias("prose"), (F.col("_function") / F.col("tokens")).alias("function_share"), "slope", "residual", F.coalesce("outbound", F.lit(0)).alias("outbound")
-        )
+    return whole.filter("size(tokens) > 0").select(
+        "doc_id", lang.alias("lang"), (F.col("_in_prose") / F.nullif(F.col("_letters"), F.lit(0))).alias("prose"), (F.col("_function") / F.size("tokens")).alias("function_share"), "tokens"
     )
 
 
+def _curves(whole: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id, lang, token and f (count) of each word of each page; doc_id, slope and residual of its rank-frequency curve."""
+    words = whole.select("doc_id", "lang", F.explode("tokens").alias("token")).repartition("doc_id").groupBy("doc_id", "lang", "token").agg(F.count(F.lit(1)).alias("f"))
+    ranked = cut(words.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("f").desc(), "token"))))
+    x, y = F.log("rank"), F.log("f")
+    explained = F.nullif(F.regr_sxy(y, x), F.lit(0.0)) ** 2 / F.nullif(F.regr_sxx(y, x), F.lit(0.0))
+    fit = ranked.groupBy("doc_id").agg(
+        F.coalesce(F.regr_slope(y, x), F.lit(0.0)).alias("slope"),
+        F.sqrt(F.greatest(F.coalesce((F.regr_syy(y, x) - explained) / F.count(F.lit(1)), F.lit(0.0)), F.lit(0.0))).alias("residual"),
+    )
+    return ranked.drop("rank"), fit
+
+
+def _shares(words: DataFrame) -> DataFrame:
+    """doc_id and bands: the share of a page's words in each band of ranks of its language.
+
+    A word's rank is the number of words in at least as many pages; the least
+    number of pages of each band is one short list a language, so no vocabulary is
+    ordered in one task, and words in very many pages are joined apart.
+    """
+    frequency = cut(words.groupBy("lang", "token").agg(F.count(F.lit(1)).alias("df")))
+    ladder = frequency.groupBy("lang", "df").agg(F.count(F.lit(1)).alias("n"))
+    # one row for each number of pages that occurs
+    rank = F.sum("n").over(Window.partitionBy("lang").orderBy(F.desc("df")))
+    steps = ladder.withColumn("band", F.least(F.floor(F.log2(rank)), F.lit(BANDS - 1)).cast("int")).groupBy("lang", "band").agg(F.min("df").alias("least"))
+    lists = steps.groupBy("lang").agg(F.collect_list("least").alias("_least"))
+    banded = frequency.join(F.broadcast(lists), "lang").withColumn("band", F.when(F.col("df") == 1, F.lit(BANDS)).otherwise(F.size(F.filter("_least", lambda x: x > F.col("df"))))).drop("_least")
+    placed = join_counted(words, banded, ["lang", "token"], "df", max(words.count(), 1))
+    sums = placed.groupBy("doc_id").agg(F.sum("f").alias("_n"), *[F.sum(F.when(F.col("band") == k, F.col("f")).otherwise(0)).alias(f"_{k}") for k in range(BANDS + 1)])
+    return sums.select("doc_id", F.array(*[(F.col(f"_{k}") / F.col("_n") + ADDED) / (1 + (BANDS + 1) * ADDED) for k in range(BANDS + 1)]).alias("bands"))
+
+
+def _mean(bands: str) -> Column:
+    return F.array(*[F.avg(F.element_at(bands, k + 1)) for k in range(BANDS + 1)])
+
+
+def _divergence(p: Column, q: Column) -> Column:
+    """Jensen-Shannon divergence in nats."""
+
+    def half(x: Column, other: Column) -> Column:
+        return F.aggregate(F.zip_with(x, other, lambda a, b: a * F.log(2 * a / (a + b))), F.lit(0.0), lambda s, v: s + v)
+
+    return (half(p, q) + half(q, p)) / 2
+
+
+def _away(column: str, side: str) -> Column:
+    """Distance from the median in robust deviations; divergence counts upwards only."""
+    centre = F.coalesce(f"_m_{column}", f"_m0_{column}", F.lit(0.0))
+    width = F.greatest(1.4826 * F.coalesce(f"_w_{column}", f"_w0_{column}", F.lit(0.1)), F.lit(0.02))
+    distance = F.col(column) - centre
+    return (F.abs(distance) if side == "both" else distance) / width
+
+
+_MEASURES = {"slope": "both", "residual": "both", "divergence": "up"}
+
+
+def _medians(prose: DataFrame, by: list[str], prefix: str) -> DataFrame:
+    """Median and median distance from it of each measure."""
+    middle = lambda c: F.percentile_approx(c, 0.5, 10_000)
+    centre = prose.groupBy(*by).agg(*[middle(c).alias(f"_m{prefix}_{c}") for c in _MEASURES])
+    apart = prose.join(F.broadcast(centre), by).groupBy(*by).agg(*[middle(F.abs(F.col(c) - F.col(f"_m{prefix}_{c}"))).alias(f"_w{prefix}_{c}") for c in _MEASURES])
+    return centre.join(apart, by)
+
+
 def judged(pages: DataFrame, profile: DataFrame) -> DataFrame:
-    """The measures with their distances from prose of the same language and length band, and the verdict ``stuffed``.
+    """doc_id, lang, band of length, tokens, prose, function_share, the measures and their distances from prose, outbound links and the verdict ``stuffed``.
 
-    Bands are powers of two of the word count, so the table of medians has at
-    most a few hundred rows however large the crawl, and is broadcast.
+    Bands are powers of two of the word count, so the tables of distributions and
+    medians have at most a few hundred rows however large the crawl; they are broadcast.
     """
-    rows = cut(measures(pages, profile).withColumn("band", F.floor(F.log2("tokens")).cast("int")))
-    prose = rows.filter("prose >= 0.5")
-    stats = [F.percentile_approx("function_share", 0.5).alias("_f"), F.percentile_approx("slope", 0.5).alias("_s"), F.percentile_approx("residual", 0.5).alias("_r")]
-    spread = lambda c, m: F.percentile_approx(F.abs(F.col(c) - F.col(m)), 0.5)
-    centre = prose.groupBy("lang", "band").agg(*stats)
-    widths = prose.join(F.broadcast(centre), ["lang", "band"]).groupBy("lang", "band").agg(spread("slope", "_s").alias("_sw"), spread("residual", "_r").alias("_rw"))
-    bands = centre.join(widths, ["lang", "band"])
-    # medians of all prose, one row, for languages and lengths without any
-    general = prose.agg(*[F.percentile_approx(c, 0.5).alias(c) for c in ("function_share", "slope", "residual")]).first()
-    joined = rows.join(F.broadcast(bands), ["lang", "band"], "left").select("*", *[F.lit(general[c]).cast("double").alias(a) for c, a in (("function_share", "_f0"), ("slope", "_s0"), ("residual", "_r0"))])
-    p, q = F.col("function_share"), F.coalesce("_f", "_f0", F.lit(0.35))
-    p1, q1 = F.least(F.greatest(p, F.lit(1e-9)), F.lit(1 - 1e-9)), F.least(F.greatest(q, F.lit(0.01)), F.lit(0.99))
-    divergence = F.when(p < q, p1 * F.log(p1 / q1) + (1 - p1) * F.log((1 - p1) / (1 - q1))).otherwise(0.0)
-    away = lambda c, m, m0, w: F.abs(F.col(c) - F.coalesce(m, m0, F.lit(0.0))) / F.greatest(1.4826 * F.coalesce(F.col(w), F.lit(0.1)), F.lit(0.02))
-    measured = joined.withColumns({"divergence": divergence, "slope_away": away("slope", F.col("_s"), F.col("_s0"), "_sw"), "residual_away": away("residual", F.col("_r"), F.col("_r0"), "_rw")})
-    extreme = (F.col("divergence") >= DIVERGENCE) | (F.col("slope_away") >= DEVIATIONS) | (F.col("residual_away") >= DEVIATIONS)
-    least = F.when(F.col("outbound") >= MANY_LINKS, PROSE_LEAST_LINKED).otherwise(PROSE_LEAST)
-    stuffed = F.coalesce(extreme & (F.col("prose") < least), F.lit(False))
-    return measured.select("doc_id", "lang", "band", "tokens", "prose", "function_share", "divergence", "slope", "slope_away", "residual", "residual_away", "outbound", stuffed.alias("stuffed"))
+    whole = cut(_whole(own_lines(pages, profile)))
+    words, fit = _curves(whole)
+    links = profile.groupBy("doc_id").agg(F.max("outbound_link_count").alias("outbound"))
+    flat = whole.select("doc_id", "lang", "prose", "function_share", F.size("tokens").alias("tokens")).withColumn("band", F.floor(F.log2("tokens")).cast("int"))
+    rows = cut(flat.join(fit, "doc_id").join(_shares(words), "doc_id").join(links, "doc_id", "left").withColumn("outbound", F.coalesce("outbound", F.lit(0))))
+    prose = rows.filter((F.col("lang") != "und") & (F.col("prose") >= PROSE_LEAST))
+    own = prose.groupBy("lang", "band").agg(_mean("bands").alias("_q"), F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= ENOUGH).drop("_n")
+    every = prose.groupBy("band").agg(_mean("bands").alias("_q0"))
+    # the mean of all prose, one row, for lengths without any
+    general = prose.agg(_mean("bands").alias("q")).first().q
+    overall = F.array(*[F.lit(x if x is not None else 1 / (BANDS + 1)).cast("double") for x in general])
+    compared = rows.join(F.broadcast(own), ["lang", "band"], "left").join(F.broadcast(every), "band", "left")
+    measured = cut(compared.withColumn("divergence", _divergence(F.col("bands"), F.coalesce("_q", "_q0", overall))).drop("bands", "_q", "_q0"))
+    known = measured.filter((F.col("lang") != "und") & (F.col("prose") >= PROSE_LEAST))
+    placed = measured.join(F.broadcast(_medians(known, ["lang", "band"], "")), ["lang", "band"], "left").join(F.broadcast(_medians(known, ["band"], "0")), "band", "left")
+    placed = placed.select("*", *[_away(c, side).alias(f"{c}_away") for c, side in _MEASURES.items()])
+    bound = F.when(F.col("outbound") >= MANY_LINKS, DEVIATIONS_LINKED).otherwise(DEVIATIONS)
+    extreme = F.greatest(*[F.col(f"{c}_away") for c in _MEASURES]) >= bound
+    sentences = (F.col("lang") != "und") & (F.col("prose") >= PROSE_MOST)
+    stuffed = F.coalesce(extreme & ~F.coalesce(sentences, F.lit(False)), F.lit(False))
+    return placed.select("doc_id", "lang", "band", "tokens", "prose", "function_share", "divergence", "divergence_away", "slope", "slope_away", "residual", "residual_away", "outbound", stuffed.alias("stuffed"))
 
 
 def stuffed_pages(pages: DataFrame, profile: DataFrame) -> DataFrame:
