@@ -84,7 +84,6 @@ _FRAME = [
     r"(?:meistgelesen|meistgesehen|auch lesen|mehr laden|nach oben|zurück · weiter|folgen sie uns|für sie empfohlen|das könnte sie interessieren|kommentare?(?: \(\d+\))?|zum antworten anmelden)",
     r"(?:les plus (?:vus|lus)|à lire aussi|voir plus|haut de page|retour en haut|précédent · suivant|suivez-nous|recommandé pour vous|commentaires?(?: \(\d+\))?|se connecter pour répondre)",
     r"(?:lo más (?:visto|leído)|lea también|cargar más|ver más|subir|volver arriba|anterior · siguiente|síganos|recomendado para usted|comentarios?(?: \(\d+\))?|entrar para responder|entre para responder)",
-    r".*\b(?:accept all|manage options|reject everything|allow / decline|ok, got it|keep cookies|place cookies|cookies? ablehnen|alle annehmen|setzen cookies|tout accepter|posons des cookies|ponemos cookies|aceptar todo|rechazar todo|cookie settings|cookie-einstellungen|paramètres des cookies|ajustes de cookies|accetta tutti?)\b.*",
     r"(?:©|\(c\)|copyright)\s?\d{0,4}.*",
     r"(?:sign in|log in|register|sign up|my account|anmelden|registrieren|mein konto|se connecter|s’inscrire|mon compte|iniciar sesión|registrarse|mi cuenta|accedi|registrati)",
     r"(?:imprint|impressum|mentions légales|aviso legal|terms of use|privacy|datenschutz|confidentialité|privacidad)\s?[·|,].*",
@@ -99,11 +98,14 @@ _FRAME = [
     rf"{_NAME} (?:is not liable for|haftet nicht für|ne répond pas de|no responde del) .+",
     r"(?:no part of|kein nachdruck von|aucune copie de|no se copia) .+",
     rf"{_NAME} (?:stores small files|speichert kleine dateien|garde de petits fichiers|guarda pequeños archivos) .+",
-    r"[^>.!?]{2,}(?:\s>\s[^>.!?]{2,})+",
 ]
+# What consent notices offer, anywhere in a line, by language.
+_CONSENT = ("accept all", "manage options", "reject everything", "allow / decline", "ok, got it", "keep cookies", "place cookies", "cookies ablehnen", "cookie ablehnen", "alle annehmen", "setzen cookies", "tout accepter", "posons des cookies", "ponemos cookies", "aceptar todo", "rechazar todo", "cookie settings", "cookie-einstellungen", "paramètres des cookies", "ajustes de cookies", "accetta tutt")
 #: The first entries of ``_INLINE`` are bylines.
 _BYLINES = 8
 _EDGE = r"^[\s\W]*"
+#: A path of page names.
+_TRAIL = re.compile(r"[^>.!?]{2,}(?:\s>\s[^>.!?]{2,})+[.!?]?")
 BYLINE = re.compile(_EDGE + "(?:" + "|".join(_INLINE[:_BYLINES]) + r")[\s\W]*$", re.IGNORECASE)
 INLINE = re.compile(_EDGE + "(?:" + "|".join(_INLINE) + r")[\s\W]*$", re.IGNORECASE)
 FRAME = re.compile(_EDGE + "(?:" + "|".join(_FRAME) + r")[\s\W]*$", re.IGNORECASE)
@@ -112,9 +114,9 @@ FRAME = re.compile(_EDGE + "(?:" + "|".join(_FRAME) + r")[\s\W]*$", re.IGNORECAS
 _HOLDERS = frozenset("div article section nav header footer aside main form fieldset td".split())
 _BREAKERS = frozenset("p li h1 h2 h3 h4 h5 h6 blockquote tr dd dt br pre ul ol dl table tbody thead body hr figcaption option caption th address".split()) | _HOLDERS
 _MARKUP = re.compile(r"<!--.*?-->|<(script|style|noscript|template|head|title)\b[^>]*>.*?</\1\s*>|<(/?)([a-zA-Z][a-zA-Z0-9]*)\b[^>]*>|[^<]+|<", re.DOTALL | re.IGNORECASE)
-_SPACE = re.compile(r"\s+")
 _SENTENCE = re.compile(r"[.!?…][\"”»“’)]?$")
 _ORNAMENT = re.compile(r"^[\s»–—•>*|\[(-]+|[\s–—•*|\])-]+$|(?<=[.!?…])\s*»$")
+_OPENS, _CLOSES = frozenset("»–—•>*|[(-"), frozenset("–—•*|])-»")
 #: Running text signed with a name in place of a last sentence: a notice of the site.
 _SIGNED = re.compile(r"[.!?…»“\"”]\s+([^\W\d_][\w’-]*(?:\s[^\W\d_][\w’-]*){0,2})[.!…]*[\s»–•)\]-]*$")
 
@@ -132,7 +134,7 @@ def stripped(markup: str) -> list[tuple[str, int, bool]]:
 
     def flush() -> None:
         nonlocal text
-        said = _SPACE.sub(" ", html.unescape("".join(text))).strip()
+        said = " ".join(html.unescape("".join(text)).split())
         if said:
             lines.append((said, at, int(direct), heading))
             if not direct:
@@ -216,7 +218,10 @@ def aligned(lines: list[str], parts: list[str]) -> list[int]:
 
 def line_kind(line: str) -> int:
     """1: furniture that stands within texts (bylines, prompts, pointers); 2: of the page frame; 0: neither."""
-    return 2 if FRAME.match(line) else 1 if INLINE.match(line) else 0
+    low = line.lower()
+    if FRAME.match(line) or (" > " in line and _TRAIL.fullmatch(line)) or any(offer in low for offer in _CONSENT):
+        return 2
+    return 1 if INLINE.match(line) else 0
 
 
 def page_lines(title: str | None, text: str, markup: str | None, kinds: dict[str, int]) -> list[tuple[int, int, int, int, bool, bool]]:
@@ -224,10 +229,10 @@ def page_lines(title: str | None, text: str, markup: str | None, kinds: dict[str
 
     ``kinds`` remembers the kinds of short lines between pages.
     """
-    rows = [(no, _SPACE.sub(" ", line).strip()) for no, line in enumerate(text.split("\n"), 1)]
+    rows = [(no, " ".join(line.split())) for no, line in enumerate(text.split("\n"), 1)]
     rows = [(no, line) for no, line in rows if line]
     parts = stripped(markup) if markup else []
-    headline = _SPACE.sub(" ", title or "").strip()
+    headline = " ".join((title or "").split())
     if headline == "No Title":
         headline = ""
     out, seen = [], False
@@ -236,7 +241,7 @@ def page_lines(title: str | None, text: str, markup: str | None, kinds: dict[str
         where, top = (parts[j][1], parts[j][2]) if j >= 0 else (-1, False)
         head = not seen and (top or line == headline)
         seen = seen or head
-        bare = _ORNAMENT.sub("", line)
+        bare = _ORNAMENT.sub("", line) if line[0] in _OPENS or line[-1] in _CLOSES else line
         prose = bool(_SENTENCE.search(bare)) and bare.count(" ") >= 4
         kind = kinds.get(line)
         if kind is None:
