@@ -41,10 +41,16 @@ from gleanery.operators.scale import cut, join_counted
 PROSE_MOST, PROSE_LEAST = 0.8, 0.5
 #: Share of function words that makes a line of at least LINE_WORDS words a sentence.
 LINE_SHARE, LINE_WORDS = 0.2, 5
-#: Robust deviations from the median that are extreme, and with many outgoing links.
-DEVIATIONS, DEVIATIONS_LINKED, MANY_LINKS = 3.5, 3.0, 100
+#: Share of a language's function words that makes a page one of that language.
+LANGUAGE_SHARE = 0.12
+#: Robust deviations from the median that are extreme; the fit of a curve varies more among prose than its divergence.
+DEVIATIONS = {"slope": 6.0, "residual": 6.0, "divergence": 3.5}
+#: With so many outgoing links this part of them is enough.
+MANY_LINKS, LINKED = 100, 0.85
 #: Bands of ranks (the last holds all further ones), with one more for words of no other page; what is added to each share.
 BANDS, ADDED = 15, 0.01
+#: Median divergence of prose from equal bands (Zipf's law), for collections without any prose.
+NO_PROSE = 0.05
 #: Pages of prose that a language and length band needs for a distribution of its own.
 ENOUGH = 20
 
@@ -105,7 +111,7 @@ def _whole(lines: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("_prose") | ~F.col("amounts"), F.col("letters")).otherwise(0)).alias("_letters"),
     )
     most = F.greatest(*[F.col(f"_{lang}") for lang in FUNCTION_WORDS])
-    lang = F.coalesce(*[F.when((F.col(f"_{l}") == most) & (most > 0), F.lit(l)) for l in FUNCTION_WORDS], F.lit("und"))
+    lang = F.coalesce(*[F.when((F.col(f"_{l}") == most) & (most >= LANGUAGE_SHARE * F.size("tokens")), F.lit(l)) for l in FUNCTION_WORDS], F.lit("und"))
     return whole.filter("size(tokens) > 0").select(
         "doc_id", lang.alias("lang"), (F.col("_in_prose") / F.nullif(F.col("_letters"), F.lit(0))).alias("prose"), (F.col("_function") / F.size("tokens")).alias("function_share"), "tokens"
     )
@@ -157,11 +163,14 @@ def _divergence(p: Column, q: Column) -> Column:
 
 
 def _away(column: str, side: str) -> Column:
-    """Distance from the median in robust deviations; divergence counts upwards only."""
-    centre = F.coalesce(f"_m_{column}", f"_m0_{column}", F.lit(0.0))
-    width = F.greatest(1.4826 * F.coalesce(f"_w_{column}", f"_w0_{column}", F.lit(0.1)), F.lit(0.02))
-    distance = F.col(column) - centre
-    return (F.abs(distance) if side == "both" else distance) / width
+    """Distance from the median in robust deviations; divergence counts upwards only.
+
+    Where no prose of the length is known, only divergence counts, from ``NO_PROSE``.
+    """
+    known = (F.coalesce(f"_m_{column}", f"_m0_{column}"), F.coalesce(f"_w_{column}", f"_w0_{column}"))
+    centre, width = known if side == "both" else (F.coalesce(known[0], F.lit(NO_PROSE)), F.coalesce(known[1], F.lit(0.0)))
+    distance = (F.col(column) - centre) / F.greatest(1.4826 * width, F.lit(0.02))
+    return F.coalesce(F.abs(distance) if side == "both" else distance, F.lit(0.0))
 
 
 _MEASURES = {"slope": "both", "residual": "both", "divergence": "up"}
@@ -197,8 +206,8 @@ def judged(pages: DataFrame, profile: DataFrame) -> DataFrame:
     known = measured.filter((F.col("lang") != "und") & (F.col("prose") >= PROSE_LEAST))
     placed = measured.join(F.broadcast(_medians(known, ["lang", "band"], "")), ["lang", "band"], "left").join(F.broadcast(_medians(known, ["band"], "0")), "band", "left")
     placed = placed.select("*", *[_away(c, side).alias(f"{c}_away") for c, side in _MEASURES.items()])
-    bound = F.when(F.col("outbound") >= MANY_LINKS, DEVIATIONS_LINKED).otherwise(DEVIATIONS)
-    extreme = F.greatest(*[F.col(f"{c}_away") for c in _MEASURES]) >= bound
+    enough = F.when(F.col("outbound") >= MANY_LINKS, LINKED).otherwise(1.0)
+    extreme = F.greatest(*[F.col(f"{c}_away") / DEVIATIONS[c] for c in _MEASURES]) >= enough
     sentences = (F.col("lang") != "und") & (F.col("prose") >= PROSE_MOST)
     stuffed = F.coalesce(extreme & ~F.coalesce(sentences, F.lit(False)), F.lit(False))
     return placed.select("doc_id", "lang", "band", "tokens", "prose", "function_share", "divergence", "divergence_away", "slope", "slope_away", "residual", "residual_away", "outbound", stuffed.alias("stuffed"))
