@@ -1,12 +1,13 @@
 """What a page's markup says: title, description, text, links, directives.
 
-The expressions are built-in regular expressions over the whole markup. Named
-entities beyond the common ones, and markup that isn't balanced, are the
-business of ``dom_text``, an Arrow batch function over the standard parser.
+The expressions are built-in regular expressions over the whole markup. Markup
+that isn't balanced is the business of ``dom_text``, an Arrow batch function over
+the standard parser.
 """
 
 from __future__ import annotations
 
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -19,16 +20,50 @@ from gleanery.functions.quality import SPACE
 NO_TITLE = "No Title"
 DESCRIPTION_LENGTH = 200
 CONTENT_CAP = 100_000
-# Entities that the built-in path resolves; the ampersand comes last.
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&hellip;", "…"), ("&ndash;", "–"), ("&mdash;", "—"), ("&laquo;", "«"), ("&raquo;", "»"), ("&amp;", "&"))
 _SPACE = SPACE + "+"
 _UNSEEN = r"(?is)<!--.*?-->|<(script|style|template|noscript)\b.*?</\1\s*>"
 
 
+#: Names of most references in pages and their characters, replaced without a look-up; the ampersand comes last.
+_COMMON = ("nbsp", "lt", "gt", "quot", "apos", "copy", "middot", "hellip", "ndash", "mdash", "laquo", "raquo", "amp")
+_REFERENCE = r"&(#[xX]?[0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);"
+_RARE = rf"&(?!(?:{'|'.join(_COMMON)});)(?:#[xX]?[0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);"
+
+
+def _table() -> str:
+    """The standard's named references as one text of marked names and characters, which a plan holds as one value."""
+    return "".join(f"\u0001{k[:-1]}\u0002{v}" for k, v in html5.items() if k.endswith(";")) + "\u0001"
+
+
+def _numbered(code: Column, base: int) -> Column:
+    """The character of a number in digits; the replacement character for none that exists."""
+    value = F.conv(code, base, 10).cast("long")
+    usable = (F.length(code) <= 8) & value.between(1, 0x10FFFF) & ~value.between(0xD800, 0xDFFF)
+    return F.when(usable, F.decode(F.unhex(F.lpad(F.conv(code, base, 16), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
+
+
 def unescaped(x: Column) -> Column:
-    for name, char in ENTITIES:
-        x = F.replace(x, F.lit(name), F.lit(char))
-    return x
+    """Character references resolved once, by name or number; unknown names stay.
+
+    Texts with common names only are replaced name by name. Another text is cut at
+    its ampersands, and each piece looks its name up.
+    """
+    common = x
+    for name in _COMMON:
+        common = F.replace(common, F.lit(f"&{name};"), F.lit(html5[f"{name};"]))
+    table = F.lit(_table())
+
+    def resolved(piece: Column, at: Column) -> Column:
+        name = F.regexp_extract(F.concat(F.lit("&"), piece), "^" + _REFERENCE, 1)
+        rest = F.substring(piece, F.length(name) + 2, F.length(piece))
+        number = F.when(F.lower(F.substring(name, 1, 2)) == "#x", _numbered(F.substring(name, 3, F.length(name)), 16)).when(F.substring(name, 1, 1) == "#", _numbered(F.substring(name, 2, F.length(name)), 10))
+        mark = F.concat(F.lit("\u0001"), name, F.lit("\u0002"))
+        # what follows the name in the table, up to the next mark
+        behind = F.element_at(F.split(F.substring(table, F.position(mark, table) + F.length(mark), F.lit(8)), "\u0001"), 1)
+        found = F.coalesce(number, F.when(F.contains(table, mark), behind))
+        return F.when(at == 0, piece).when((name == "") | found.isNull(), F.concat(F.lit("&"), piece)).otherwise(F.concat(found, rest))
+
+    return F.when(~F.contains(x, F.lit("&")), x).when(~x.rlike(_RARE), common).otherwise(F.array_join(F.transform(F.split(x, "&"), resolved), ""))
 
 
 def stripped(x: Column) -> Column:
@@ -82,8 +117,9 @@ def word_count(full: Column) -> Column:
 
 def hrefs(markup: Column) -> Column:
     """href of every anchor in order, repeats kept; empty ones and fragments are dropped."""
-    found = F.regexp_extract_all(_seen(markup), F.lit(r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']*)[\"']"), F.lit(1))
-    plain = F.transform(found, lambda h: F.trim(F.when(h.contains("&"), unescaped(h)).otherwise(h)))
+    found = F.regexp_extract_all(_seen(markup), F.lit(r"(?is)<a\b[^>]*?\bhref\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"), F.lit(1))
+    bare = F.transform(found, lambda h: F.regexp_replace(h, r"^[\"']|[\"']$", ""))
+    plain = F.transform(bare, lambda h: F.trim(unescaped(h)))
     return F.filter(plain, lambda h: (h != "") & ~h.startswith("#"))
 
 

@@ -53,6 +53,12 @@ def anchor(text: Column) -> dict[str, Column]:
     }
 
 
+def graph_anchors(graph: DataFrame, generic: bool = False) -> DataFrame:
+    """Backlinks (target_url, domain, anchor_text, is_generic_anchor) of a link graph (src, dst) whose anchors were not kept."""
+    host = F.regexp_extract("src", r"^[^:/?#]+://([^/?#]*)", 1)
+    return graph.select(F.col("dst").alias("target_url"), F.coalesce(F.nullif(host, F.lit("")), F.lit("unknown")).alias("domain"), F.concat(F.lit("link from "), host).alias("anchor_text"), F.lit(generic).alias("is_generic_anchor"))
+
+
 def backlink_score(inbound: Column) -> Column:
     """0 without links, growing with their logarithm up to 1."""
     n = F.coalesce(inbound, F.lit(0)).cast("double")

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gleanery.functions import url as U
-from gleanery.operators.scale import cut
+from gleanery.operators.scale import cut, free
 
 
 @dataclass(frozen=True)
@@ -101,16 +102,17 @@ def recovered_counters(documents: DataFrame) -> DataFrame:
     return documents.agg(n.alias("docs_indexed"), n.alias("crawl_count"), n.alias("last_saved_count"), (F.coalesce(F.max("doc_id"), F.lit(-1)) + 1).alias("next_doc_id"))
 
 
-def crawl(links: DataFrame, seeds: DataFrame, rules: FrontierRules = FrontierRules(), limit: int = 0, rounds: int = 10, batch: int = 10_000) -> DataFrame:
+def crawl(links: DataFrame, seeds: DataFrame, rules: FrontierRules = FrontierRules(), limit: int = 0, rounds: int | None = None, batch: int = 10_000) -> DataFrame:
     """url, depth and round of the pages a crawl of a recorded link graph (src, dst) would visit.
 
-    A round takes the next batch, counts its domains, and admits the batch's children.
+    A round takes the next batch, counts its domains, and admits the batch's
+    children; the crawl ends when nothing waits, at its limit, or after ``rounds`` if given.
     """
     visited = seeds.select("url", F.lit(0).alias("depth"), F.lit(0).alias("round")).limit(0)
     counts = seeds.select(F.lit("").alias("domain"), F.lit(0).alias("pages")).limit(0)
     frontier = admitted(seeds.select("url", F.lit(True).alias("is_seed"), F.lit(0).alias("depth")), visited, visited, counts, rules)
     frontier, done = cut(frontier), 0
-    for step in range(1, rounds + 1):
+    for step in count(1) if rounds is None else range(1, rounds + 1):
         size = batch if not limit else min(batch, limit - done)
         if size <= 0:
             break
@@ -123,5 +125,9 @@ def crawl(links: DataFrame, seeds: DataFrame, rules: FrontierRules = FrontierRul
         counts = cut(visited.groupBy(U.netloc(F.col("url")).alias("domain")).agg(F.count(F.lit(1)).cast("int").alias("pages")))
         rest = frontier.join(taken.select("url"), "url", "left_anti")
         fresh = admitted(children(links, taken), visited, frontier, counts, rules)
+        older = [visited_before, counts_before, frontier] if step > 1 else []
         frontier = cut(rest.unionByName(fresh.select(*rest.columns)))
+        for table in older:
+            free(table)
+        visited_before, counts_before = visited, counts
     return visited

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,11 +62,11 @@ def pagerank(graph: DataFrame, damping: float = 0.85, max_iterations: int = 100,
     return ranks.select("node", rounded(F.col("p"), 6).alias("pagerank"))
 
 
-def reachable(graph: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
-    """node and depth of the nodes within ``max_depth`` links of the seeds (column node)."""
+def reachable(graph: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """node and depth of the nodes that links lead to from the seeds (column node), within ``max_depth`` links if given."""
     found = cut(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
     front = found
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         step = graph.join(front.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct().join(found.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth))
         front = cut(step)
         if front.isEmpty():

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanery.plans import crawl, graph, search, text
+from gleanery.plans import crawl, graph, publish, search, text
 
-MODULES = (text, graph, search, crawl)
+MODULES = (text, graph, search, crawl, publish)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -69,8 +69,9 @@ def frontier_refill(spark, d):
 
 def frontier_crawl(spark, d):
     edges = graph_edges(spark, d).select(F.concat(F.lit("http://"), "src", F.lit("/")).alias("src"), F.concat(F.lit("http://"), "dst", F.lit("/")).alias("dst"))
-    seeds = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "src").limit(5).select(F.col("src").alias("url"))
-    return P.crawl(edges, seeds, rounds=3)
+    # the crawl starts at the sites that none links to and ends when nothing waits
+    seeds = edges.select("src").distinct().join(edges.select(F.col("dst").alias("src")), "src", "left_anti").select(F.col("src").alias("url"))
+    return P.crawl(edges, seeds)
 
 
 def seed_diff(spark, d):
@@ -210,10 +211,14 @@ def index_upsert(spark, d):
 
 
 def incremental_documents(spark, d):
-    """Documents after the pages arrived as a stream, file by file."""
+    """Documents after the pages arrived as a stream of three files, in order of time."""
     folder = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
     source = table(spark, d, "content_score_input")
-    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 4).parquet(f"{d}/content_score_input.parquet*")
+    at = F.coalesce(F.unix_micros("crawled_at"), F.lit(0))
+    one, two = source.select(F.percentile_approx(at, F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("q")).first().q or (0, 0)
+    for number, part in enumerate((at <= one, (at > one) & (at <= two), at > two)):
+        source.filter(part).write.parquet(f"{folder}/in/{number}")
+    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*")
     store = IndexStore(spark, f"{folder}/store")
     incremental_index(_batch(stream), store, f"{folder}/progress").awaitTermination()
     return store.read("documents").select("doc_id", "url", "fingerprint", F.size(F.array_distinct("words")).cast("long").alias("terms"))
@@ -241,6 +246,23 @@ def _admitted(known: bool, cap: str) -> str:
         adm AS (SELECT url, is_seed, CAST(depth AS INTEGER) AS depth, CAST(priority AS INTEGER) AS priority FROM firsts LEFT JOIN ({_COUNTS}) c ON c.domain = {_NETLOC.format('url')} WHERE n = 1 AND url NOT IN ({_VISITED}) {keep} AND ({cap}))"""
 
 
+_SPLIT = "regexp_split_to_array(lower({0}), '[ \\t\\n\\r\\f\\x{{0b}}\\x{{a0}}\\x{{2028}}\\x{{2029}}\\x{{3000}}]+')"
+_STEM = "regexp_replace(regexp_replace(w, '^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$', '', 'g'), '(?:n[''’]t|[''’](?:s|re|ve|ll|d|m))$', '')"
+
+
+def _upserted() -> str:
+    """Documents of an empty index after one batch: the last record of each URL, then the last of each fingerprint."""
+    stop = ", ".join(f"'{w}'" for w in sorted(T.STOPWORDS) if "'" not in w)
+    split = _SPLIT.format("coalesce(content_text, '')")
+    terms = f"CAST(len(list_distinct(list_filter(list_transform({split}, lambda w: {_STEM}), lambda t: regexp_full_match(t, '\\p{{L}}+') AND t NOT IN ({stop})))) AS BIGINT)"
+    return f"""WITH one AS (SELECT DISTINCT url, content_fingerprint AS fp, content_text, crawled_at, doc_id FROM content_score_input WHERE url IS NOT NULL),
+        seqs AS (SELECT *, row_number() OVER (ORDER BY crawled_at NULLS FIRST, doc_id) AS seq FROM one),
+        lasts AS (SELECT url, max(seq) AS seq FROM seqs GROUP BY url),
+        keyed AS (SELECT s.*, coalesce(fp, 'url:' || s.url) AS k FROM seqs s JOIN lasts USING (url, seq)),
+        groups AS (SELECT k, min(seq) AS first, max(seq) AS seq FROM keyed GROUP BY k)
+        SELECT row_number() OVER (ORDER BY first, k) - 1 AS doc_id, url, fp AS fingerprint, {terms} AS terms FROM groups JOIN keyed USING (k, seq)"""
+
+
 def oracle_sql() -> dict[str, str]:
     by_cap = f"is_seed OR coalesce(pages, 0) < {CAP}"
     flagged = "f AS (SELECT *, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS f FROM events), r AS (SELECT *, sum(1 - f) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM f)"
@@ -264,6 +286,10 @@ def oracle_sql() -> dict[str, str]:
         "breaker": f"WITH {flagged}, k AS (SELECT *, row_number() OVER (PARTITION BY user_id, run ORDER BY ts, event_id) AS k FROM r WHERE f = 1) SELECT user_id, ts AS opened_at, ts + INTERVAL 900 SECOND AS until, k AS failures FROM k WHERE k % 3 = 0",
         "politeness": f"WITH {flagged}, s AS (SELECT event_id, CAST(sum(f) OVER (PARTITION BY user_id, run ORDER BY ts, event_id) AS BIGINT) AS failures FROM r) SELECT event_id, failures, CASE WHEN failures > 0 THEN least(30.0, 1.5 + 2.0 * failures) ELSE 1.5 END::DOUBLE AS delay FROM s",
         "page_records": f"WITH t AS (SELECT DISTINCT doc_id, {_NORMAL.format('url')} AS url, title, {X._TEXT} AS t, html_text FROM {X._HTML}), m AS (SELECT *, {X._stripped(X._unescaped(X._META))} AS m, {X._stripped(X._unescaped(X._TITLE))} AS tt FROM t) SELECT DISTINCT url, CASE WHEN regexp_matches(html_text, '(?is)<title[^>]*>.*?</title\\s*>') THEN tt ELSE 'No Title' END AS title, CASE WHEN m <> '' THEN m WHEN length(t) > 200 THEN t[1:200] || '...' ELSE t END AS description, CAST(len({X._words('t')}) AS BIGINT) AS word_count, sha1(t) AS content_fingerprint FROM m",
+        "index_upsert": _upserted(),
+        "page_links": f"""WITH h AS (SELECT url, regexp_extract(url, '^[^:]+://[^/]+') AS origin, unnest(regexp_extract_all({X._SEEN}, '(?is)<a\\b[^>]*?\\bhref\\s*=\\s*["'']([^"'']*)["'']', 1)) AS href FROM {X._HTML} WHERE NOT regexp_matches(html_text, '(?is)<meta[^>]*name=[\"'']robots[\"''][^>]*nofollow')),
+            j AS (SELECT url, lower(origin) AS origin, trim({X._unescaped('href')}) AS href FROM h)
+            SELECT DISTINCT {_NORMAL.format('url')} AS src, regexp_replace(origin, '^(http://[^/]*):80$|^(https://[^/]*):443$', '\\1\\2') || CASE WHEN href = '/' THEN '/' ELSE regexp_replace(href, '/+$', '') END AS dst FROM j WHERE href <> '' AND NOT starts_with(href, '#')""",
         "page_sources": f"SELECT DISTINCT {_NORMAL.format('url')} AS url FROM content_score_input WHERE html_text IS NOT NULL",
         "html_only": "SELECT DISTINCT doc_id, 'text/HTML; charset=utf-8' AS content_type FROM content_score_input WHERE html_text IS NOT NULL",
         "event_counts": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type",

@@ -80,9 +80,9 @@ def pagerank_supply(spark, d):
 
 
 def bfs_frontier(spark, d):
+    """Links from the sites that none links to, to every site they lead to."""
     edges = graph_edges(spark, d)
-    largest = G.degrees(edges).orderBy(F.desc("out_degree"), "node").limit(10).select("node")
-    return G.reachable(edges, largest, 3)
+    return G.reachable(edges, G.degrees(edges).filter("in_degree = 0").select("node"))
 
 
 def backlinks(spark, d):
@@ -192,6 +192,8 @@ def oracle_sql() -> dict[str, str]:
         "url_skip": f"SELECT DISTINCT target_url, regexp_matches(lower({path}), '{actions}') OR len(list_filter(string_split(regexp_extract(target_url, '\\?([^#]*)', 1), '&'), lambda p: p <> '')) > 5 OR len(list_filter(string_split({path}, '/'), lambda p: p <> '')) > 5 OR regexp_matches(target_url, '{'|'.join(U.BLACKLIST)}') AS skipped FROM backlink",
         "url_join": "SELECT DISTINCT doc_id, regexp_extract(url, '^[^:]+://[^/]*') || CASE WHEN len(list_filter(string_split(regexp_extract(url, '^[^:]+://[^/]*(.*)$', 1), '/'), lambda p: p <> '')) > 1 THEN regexp_replace(regexp_extract(url, '^[^:]+://[^/]*(.*)$', 1), '/[^/]*/([^/]*)$', '/\\1') ELSE regexp_extract(url, '^[^:]+://[^/]*(.*)$', 1) END AS url FROM doc_info",
         "graph_edges": _EDGES,
+        "bfs_frontier": f"""WITH RECURSIVE e AS ({_EDGES}), r(node, depth) AS (SELECT DISTINCT src, 0 FROM e WHERE src NOT IN (SELECT dst FROM e) UNION SELECT dst, depth + 1 FROM r JOIN e ON e.src = r.node WHERE depth < 40)
+            SELECT node, min(depth) AS depth FROM r GROUP BY node""",
         "graph_nodes": f"WITH e AS ({_EDGES}) SELECT src AS node FROM e UNION SELECT dst FROM e",
         "dangling_nodes": f"WITH e AS ({_EDGES}) SELECT DISTINCT dst AS node FROM e WHERE dst NOT IN (SELECT src FROM e)",
         "link_degrees": f"WITH e AS ({_EDGES}) SELECT node, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree FROM (SELECT src AS node, 0 AS i, 1 AS o FROM e UNION ALL SELECT dst, 1, 0 FROM e) GROUP BY node",

@@ -100,7 +100,7 @@ def project_result(spark, d):
 
 
 def suggest(spark, d):
-    vocabulary = I.document_frequency(inverted_index(spark, d)).filter(F.col("term").rlike("^[ -~]+$")).select("term")
+    vocabulary = I.document_frequency(inverted_index(spark, d)).select("term")
     asked = spark.createDataFrame([(w,) for w in MISSPELT], "word string")
     return S.suggestions(vocabulary, asked)
 
@@ -221,8 +221,9 @@ def oracle_sql() -> dict[str, str]:
         "search_page": f"{_search()} SELECT * FROM ranked ORDER BY rank_score DESC, doc_id LIMIT 5 OFFSET 5",
         "filter_domain": f"""{_search("AND contains(lower(regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1)), 'docs.')")} SELECT doc_id, url, rank_score FROM ranked""",
         "project_result": f"SELECT doc_id, url, title, description, {', '.join(f'{_FILLED[s]} AS {s}' for s in R.SIGNALS[:3])} FROM {_INFO}",
-        "suggest": f"""WITH v AS (SELECT DISTINCT term FROM {_FLAT} WHERE regexp_full_match(term, '[ -~]+')), w AS (SELECT unnest([{', '.join(repr(m) for m in MISSPELT)}]) AS word),
-            c AS (SELECT word, term, CAST(levenshtein(word, term) AS INTEGER) AS distance FROM v, w WHERE abs(length(word) - length(term)) <= 2 AND levenshtein(word, term) <= 2),
+        "suggest": f"""WITH v AS (SELECT DISTINCT term FROM {_FLAT}), w AS (SELECT unnest([{', '.join(repr(m) for m in MISSPELT)}]) AS word),
+            b AS (SELECT term, regexp_replace(term, '[^ -~]', '?', 'g') AS plain FROM v),
+            c AS (SELECT word, term, CAST(levenshtein(word, plain) AS INTEGER) AS distance FROM b, w WHERE abs(length(word) - length(term)) <= 2 AND levenshtein(word, plain) <= 2),
             r AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY distance, term) AS n, min(distance) OVER (PARTITION BY word) AS least FROM c) SELECT word, term, distance FROM r WHERE n <= 5 AND (least > 0 OR distance = 0)""",
         "minmax_norm": f"WITH i AS (SELECT doc_id, coalesce(pagerank, 0) AS pagerank FROM {_INFO}), e AS (SELECT min(pagerank) AS l, max(pagerank) AS h FROM i) SELECT doc_id, {_r('CASE WHEN l = h THEN 0.5::DOUBLE ELSE ' + _clamp('(pagerank - l) / (h - l)') + ' END', 6)} AS norm FROM i, e",
         "rank_combined": f"SELECT query_text, doc_id, {_combined('balanced')} AS combined FROM {_RESULTS}",

@@ -156,8 +156,12 @@ def _quality(copied: str) -> str:
         {_r("CASE WHEN e THEN 0.0::DOUBLE ELSE 0.0::DOUBLE + l * 0.30::DOUBLE + st * 0.20::DOUBLE + rd * 0.15::DOUBLE + kw * 0.15::DOUBLE + og * 0.15::DOUBLE + fr * 0.05::DOUBLE END")} AS overall FROM filled"""
 
 
+# The references that the tables hold; the ampersand comes last.
+_REFERENCES = (("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&hellip;", "…"), ("&ndash;", "–"), ("&mdash;", "—"), ("&laquo;", "«"), ("&raquo;", "»"), ("&amp;", "&"))
+
+
 def _unescaped(x: str) -> str:
-    for name, char in H.ENTITIES:
+    for name, char in _REFERENCES:
         x = f"replace({x}, '{name}', '{char.replace(chr(39), chr(39) * 2)}')"
     return x
 

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType
+from pyspark.sql.window import Window
 
 from gleanery.functions import html as H
 from gleanery.functions import url as U
@@ -33,6 +34,18 @@ def robots_sitemaps(robots: DataFrame) -> DataFrame:
     return named.select("origin", U.normalized(F.trim(F.regexp_extract("line", r"^[^:]*:(.*)$", 1))).alias("url")).filter("url is not null").distinct()
 
 
+def sitemap_queue(robots: DataFrame) -> DataFrame:
+    """origin, url and place of the sitemaps to read of each origin (origin, text): those its robots file names, in order, then the usual places, each once at its first place."""
+    lines = robots.select("origin", F.posexplode(F.split("text", r"\r?\n|\r")).alias("place", "line"))
+    named = lines.filter(F.lower(F.trim(F.substring_index("line", ":", 1))) == "sitemap").select("origin", U.normalized(F.trim(F.regexp_extract("line", r"^[^:]*:(.*)$", 1))).alias("url"), "place")
+    usual = robots.select("origin").distinct().select("origin", F.posexplode(F.array(*[F.lit(p) for p in SITEMAP_PATHS])).alias("place", "_p"))
+    # a robots file has fewer lines than this
+    later = usual.select("origin", U.normalized(F.concat("origin", "_p")).alias("url"), (F.col("place") + (1 << 30)).alias("place"))
+    first = named.unionByName(later).filter("url is not null").groupBy("origin", "url").agg(F.min("place").alias("_at"))
+    # an origin has no more sitemaps than its robots file has lines
+    return first.select("origin", "url", (F.row_number().over(Window.partitionBy("origin").orderBy("_at")) - 1).alias("place"))
+
+
 def robots_allowed(agent: str):
     """A function of (robots text, url): whether the file lets the agent fetch the URL; no or broken files let it."""
 
