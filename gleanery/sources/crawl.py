@@ -98,10 +98,11 @@ def sitemap_entries(maps: DataFrame) -> DataFrame:
     found = F.when(F.col("kind") == "xml", loc).when(F.col("kind") == "text", F.split("text", r"\r?\n|\r")).when(F.col("kind") == "html", H.hrefs(F.col("text")))
     index = (F.col("kind") == "xml") & F.col("text").rlike(r"(?i)<(?:\w+:)?sitemapindex\b")
     urls = rows.select("sitemap", "kind", index.alias("is_index"), F.explode_outer(found).alias("_u"))
-    entry = F.nullif(H.unescaped(F.trim(F.col("_u"))), F.lit(""))
+    # each step is a column of its own, since the next uses it several times
+    entries = urls.withColumn("_e", F.nullif(H.unescaped(F.trim(F.col("_u"))), F.lit("")))
     # only pages may link relatively; an entry of another sitemap is an address or nothing
-    joined = F.when(F.col("kind") == "html", U.resolved(F.col("sitemap"), entry)).otherwise(entry)
-    return urls.select("sitemap", "kind", "is_index", U.normalized(joined).alias("url"))
+    joined = entries.withColumn("_j", F.when(F.col("kind") == "html", U.resolved(F.col("sitemap"), F.col("_e"))).otherwise(F.col("_e")))
+    return joined.select("sitemap", "kind", "is_index", U.normalized(F.col("_j")).alias("url"))
 
 
 def sitemap_urls(fetched: DataFrame, roots: DataFrame) -> DataFrame:
