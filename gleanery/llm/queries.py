@@ -169,4 +169,20 @@ def oracle_sql() -> dict[str, str]:
         placed AS (SELECT query_text, doc_id, {", ".join(f"CASE WHEN {c} IS NULL THEN 0.5 ELSE ((rank() OVER (PARTITION BY query_text, {c} IS NULL ORDER BY {c}) - 1) + (count(*) OVER (PARTITION BY query_text, {c})) / 2.0::DOUBLE) / (count({c}) OVER (PARTITION BY query_text)) END AS {c}" for c in SCORES)} FROM items),
         vectors AS (SELECT query_text, doc_id, list_sort([CAST(pagerank AS DOUBLE), CAST(panda_score AS DOUBLE), CAST(penguin_score AS DOUBLE), CAST(relevance_score AS DOUBLE)]) AS v FROM placed)
         SELECT query_text, doc_id, v[1] AS weakest, row_number() OVER (PARTITION BY query_text ORDER BY v[1] DESC, v[2] DESC, v[3] DESC, v[4] DESC, doc_id) AS position FROM vectors"""
-    return {"p2_found": lined, "p3_terms": terms, "p4_found": capped, "p5_found": pairs, "p7_order": order}
+    clean = rf"""
+        WITH found AS ({lined}),
+        pages AS (SELECT doc_id, any_value(content_text) AS text FROM content_score_input GROUP BY doc_id),
+        cut AS (SELECT doc_id, regexp_split_to_array(text, '\r?\n') AS ls FROM pages WHERE text IS NOT NULL),
+        numbered AS (SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS line_no FROM cut),
+        kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY line_no) AS t FROM numbered WHERE (doc_id, line_no) NOT IN (SELECT doc_id, line_no FROM found) GROUP BY doc_id)
+        SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(t, '') END AS content_text FROM pages LEFT JOIN kept USING (doc_id)"""
+    grouped = """
+        WITH RECURSIVE raw AS (SELECT doc_id, list_sort(list_distinct(list_filter(any_value(words), lambda w: w IS NOT NULL))) AS words FROM doc_words WHERE words IS NOT NULL GROUP BY doc_id),
+        sets AS (SELECT doc_id, words, min(doc_id) OVER (PARTITION BY words) AS rep FROM raw WHERE len(words) > 0),
+        long AS (SELECT doc_id, len(words) AS n, unnest(words) AS term FROM sets WHERE doc_id = rep),
+        common AS (SELECT x.doc_id AS a, y.doc_id AS b, any_value(x.n) AS n, any_value(y.n) AS m, count(*) AS k FROM long x JOIN long y ON x.term = y.term AND x.doc_id <> y.doc_id AND x.n * 5 >= y.n * 4 AND y.n * 5 >= x.n * 4 GROUP BY 1, 2),
+        edges AS (SELECT a, b FROM common WHERE k * 5 >= (n + m - k) * 4),
+        r(node, label) AS (SELECT DISTINCT rep, rep FROM sets UNION SELECT e.b, r.label FROM r JOIN edges e ON e.a = r.node),
+        g AS (SELECT node, min(label) AS group_id FROM r GROUP BY node), l AS (SELECT a, count(*) AS links FROM edges GROUP BY a)
+        SELECT doc_id, rep AS class_id, group_id, coalesce(links, 0) AS links FROM sets JOIN g ON g.node = rep LEFT JOIN l ON l.a = rep"""
+    return {"p2_clean": clean, "p5_groups": grouped, "p2_found": lined, "p3_terms": terms, "p4_found": capped, "p5_found": pairs, "p7_order": order}
