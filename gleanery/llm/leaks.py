@@ -101,6 +101,14 @@ def spread(starts, sizes):
     return np.arange(total) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(starts, sizes), owner
 
 
+def distinct(values):
+    """The distinct values in order; sorting beats hashing where most repeat in runs."""
+    import numpy as np
+
+    values = np.sort(values)
+    return values[np.r_[True, values[1:] != values[:-1]]] if len(values) else values
+
+
 def build(items: list[tuple[int, list[int]]]) -> dict:
     """The index of items (identifier, word hashes): plain arrays of the posting lists and their blocks."""
     import numpy as np
@@ -172,7 +180,7 @@ def search(index: dict, flat, ends) -> set[tuple[int, int]]:
     known = terms[at] == flat
     where, passage = spread(start, stop - start)
     held = known[where]
-    pairs = np.unique(passage[held] * len(terms) + at[where[held]])
+    pairs = distinct(passage[held] * len(terms) + at[where[held]])
     passage, term = pairs // len(terms), pairs % len(terms)
     # within each passage terms by their greatest weight; the pivot is where the sum reaches the threshold
     great = index["greatest"][term]
@@ -190,7 +198,7 @@ def search(index: dict, flat, ends) -> set[tuple[int, int]]:
     base = np.maximum.reduceat(below, heads)
     sizes = np.where(opened, np.diff(index["lists"])[term], 0)
     cost = np.add.reduceat(sizes, heads)
-    chunk = np.cumsum(cost) // ENTRIES_AT_ONCE
+    chunk = np.cumsum(cost + blocks) // ENTRIES_AT_ONCE
     for c in np.unique(chunk[hopeful]):
         mine = np.flatnonzero((chunk == c) & hopeful)
         rows, _ = spread(heads[mine], (tails - heads)[mine])
@@ -198,8 +206,12 @@ def search(index: dict, flat, ends) -> set[tuple[int, int]]:
         entry, who = spread(index["lists"][term[rows]], sizes[rows])
         at_block = index["keys"][entry] % blocks
         group = np.searchsorted(heads, rows[who], side="right") - 1
-        pair, where_to = np.unique(group * blocks + at_block, return_inverse=True)
-        bound = np.bincount(where_to, index["maxima"][entry], len(pair)) + base[pair // blocks]
+        # one cell for each passage and block of the chunk
+        first_group = int(group[0])
+        cells = (group - first_group) * blocks + at_block
+        sums = np.bincount(cells, index["maxima"][entry])
+        pair = np.flatnonzero(sums) + first_group * blocks
+        bound = sums[pair - first_group * blocks] + base[pair // blocks]
         pair = pair[bound >= 1 - 1e-6]
         for low in range(0, len(pair), 20_000):
             part = pair[low : low + 20_000]
