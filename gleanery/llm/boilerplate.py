@@ -305,9 +305,9 @@ def line_blocks(pages: DataFrame, profile: DataFrame, min_support: int = MIN_SUP
     placed = placed.withColumn("_at", F.row_number().over(order) + F.sum("_empty").over(order))
     window = Window.partitionBy("doc_id").orderBy("_at").rangeBetween(-WINDOW, -1)
     surge = (F.coalesce(F.sum("_mass").over(window), F.lit(0)) == 0).cast("int")
-    blocks = placed.withColumn("_surge", surge).withColumn("block", F.sum("_surge").over(order))
-    ahead = Window.partitionBy("doc_id", "block").orderBy("_at").rangeBetween(0, WINDOW - 1)
-    blocks = blocks.withColumn("_sum", F.sum("_mass").over(ahead))
+    # the empty lines between two stretches keep the windows of one from reaching into the other
+    ahead = Window.partitionBy("doc_id").orderBy("_at").rangeBetween(0, WINDOW - 1)
+    blocks = placed.withColumns({"_surge": surge, "_sum": F.sum("_mass").over(ahead)}).withColumn("block", F.sum("_surge").over(order))
     whole = Window.partitionBy("doc_id", "block")
     weight = F.struct(
         (F.max("_sum").over(whole) >= SURGE).cast("int").alias("text"),

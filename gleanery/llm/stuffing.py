@@ -120,7 +120,7 @@ def _whole(lines: DataFrame) -> DataFrame:
 def _curves(whole: DataFrame) -> tuple[DataFrame, DataFrame]:
     """doc_id, lang, token and f (count) of each word of each page; doc_id, slope and residual of its rank-frequency curve."""
     words = whole.select("doc_id", "lang", "tokens").repartition("doc_id").select("doc_id", "lang", F.explode("tokens").alias("token")).groupBy("doc_id", "lang", "token").agg(F.count(F.lit(1)).alias("f"))
-    ranked = cut(words.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("f").desc(), "token"))))
+    ranked = cut(words.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("f")))))
     x, y = F.log("rank"), F.log("f")
     explained = F.nullif(F.regr_sxy(y, x), F.lit(0.0)) ** 2 / F.nullif(F.regr_sxx(y, x), F.lit(0.0))
     fit = ranked.groupBy("doc_id").agg(
