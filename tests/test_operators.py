@@ -326,3 +326,63 @@ def test_settings(tmp_path):
     rules = s.frontier_rules()
     assert (rules.max_depth, rules.pages_per_domain, rules.urls.blacklist, rules.urls.max_query_items, rules.urls.max_path_depth) == (4, 200, ("/a", "/b"), 2, 5)
     assert s.tracking()[1] == ("x", "y") and listed(None, ("d",)) == ("d",) and listed("a, b\nc|") == ("a", "b", "c")
+
+
+def test_resume_and_publication(spark, tmp_path):
+    from gleanery.operators import publish as B
+
+    state = {"queue": ["http://E.org:80/a/", "http://e.org/b", ""], "visited_urls": ["http://e.org/v"], "known_urls": ["http://e.org/k"], "url_depth_map": {"http://e.org/a": 3}, "url_seed_map": {"http://e.org/a": True}, "pagerank_graph": {"http://e.org/a": ["http://e.org/b", "http://e.org/c"]}, "content_fingerprints": {"f": 7}, "doc_id_counter": 8}
+    (tmp_path / "s.json").write_text(json.dumps(state))
+    (tmp_path / "bad.json").write_text("[")
+    s = B.state_from_json(spark, str(tmp_path / "s.json"))
+    got = B.resumed(s["queue"], s["visited"], s["known"], s["depths"], s["flags"], spark.createDataFrame([("http://start.org",)], "url string"))
+    assert rows(got["frontier"]) == [("http://e.org/a", True, 3, 0), ("http://e.org/b", False, 0, 1)]
+    assert rows(got["known"]) == [("http://e.org/k",), ("http://start.org/",)] and rows(got["visited"]) == [("http://e.org/v",)]
+    assert s["graph"].count() == 2 and rows(s["owners"]) == [("f", 7)] and s["counters"].first().doc_id_counter == 8
+    assert B.state_from_json(spark, str(tmp_path / "bad.json"))["queue"].count() == 0
+    pages = spark.range(70).select(F.col("id").alias("n"))
+    assert rows(B.publications(pages, ["n"])) == [(1, 30, 30, False), (2, 30, 60, False), (3, 10, 70, True)]
+    assert B.publications(pages.limit(0), ["n"]).count() == 0
+    done = []
+    publisher = B.Publisher(done.append)
+    assert [publisher.offer(n) for n in (0, 29, 30, 31, 60)] == [False, False, True, False, True] and publisher.offer(61, final=True) and done == [30, 60, 61]
+    publisher.lock.acquire()
+    assert not publisher.offer(95)
+
+
+def test_rescored_status_and_queues(spark):
+    from gleanery.functions import links as L
+    from gleanery.operators import publish as B
+
+    graph = spark.createDataFrame([("http://a.org/", "http://b.org/"), ("http://c.org/", "http://b.org/"), ("nohost", "http://b.org/")], "src string, dst string")
+    assert rows(L.graph_anchors(graph).select("domain", "anchor_text")) == [("a.org", "link from a.org"), ("c.org", "link from c.org"), ("unknown", "link from ")]
+    docs = spark.createDataFrame([(1, "http://b.org/"), (2, "http://lonely.org/")], "doc_id long, url string")
+    texts = spark.createDataFrame([(1, "Some words are here. " * 20, 80, "f")], "doc_id long, content_text string, word_count int, content_fingerprint string")
+    got = {r.doc_id: r for r in B.rescored(docs, texts, graph, spark.createDataFrame([("f", 9)], "content_fingerprint string, doc_id long")).collect()}
+    assert got[1].pagerank > 0 and got[2].pagerank == 0 and got[2].panda_score == 0.5 and got[1].penguin_score > got[2].penguin_score
+    e = spark.createDataFrame([(1, "indexing", 5), (2, "stopped", None), (3, None, None)], "at int, state string, n int")
+    assert rows(B.status(e, ["at"], F.lit(True), ["n"])) == [("refreshing", 5)] and rows(B.status(e.filter("at < 3"), ["at"], F.lit(False), ["n"])) == [("stopped", 5)]
+    assert rows(B.accepted(e, ["at"], 2).select("at")) == [(1,), (2,)] and B.demo_events(spark, 200).filter("type = 'failed'").count() in range(5, 45)
+    robots = spark.createDataFrame([("http://e.org", "Sitemap: http://e.org/z.xml\nsitemap: http://e.org/sitemap.xml\nSitemap: http://e.org/z.xml")], "origin string, text string")
+    queue = [r.url for r in C.sitemap_queue(robots).orderBy("place").collect()]
+    assert queue[:3] == ["http://e.org/z.xml", "http://e.org/sitemap.xml", "http://e.org/sitemap_index.xml"] and len(queue) == len(set(queue)) == len(C.SITEMAP_PATHS) + 1
+
+
+def test_references_and_unquoted_links(spark):
+    from gleanery.functions import html as H
+
+    said = ["&eacute;t&eacute; &amp;lt; &lt;", "&#233;&#xE9; &nosuch;", "AT&T", "&#xD800;", "&NotEqualTilde;", None]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(said)], "i int, s string").orderBy("i")
+    assert [r[0] for r in df.select(H.unescaped(F.col("s"))).collect()] == ["été &lt; <", "éé &nosuch;", "AT&T", "�", "≂̸", None]
+    page = spark.createDataFrame([("<a href=/x>1</a><A HREF = 'y&amp;z'>2</a><a href=\"#t\">3</a><a title='a' href=w class=c>4</a>",)], "m string")
+    assert page.select(H.hrefs(F.col("m"))).first()[0] == ["/x", "y&z", "w"]
+
+
+def test_shared_folder_off_local_masters(spark):
+    from types import SimpleNamespace
+
+    from gleanery.operators.scale import shared_folder
+
+    away = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://h:7077", applicationId="a"))
+    with pytest.raises(ValueError):
+        shared_folder(away)
