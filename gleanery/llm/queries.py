@@ -185,4 +185,5 @@ def oracle_sql() -> dict[str, str]:
         r(node, label) AS (SELECT DISTINCT rep, rep FROM sets UNION SELECT e.b, r.label FROM r JOIN edges e ON e.a = r.node),
         g AS (SELECT node, min(label) AS group_id FROM r GROUP BY node), l AS (SELECT a, count(*) AS links FROM edges GROUP BY a)
         SELECT doc_id, rep AS class_id, group_id, coalesce(links, 0) AS links FROM sets JOIN g ON g.node = rep LEFT JOIN l ON l.a = rep"""
-    return {"p2_clean": clean, "p5_groups": grouped, "p2_found": lined, "p3_terms": terms, "p4_found": capped, "p5_found": pairs, "p7_order": order}
+    decoded = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
+    return {"p8_decoded": decoded, "p2_clean": clean, "p5_groups": grouped, "p2_found": lined, "p3_terms": terms, "p4_found": capped, "p5_found": pairs, "p7_order": order}
