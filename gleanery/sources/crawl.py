@@ -97,7 +97,9 @@ def sitemap_entries(maps: DataFrame) -> DataFrame:
     loc = F.regexp_extract_all("text", F.lit(r"(?is)<(?:\w+:)?loc\b[^>]*>\s*(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?\s*</(?:\w+:)?loc\s*>"), F.lit(1))
     found = F.when(F.col("kind") == "xml", loc).when(F.col("kind") == "text", F.split("text", r"\r?\n|\r")).when(F.col("kind") == "html", H.hrefs(F.col("text")))
     index = (F.col("kind") == "xml") & F.col("text").rlike(r"(?i)<(?:\w+:)?sitemapindex\b")
-    urls = rows.select("sitemap", "kind", index.alias("is_index"), F.explode_outer(found).alias("_u"))
+    # all that needs the text is computed before its entries are rows, which would carry it each through the resolving
+    whole = rows.select("sitemap", "kind", index.alias("is_index"), found.alias("_found"))
+    urls = whole.select("sitemap", "kind", "is_index", F.explode_outer("_found").alias("_u"))
     # each step is a column of its own, since the next uses it several times
     entries = urls.withColumn("_e", F.nullif(H.unescaped(F.trim(F.col("_u"))), F.lit("")))
     # only pages may link relatively; an entry of another sitemap is an address or nothing
@@ -107,7 +109,8 @@ def sitemap_entries(maps: DataFrame) -> DataFrame:
 
 def sitemap_urls(fetched: DataFrame, roots: DataFrame) -> DataFrame:
     """Page URLs reached from the root sitemaps (url) through indexes of indexes, each with its sitemap."""
-    entries = cut(sitemap_entries(fetched).filter("url is not null"))
+    # a filter would be pushed below all steps of the address and repeat them, with their table of references, many times
+    entries = cut(sitemap_entries(fetched).select("sitemap", "kind", "is_index", U.present(F.col("url")).alias("url")))
     front, seen = roots.select(F.col("url").alias("sitemap")).distinct(), None
     pages = entries.limit(0).select("sitemap", "url")
     # ends, since a sitemap is entered once
