@@ -211,16 +211,17 @@ def index_upsert(spark, d):
 
 
 def incremental_documents(spark, d):
-    """Documents after the pages arrived as a stream of three files, in order of time."""
+    """Documents after the pages arrived as a stream in three parts, in order of time."""
     folder = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
-    source = table(spark, d, "content_score_input")
+    source = table(spark, d, "content_score_input").select("doc_id", "url", "content_text", "content_fingerprint", "crawled_at")
     at = F.coalesce(F.unix_micros("crawled_at"), F.lit(0))
     one, two = source.select(F.percentile_approx(at, F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("q")).first().q or (0, 0)
+    store = IndexStore(spark, f"{folder}/store")
     for number, part in enumerate((at <= one, (at > one) & (at <= two), at > two)):
         source.filter(part).write.parquet(f"{folder}/in/{number}")
-    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*")
-    store = IndexStore(spark, f"{folder}/store")
-    incremental_index(_batch(stream), store, f"{folder}/progress").awaitTermination()
+        # what has arrived is one batch, of however many files, and the stream goes on from its checkpoint with the next part
+        stream = spark.readStream.schema(source.schema).parquet(f"{folder}/in/*")
+        incremental_index(_batch(stream), store, f"{folder}/progress").awaitTermination()
     return store.read("documents").select("doc_id", "url", "fingerprint", F.size(F.array_distinct("words")).cast("long").alias("terms"))
 
 

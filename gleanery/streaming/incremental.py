@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from gleanery.operators.scale import Pointers, cut, running_total
+from gleanery.operators.scale import Pointers, cut, free, running_total
 
 #: Columns, key and value of each table's changes; a null value removes the key.
 TABLES = {
@@ -57,14 +57,16 @@ class IndexStore:
     def bucket(self, key: str) -> Column:
         return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
 
-    def read(self, name: str, buckets: list[int] | None = None) -> DataFrame:
-        """``documents``, ``urls``, ``fingerprints`` or ``postings`` (term, doc_id) of the current version, or only some buckets of it."""
+    def read(self, name: str, buckets: list[int] | None = None, only: tuple[str, ...] = ()) -> DataFrame:
+        """``documents``, ``urls``, ``fingerprints`` or ``postings`` (term, doc_id) of the current version, or only some buckets of it, or ``only`` the first of its values."""
         if name == "postings":
             return self.read("documents").select(F.explode(F.array_distinct("words")).alias("term"), "doc_id").filter("term is not null")
         schema, key, values = TABLES[name]
+        # the latest change is taken as a whole, so values that nobody asks for are left out before
+        values = only or values
         at = self.pointer()
         if at["version"] < 0:
-            return self.spark.createDataFrame([], schema)
+            return self.spark.createDataFrame([], schema).select(key, *values)
         # a generation begins with whole buckets as folders, which later versions amend by rows sorted by bucket
         parts = [f"{self.folder}/g{at['generation']}/{name}/{part}" for part in (["base"] if at["since"] >= 0 else []) + (["log"] if at["version"] > at["since"] else [])]
         logs = [self.spark.read.schema(schema + ", v int, b int").parquet(part) for part in parts]
@@ -74,13 +76,13 @@ class IndexStore:
         latest = log.groupBy(key).agg(F.max_by(F.struct(*values), "v").alias("_s")).select(key, "_s.*")
         return latest.filter(F.col(values[0]).isNotNull())
 
-    def near(self, name: str, keys: DataFrame) -> DataFrame:
+    def near(self, name: str, keys: DataFrame, only: tuple[str, ...] = ()) -> DataFrame:
         """The current rows in the buckets of ``keys``; at most the number of buckets comes to the driver."""
         key = TABLES[name][1]
         if self.version() < 0:
-            return self.read(name)
+            return self.read(name, only=only)
         used = [r.b for r in keys.filter(F.col(key).isNotNull()).select(self.bucket(key).alias("b")).distinct().collect()]
-        return self.read(name, used)
+        return self.read(name, used, only)
 
     def publish(self, changes: dict[str, DataFrame], version: int, next_id: int = 0, generation: int | None = None, batch: tuple[str, int] | None = None) -> None:
         at = self.pointer()
@@ -104,30 +106,41 @@ class IndexStore:
     def merge(self, batch: DataFrame, keep_stale: bool = True, number: tuple[str, int] | None = None) -> None:
         """Merges a batch, publishes the next version, and compacts a log that has grown long."""
         at = self.pointer()
-        changes = changed(self, batch, keep_stale)
+        written: list[DataFrame] = []
+        changes = changed(self, batch, keep_stale, written)
         most = changes["documents"].agg(F.coalesce(F.max("doc_id"), F.lit(-1)).alias("m")).first().m
         self.publish(changes, at["version"] + 1, most + 1, batch=number)
+        for table in written:
+            free(table)
         if at["version"] + 1 - at["since"] >= self.compact_every:
             self.compact()
 
 
-def changed(store: IndexStore, batch: DataFrame, keep_stale: bool = True) -> dict[str, DataFrame]:
-    """The changes that a batch of pages (url, fingerprint, words, seq) makes."""
+def changed(store: IndexStore, batch: DataFrame, keep_stale: bool = True, written: list[DataFrame] | None = None) -> dict[str, DataFrame]:
+    """The changes that a batch of pages (url, fingerprint, words, seq) makes. ``written`` gets the tables that they are read from."""
+    written = [] if written is None else written
+
+    def kept(df: DataFrame) -> DataFrame:
+        written.append(cut(df))
+        return written[-1]
+
     start = store.pointer()["next_id"]
-    fields = F.struct("fingerprint", "words")
-    last = cut(batch.groupBy("url").agg(F.max_by(fields, "seq").alias("_r"), F.max("seq").alias("seq")).select("url", "_r.fingerprint", "_r.words", "seq"))
+    # the words are written once and fetched by their row's number once it is known which rows stay
+    whole = kept(batch.select("url", "fingerprint", "words", "seq", F.monotonically_increasing_id().alias("_n")))
+    last = kept(whole.groupBy("url").agg(F.max_by(F.struct("fingerprint", "_n"), "seq").alias("_r"), F.max("seq").alias("seq")).select("url", "_r.fingerprint", "_r._n", "seq"))
     by_url = last.join(store.near("urls", last).select("url", F.col("doc_id").alias("_u")), "url", "left")
     prints = store.near("fingerprints", last)
-    owned = cut(by_url.join(prints.select("fingerprint", F.col("doc_id").alias("_f")), "fingerprint", "left").withColumn("doc_id", F.coalesce("_u", "_f")))
+    owned = kept(by_url.join(prints.select("fingerprint", F.col("doc_id").alias("_f")), "fingerprint", "left").withColumn("doc_id", F.coalesce("_u", "_f")))
     # pages new to the index that share a fingerprint are one document, owned by the last of them
     fresh = owned.filter("doc_id is null").withColumn("_key", F.coalesce("fingerprint", F.concat(F.lit("url:"), "url")))
     firsts = fresh.groupBy("_key").agg(F.min("seq").alias("_first"))
     ids = fresh.join(_numbered(firsts, start), "_key").drop("doc_id").withColumnRenamed("_id", "doc_id")
-    every = cut(owned.filter("doc_id is not null").select("doc_id", "url", "fingerprint", "words", "seq").unionByName(ids.select("doc_id", "url", "fingerprint", "words", "seq")))
-    best = cut(every.groupBy("doc_id").agg(F.max_by(F.struct("url", "fingerprint", "words"), "seq").alias("_r")).select("doc_id", "_r.*"))
+    every = kept(owned.filter("doc_id is not null").select("doc_id", "url", "fingerprint", "_n", "seq").unionByName(ids.select("doc_id", "url", "fingerprint", "_n", "seq")))
+    best = kept(every.groupBy("doc_id").agg(F.max_by(F.struct("url", "fingerprint", "_n"), "seq").alias("_r")).select("doc_id", "_r.*"))
+    documents = best.join(whole.select("_n", "words"), "_n", "left").select("doc_id", "url", "fingerprint", "words")
     owners = every.filter("fingerprint is not null").groupBy("fingerprint").agg(F.max_by("doc_id", "seq").alias("doc_id"))
     known = best.filter(F.col("doc_id") < start).select("doc_id")
-    before = store.near("documents", known).join(known, "doc_id").select(F.col("url").alias("_was"), "doc_id")
+    before = store.near("documents", known, only=("url",)).join(known, "doc_id").select(F.col("url").alias("_was"), "doc_id")
     nobody = F.lit(None).cast("long").alias("doc_id")
     here = best.select("url", "doc_id")
     left = before.join(here.select(F.col("url").alias("_was")), "_was", "left_anti").select(F.col("_was").alias("url"), nobody)
@@ -135,7 +148,7 @@ def changed(store: IndexStore, batch: DataFrame, keep_stale: bool = True) -> dic
         # fingerprints are found by their document, so all of them are read
         stale = store.read("fingerprints").join(best.select("doc_id"), "doc_id", "left_semi").join(owners, "fingerprint", "left_anti")
         owners = owners.unionByName(stale.select("fingerprint", nobody))
-    return {"documents": best, "urls": here.unionByName(left), "fingerprints": owners}
+    return {"documents": documents, "urls": here.unionByName(left), "fingerprints": owners}
 
 
 def _numbered(firsts: DataFrame, start: int) -> DataFrame:

@@ -245,6 +245,19 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(r.doc_id for r in store.read("documents").collect()) == list(range(40))
 
 
+def test_stream_of_many_files_is_three_batches(spark, tmp_path, monkeypatch):
+    from gleanery.plans import crawl as Q
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/content_score_input.parquet")
+    pages.coalesce(1).write.parquet(f"{tmp_path}/one/content_score_input.parquet")
+    pages.repartition(5).write.parquet(f"{tmp_path}/many/content_score_input.parquet")
+    stores = []
+    monkeypatch.setattr(Q, "IndexStore", lambda *a: stores.append(IndexStore(*a)) or stores[-1])
+    got = {n: rows(Q.incremental_documents(spark, f"{tmp_path}/{n}")) for n in ("one", "many")}
+    assert got["one"] == got["many"] and len(got["one"]) > 50
+    assert [(s.version(), list(s.pointer()["batches"].values())) for s in stores] == [(2, [2])] * 2
+
+
 def test_breaker_stream_equals_batch(spark, tmp_path):
     random.seed(1)
     start = dt.datetime(2024, 1, 1)
